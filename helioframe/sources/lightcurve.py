@@ -93,12 +93,12 @@ def band_order(df: DataFrame, keys, band: str, order: str) -> DataFrame:
     return numbered.join(shortest, list(keys)).where(F.col("pos") <= F.col("shortest")).drop("shortest")
 
 
-def spectra(df: DataFrame, counts="embedding", ident="vec_id", scale: float = 100.0) -> DataFrame:
+def spectra(df: DataFrame, counts="embedding", ident="vec_id", scale: float = 100.0, digits: int = 6) -> DataFrame:
     """Array spectra -> long (id, ch, counts) rows; counts are magnitudes."""
     keep = [c for c in df.columns if c not in (counts, ident)]
     return df.select(
         F.col(ident).alias("id"), *keep, F.posexplode(F.col(counts)).alias("ch", "raw")
-    ).select("id", *keep, F.col("ch").cast("bigint").alias("ch"), F.round(F.abs(F.col("raw").cast("double")) * scale, 6).alias("counts"))
+    ).select("id", *keep, F.col("ch").cast("bigint").alias("ch"), F.round(F.abs(F.col("raw").cast("double")) * scale, digits).alias("counts"))
 
 
 def linear_energy(ch="ch", first: float = 1.0, step: float = 1.0) -> Column:

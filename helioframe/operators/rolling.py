@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.scalars import col
+from ..functions.stats import corr
 from ..sources.lightcurve import KEYS, day_window
 
 MAD_TO_SIGMA = 1.4826
@@ -190,7 +191,7 @@ def padded_max(value, size, keys=KEYS) -> Column:
 
 
 def rolling_corr(x, y, size, keys=KEYS) -> Column:
-    return F.corr(col(x), col(y)).over(centred(size, keys))
+    return corr(x, y, centred(size, keys))
 
 
 def rolling_slope(value, size, keys=KEYS, x="bin") -> Column:
@@ -217,7 +218,7 @@ def rolling_spearman(df: DataFrame, x: str, y: str, size: int, out="rho", keys=K
 
     ranked = spread.withColumn("_rx", avg_rank("_x")).withColumn("_ry", avg_rank("_y"))
     rho = ranked.groupBy(*keys, F.col("_end").alias("bin")).agg(
-        F.when((F.countDistinct("_x") >= 3) & (F.countDistinct("_y") >= 3), F.corr("_rx", "_ry")).alias(out)
+        F.when((F.countDistinct("_x") >= 3) & (F.countDistinct("_y") >= 3), corr("_rx", "_ry")).alias(out)
     )
     return df.join(rho, [*keys, "bin"], "left")
 
@@ -228,7 +229,7 @@ def hopping_corr(df: DataFrame, x: str, y: str, size=300, hop=60, keys=KEYS) ->
     first = F.greatest(F.ceil((F.col("bin") - (size - 1)) / F.lit(hop)), F.lit(0)).cast("bigint")
     win = F.explode(F.sequence(first, F.floor(F.col("bin") / F.lit(hop)).cast("bigint"))).alias("win")
     per = df.select(*keys, "bin", col(x).alias("_x"), col(y).alias("_y"), win).groupBy(*keys, "win").agg(
-        F.corr("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("rows")
+        corr("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("rows")
     )
     return per.where(F.col("rows") == size).select(*keys, (F.col("win") * hop + size // 2).alias("bin"), "rho")
 
@@ -240,7 +241,7 @@ def cumulative_corr(df: DataFrame, soft: str, hard: str, smooth: int, keys=KEYS)
     zero = zero.withColumn("_i", F.sum("_d").over(up_to(keys)))
     f = centred(smooth, keys)
     zero = zero.withColumn("_ss", F.avg("_s").over(f)).withColumn("_si", F.avg("_i").over(f))
-    return zero.groupBy(*keys).agg(F.corr("_ss", "_si").alias("rho"))
+    return zero.groupBy(*keys).agg(corr("_ss", "_si").alias("rho"))
 
 
 def zscore(value, keys=KEYS) -> Column:
@@ -262,7 +263,7 @@ def soft_hard_soft(index, flux, half=15, keys=KEYS) -> Column:
     f = day_window(keys).rowsBetween(-half, half)
     lf = F.when((col(flux) > 0) & col(index).isNotNull(), F.ln(col(flux)))
     ix = F.when(lf.isNotNull(), col(index))
-    return F.when(F.count(lf).over(f) > 5, F.corr(ix, lf).over(f))
+    return F.when(F.count(lf).over(f) > 5, corr(ix, lf, f))
 
 
 # -- precursors and recency -----------------------------------------------------------------------------

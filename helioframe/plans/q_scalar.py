@@ -90,11 +90,11 @@ _BASE = "CASE {c} WHEN 'X' THEN 1e-4 WHEN 'M' THEN 1e-5 WHEN 'C' THEN 1e-6 WHEN
   CASE letter WHEN 'X' THEN 100.0 WHEN 'M' THEN 10.0 WHEN 'C' THEN 1.0 WHEN 'B' THEN 0.1 ELSE 0.001 END * CAST(substr(label, 2) AS DOUBLE) AS number FROM (
   SELECT event_id, x, letter, base, letter || printf('%.2f', x / base) AS label FROM (
   SELECT *, {_BASE.format(c='letter')} AS base FROM (SELECT event_id, value * 2.7182818e-8 AS x, {_CLS.format(x='(value * 2.7182818e-8)')} AS letter FROM events)))""",
-    "event_id, label", "parsed legacy number", digits=2))
+    "event_id, label", "parsed legacy number"))
 def _class_text(spark, sf):
     ev = table(spark, sf, "events").select("event_id", sc.class_label(sc.counts_to_irradiance("value", 2.7182818e-8), 2).alias("label"))
     return present(ev.select("event_id", "label", (sc.parse_class("label") * 1e6).alias("parsed"),
-                             (sc.parse_class("label", standard=False) * 1e6).alias("legacy"), sc.class_number("label").alias("number")), 2)
+                             (sc.parse_class("label", standard=False) * 1e6).alias("legacy"), sc.class_number("label").alias("number")))
 
 
 _RT = """SELECT *, CASE WHEN fa IS NULL OR fb IS NULL OR fa < 5e-8 OR fb < 1e-7 THEN NULL ELSE least(greatest(pow(10.0, 0.051 + 0.979 * w + 0.184 * w * w - 0.010 * w * w * w), 3.0), 50.0) END AS temp FROM (

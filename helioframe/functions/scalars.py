@@ -221,6 +221,13 @@ def electron_column(norm, delta, cutoff) -> Column:
 
 
 # -- feature output ------------------------------------------------------------------------------
+TIE_NUDGE = 1.3e-10
+
+
 def tidy(c, digits: int = 6) -> Column:
-    """Rounded, NaN-free, without negative zero."""
-    return F.round(finite(c), digits) + F.lit(0.0)
+    """Rounded, NaN-free, without negative zero.
+
+    Means of decimal data often sit exactly between two rounded values, where the last bit of a
+    distributed sum would decide; the nudge settles such ties upwards whatever the summation order.
+    """
+    return F.round(finite(c) + F.lit(TIE_NUDGE), digits) + F.lit(0.0)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.scalars import TIE_NUDGE
 from ..sources.lightcurve import light_curve, wide_curve
 from ..sources.tables import table
 
@@ -57,7 +58,7 @@ def final(body: str, keys: str, doubles: str = "", ctes: str = "", digits: int =
     cols = ["CAST(day AS VARCHAR) AS day" if k == "day" else k for k in cols]
     cols += [
         f"CASE WHEN isnan(CAST({d} AS DOUBLE)) OR isinf(CAST({d} AS DOUBLE)) THEN NULL "
-        f"ELSE round(CAST({d} AS DOUBLE), {digits}) + 0.0 END AS {d}"
+        f"ELSE round(CAST({d} AS DOUBLE) + {TIE_NUDGE}, {digits}) + 0.0 END AS {d}"
         for d in doubles.split()
     ]
     head = f"WITH {ctes}\n" if ctes else ""

@@ -205,12 +205,12 @@ def _hk(spark, sf):
 
 
 @query("sequences", final(
-    "SELECT day, win, count(*) AS length, sum(coalesce(soft, 0)) AS soft_sum, sum(coalesce(b0, 0)) AS b0_sum, sum(CASE WHEN pos > 0 THEN coalesce(soft, 0) - coalesce(lagged, 0) ELSE 0 END) AS diff_sum FROM (SELECT *, lag(soft) OVER (PARTITION BY day, win ORDER BY pos) AS lagged FROM hp) GROUP BY day, win",
-    "day, win, length", "soft_sum b0_sum diff_sum", BANDED, digits=1))
+    "SELECT day, win, count(*) AS length, sum(CAST(CAST(coalesce(soft, 0) AS FLOAT) AS DOUBLE)) AS soft_sum, sum(CAST(CAST(coalesce(b0, 0) AS FLOAT) AS DOUBLE)) AS b0_sum, sum(CAST(CAST(CASE WHEN pos > 0 THEN coalesce(soft, 0) - coalesce(lagged, 0) ELSE 0 END AS FLOAT) AS DOUBLE)) AS diff_sum FROM (SELECT *, lag(soft) OVER (PARTITION BY day, win ORDER BY pos) AS lagged FROM hp) GROUP BY day, win",
+    "day, win, length", "soft_sum b0_sum diff_sum", BANDED, digits=4))
 def _sequences(spark, sf):
     s = wi.sequences(banded(spark, sf), ["soft", *BANDS], BINS, LOOK, STEP)
     total = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return present(s.select("day", "win", F.size("soft").alias("length"), total("soft").alias("soft_sum"), total("b0").alias("b0_sum"), total("d_soft").alias("diff_sum")), 1)
+    return present(s.select("day", "win", F.size("soft").alias("length"), total("soft").alias("soft_sum"), total("b0").alias("b0_sum"), total("d_soft").alias("diff_sum")), 4)
 
 
 @query("downsample", final(

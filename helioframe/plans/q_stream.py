@@ -38,7 +38,7 @@ def _sessions(spark, sf):
     return present(st.run_to_table(st.flare_sessions(st.live_samples(spark, sf), 60.0, "30 minutes"), "sessions"))
 
 
-_PEAKS = "p AS (SELECT channel, us // 600000000 * 600 AS start, max(value) AS peak FROM e, wm WHERE channel IN ('view', 'click') GROUP BY channel, us // 600000000, wm.top HAVING (us // 600000000 + 1) * 600000000 <= wm.top - 600000000 AND max(value) > 80)"
+_PEAKS = "p AS (SELECT channel, us // 600000000 * 600 AS start, max(value) AS peak FROM e, (SELECT min(m) AS top FROM (SELECT max(us) // 1000 * 1000 AS m FROM e WHERE channel IN ('view', 'click') GROUP BY channel)) wm WHERE channel IN ('view', 'click') GROUP BY channel, us // 600000000, wm.top HAVING (us // 600000000 + 1) * 600000000 <= wm.top - 600000000 AND max(value) > 80)"
 
 
 @query("stream_coincidence", final(

@@ -115,11 +115,11 @@ def coverage_timeline(soft_days: DataFrame, hard_days: DataFrame) -> DataFrame:
     seen = every.groupBy("day").agg(F.max("s").alias("soft"), F.max("h").alias("hard"))
     # one row per date: gaps are filled from each date up to its successor
     w = Window.orderBy("day")
-    nxt = F.coalesce(F.date_sub(F.lead("day").over(w), 1), F.col("day"))
-    spread = seen.select(F.col("day").alias("own"), "soft", "hard", F.explode(F.sequence(F.col("day"), nxt)).alias("day"))
+    seen = seen.withColumn("_upto", F.coalesce(F.date_sub(F.lead("day").over(w), 1), F.col("day")))
+    spread = seen.select(F.col("day").alias("own"), "soft", "hard", F.explode(F.sequence("day", "_upto")).alias("day"))
     here = F.col("day") == F.col("own")
     flag = lambda c: F.when(here, F.col(c)).otherwise(0)
-    return spread.select("day", flag("soft").alias("soft"), flag("hard").alias("hard"), (flag("soft") * flag("hard")).alias("both"))
+    return spread.select("day", flag("soft").alias("soft"), flag("hard").alias("hard"), (flag("soft") * flag("hard")).alias("combined"))
 
 
 def expected_classes(days: DataFrame, expected: DataFrame, classify) -> DataFrame:

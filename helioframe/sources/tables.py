@@ -74,11 +74,11 @@ def file_inventory(spark: SparkSession, folder: str, categories: dict[str, str],
 def merge_orbits(spark: SparkSession, folder: str, pattern: str, order: str, glob: str = "*.parquet") -> DataFrame:
     """Union the files of every day and order them.
 
-    ``pattern`` has groups (day ``yyyyMMdd``, start, version) and is applied to the file name.  Rows
+    ``pattern`` has groups (day ``yyyyMMdd``, start, version) and is applied to the file path.  Rows
     come back range-sorted by (day, ``order``), so no day has to fit into one task.
     """
     df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").parquet(folder)
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_path")
     return (
         df.withColumn("day", F.to_date(F.regexp_extract(name, pattern, 1), "yyyyMMdd"))
         .withColumn("orbit_start", F.regexp_extract(name, pattern, 2))

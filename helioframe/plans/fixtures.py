@@ -31,7 +31,7 @@ def wide(spark: SparkSession, sf: str) -> DataFrame:
 LC = f"""binned AS (
   SELECT event_type AS channel, CAST(ts AS DATE) AS day,
          CAST(floor((CAST(floor(epoch(ts)) AS BIGINT) % 86400) / {CADENCE}) AS BIGINT) AS bin,
-         round(avg(value), 3) AS v, count(value) AS n, min(value) AS lo, max(value) AS hi
+         round(avg(value) + {TIE_NUDGE}, 3) AS v, count(value) AS n, min(value) AS lo, max(value) AS hi
   FROM events GROUP BY 1, 2, 3),
 lc AS (
   SELECT d.channel, d.day, s.bin, CAST(epoch(d.day) AS BIGINT) + s.bin * {CADENCE} AS t, b.v

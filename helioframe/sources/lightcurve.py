@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import SECONDS_PER_DAY, epoch_seconds
+from ..functions.scalars import SECONDS_PER_DAY, epoch_seconds, tidy
 
 KEYS = ("channel", "day")
 
@@ -34,7 +34,7 @@ def bin_samples(df: DataFrame, cadence: int, ts="ts", channel="event_type", valu
     """(channel, day, bin) -> mean value ``v``, sample count ``n``, extremes ``lo`` / ``hi``."""
     day, slot = _clock(ts, cadence)
     return df.groupBy(F.col(channel).alias("channel"), day, slot).agg(
-        F.round(F.avg(value), digits).alias("v"),
+        tidy(F.avg(value), digits).alias("v"),
         F.count(value).alias("n"),
         F.min(value).alias("lo"),
         F.max(value).alias("hi"),
@@ -45,7 +45,7 @@ def bin_wide(df: DataFrame, cadence: int, channels, ts="ts", channel="event_type
     """(day, bin) -> one mean column per channel: a pivot in a single partial aggregate."""
     day, slot = _clock(ts, cadence)
     return df.groupBy(day, slot).agg(
-        *[F.round(F.avg(F.when(F.col(channel) == c, F.col(value))), digits).alias(c) for c in channels]
+        *[tidy(F.avg(F.when(F.col(channel) == c, F.col(value))), digits).alias(c) for c in channels]
     )
 
 

@@ -121,8 +121,8 @@ def swpc_reference(v, n_day, thr, win, factor, min_run, min_dur, short, gap):
 def test_swpc_against_sequential_rules(spark, curve):
     rnd = np.random.default_rng(7)
     v = rnd.exponential(1.0, 1440)
-    for c in (200, 600, 640, 1000, 1436):
-        v[c: c + 30] += 40 * np.exp(-np.arange(len(v[c: c + 30])) / 6)
+    for c in (200, 600, 640, 1000, 1425):
+        v[c: c + 30] += 40 * np.exp(-np.abs(np.arange(len(v[c: c + 30])) - 8) / 4)
     v = [round(float(x), 3) for x in v]
     got = isl.detect_swpc(curve(v), cadence=60, threshold=8.0, window=60, min_run=2, min_duration=4, short_duration=2, merge_gap=5)
     rows = [[r["start_bin"], r["peak_bin"], r["end_bin"]] for r in got.orderBy("start_bin").collect()]

@@ -11,6 +11,7 @@ from ..operators import catalog as cg
 from ..operators import intervals as iv
 from ..operators import islands as isl
 from ..operators import rolling as ro
+from ..session import cut_lineage
 from ..sources.sinks import report_json
 from ..sources.tables import table, without_days
 from .fixtures import BINS, CADENCE, CHANNELS, LC, WIDE, big, final, lc, wide
@@ -26,7 +27,7 @@ E0 = "CAST(epoch(day) AS BIGINT)"
 
 
 def flare_table(spark, sf):
-    return swpc(spark, sf, min_run=1, min_duration=2, short_duration=None, merge_gap=8).where(F.col("channel") == "view").select("day", F.col("start_t").alias("fid"), "start_t", "end_t")
+    return swpc(spark, sf, only="view", min_run=1, min_duration=2, short_duration=None, merge_gap=8).select("day", F.col("start_t").alias("fid"), "start_t", "end_t")
 
 
 FL = swpc_sql(1.5, 1, 2, None, 8) + f", fl AS (SELECT day, {E0} + start_bin * {CADENCE} AS fid, {E0} + start_bin * {CADENCE} AS start_t, {E0} + end_bin * {CADENCE} AS end_t FROM swpc WHERE channel = 'view')"
@@ -36,7 +37,7 @@ _WIDE_ONLY = WIDE[len(LC) + 2:]
 def metric_rows(spark, sf):
     w = wide(spark, sf).select("day", "bin", "t", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("view", "purchase")], "click")
     w = w.withColumn("d", ro.gradient("view", D)).withColumn("x", F.greatest(F.col("click") - 20, F.lit(0.0)))
-    return cg.flare_rows(w, flare_table(spark, sf), 7200, 21600)
+    return cut_lineage(cg.flare_rows(w, flare_table(spark, sf), 7200, 21600), "flare-rows")
 
 
 ROWS = FL + ", " + _WIDE_ONLY + f""",

@@ -26,11 +26,12 @@ def grade_sql(x: str) -> str:
     return "CASE " + " ".join(f"WHEN {x} >= {f} THEN '{n}'" for f, n in GRADE) + " ELSE 'A' END"
 
 
-def swpc(spark, sf, **kw):
+def swpc(spark, sf, only=None, **kw):
     opts = dict(cadence=CADENCE, threshold=THR, window=BG, min_run=1, min_duration=3, short_duration=2,
                 merge_gap=2, classify=grade)
     opts.update(kw)
-    return isl.detect_swpc(lc(spark, sf), **opts)
+    series = lc(spark, sf)
+    return isl.detect_swpc(series if only is None else series.where(F.col("channel") == only), **opts)
 
 
 def swpc_sql(bg_factor=1.5, min_run=1, min_dur=3, short=2, gap=2, thr=THR, name="swpc") -> str:

@@ -10,6 +10,7 @@ from ..operators import learning as le
 from ..operators import ranking as rk
 from ..operators.intervals import flag_upcoming
 from ..operators import windows as wi
+from ..session import cut_lineage
 from ..sources.tables import table
 from .fixtures import BINS, CADENCE, CHANNELS, LC, WIDE, big, final, lc, wide
 from .q_match import EV, TRUTH, truth
@@ -140,29 +141,29 @@ def _weight(spark, sf):
 
 @query("gbt_scores")
 def _gbt(spark, sf):
-    d = le.chronological_split(labelled(spark, sf), "day", ["win"]).cache()
+    d = cut_lineage(le.chronological_split(labelled(spark, sf), "day", ["win"]), "matrix")
     model = le.train_classifier(d.where(F.col("split") == "train"), NAMES, "label", "gbt", maxIter=8, maxDepth=3)
-    out = le.score(model, d.where(F.col("split") != "train"))
-    return present(le.area_scores(out.select("split", "score", "label"), "score", "label", ("split",)))
+    out = cut_lineage(le.score(model, d.where(F.col("split") != "train")).select("split", "score", "label"), "scores")
+    return present(le.area_scores(out, "score", "label", ("split",)))
 
 
 @query("rf_importance")
 def _rf(spark, sf):
-    model = le.train_classifier(labelled(spark, sf), NAMES, "label", "rf", numTrees=12, maxDepth=4)
+    model = le.train_classifier(cut_lineage(labelled(spark, sf), "matrix"), NAMES, "label", "rf", numTrees=12, maxDepth=4)
     return present(le.top_by(le.importances(model, NAMES, spark), (), F.col("importance"), 20, ["feature"]))
 
 
 @query("walk_forward")
 def _walk(spark, sf):
     """Rolling-origin evaluation: one model per fold, scores of all test parts."""
-    folds = le.rolling_origin(labelled(spark, sf), "day", ["win"], folds=3).cache()
+    folds = cut_lineage(le.rolling_origin(cut_lineage(labelled(spark, sf), "matrix"), "day", ["win"], folds=3), "folds")
     parts = None
     for k in range(3):
         fold = folds.where(F.col("fold") == k)
         model = le.train_classifier(fold.where(F.col("role") == "train"), NAMES, "label", "rf", numTrees=8, maxDepth=3)
         scored_part = le.score(model, fold.where(F.col("role") == "test")).select("fold", "score", "label")
         parts = scored_part if parts is None else parts.unionByName(scored_part)
-    return present(le.area_scores(parts, "score", "label", ("fold",)))
+    return present(le.area_scores(cut_lineage(parts, "scores"), "score", "label", ("fold",)))
 
 
 # -- feature statistics ---------------------------------------------------------------------------------------------

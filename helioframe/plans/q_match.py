@@ -11,6 +11,7 @@ from ..operators import islands as isl
 from ..operators import matching as ma
 from ..operators import quality as qu
 from ..operators import rolling as ro
+from ..session import cut_lineage
 from ..sources.tables import table
 from .fixtures import BINS, CADENCE, LC, WIDE, big, final, frame, lc, mad, wide
 from .q_detect import _burst_sql, described_sql, grade_sql, swpc, swpc_sql
@@ -119,13 +120,14 @@ TOL = 3600
 
 
 def soft_events(spark, sf):
-    return swpc(spark, sf).where(F.col("channel") == "view").select(
-        F.col("peak_t").alias("lid"), "day", F.col("peak_t").alias("lt"), "peak_t", "peak_flux", "class")
+    """Event lists are small; written once, so matching and the catalog do not repeat the detection."""
+    found = swpc(spark, sf, only="view")
+    return cut_lineage(found.select(F.col("peak_t").alias("lid"), "day", F.col("peak_t").alias("lt"), "peak_t", "peak_flux", "class"), "soft-events")
 
 
 def hard_events(spark, sf):
     found = isl.detect_burst(lc(spark, sf).where(F.col("channel") == "click"), sigma=3.0, min_duration=1, window=12, cadence=CADENCE)
-    return found.select(F.col("peak_t").alias("rid"), "day", F.col("peak_t").alias("rt"), "peak_t", "peak_flux")
+    return cut_lineage(found.select(F.col("peak_t").alias("rid"), "day", F.col("peak_t").alias("rt"), "peak_t", "peak_flux"), "hard-events")
 
 
 
@@ -147,14 +149,14 @@ mutual AS (SELECT * FROM pairs WHERE rl = 1 AND rr = 1)"""
 BOTH = _both_sql()
 
 
-def mutual(spark, sf):
-    return ma.mutual_nearest(soft_events(spark, sf).select("lid", "day", "lt", F.col("peak_flux").alias("soft_flux")),
-                             hard_events(spark, sf).select("rid", "day", "rt", F.col("peak_flux").alias("hard_flux")), TOL, on=("day",))
+def mutual(soft, hard):
+    return ma.mutual_nearest(soft.select("lid", "day", "lt", F.col("peak_flux").alias("soft_flux")),
+                             hard.select("rid", "day", "rt", F.col("peak_flux").alias("hard_flux")), TOL, on=("day",))
 
 
 @query("coincidence_mutual", final("SELECT *, rt - lt AS dt FROM mutual", "day, lt, rt, dt", "soft_flux hard_flux", BOTH))
 def _mutual(spark, sf):
-    return present(mutual(spark, sf).select("day", "lt", "rt", "dt", "soft_flux", "hard_flux"))
+    return present(mutual(soft_events(spark, sf), hard_events(spark, sf)).select("day", "lt", "rt", "dt", "soft_flux", "hard_flux"))
 
 
 @query("coincidence_catalog", final(
@@ -163,20 +165,22 @@ def _mutual(spark, sf):
   UNION ALL SELECT day, rt, peak_flux, 'HXR', 1, peak_flux, rt, 'hxr_only' FROM ho WHERE peak_flux > 0 AND rt NOT IN (SELECT rt FROM mutual)""",
     "day, peak_t, class, method, hxr_peak_t, " + big("has_hxr"), "peak_flux hxr_peak_flux", BOTH))
 def _catalog(spark, sf):
-    return present(ma.merge_catalogs(soft_events(spark, sf), hard_events(spark, sf), mutual(spark, sf)))
+    soft, hard = soft_events(spark, sf), hard_events(spark, sf)
+    return present(ma.merge_catalogs(soft, hard, mutual(soft, hard)))
 
 
 @query("coincidence_greedy")
 def _greedy(spark, sf):
-    pairs = ma.greedy_pairs(soft_events(spark, sf), hard_events(spark, sf), TOL)
-    return present(ma.merge_catalogs(soft_events(spark, sf), hard_events(spark, sf), pairs))
+    soft, hard = soft_events(spark, sf), hard_events(spark, sf)
+    return present(ma.merge_catalogs(soft, hard, ma.greedy_pairs(soft, hard, TOL)))
 
 
 @query("coincidence_only_right", final(
     "SELECT day, rt, peak_flux FROM ho WHERE NOT EXISTS (SELECT 1 FROM so WHERE so.day = ho.day AND abs(so.lt - ho.rt) <= 3600)", "day, rt", "peak_flux", BOTH))
 def _only_right(spark, sf):
-    near = ma.candidate_pairs(soft_events(spark, sf).select("day", "lt"), hard_events(spark, sf).select("day", "rt"), TOL, "lt", "rt", ("day",))
-    return present(hard_events(spark, sf).join(near.select("day", "rt").distinct(), ["day", "rt"], "left_anti").select("day", "rt", "peak_flux"))
+    soft, hard = soft_events(spark, sf), hard_events(spark, sf)
+    near = ma.candidate_pairs(soft.select("day", "lt"), hard.select("day", "rt"), TOL, "lt", "rt", ("day",))
+    return present(hard.join(near.select("day", "rt").distinct(), ["day", "rt"], "left_anti").select("day", "rt", "peak_flux"))
 
 
 @query("validate_prf", final(
@@ -186,7 +190,8 @@ def _only_right(spark, sf):
    (SELECT day, count(*) AS d FROM so GROUP BY day) FULL JOIN (SELECT day, count(*) AS h FROM ho GROUP BY day) USING (day) FULL JOIN (SELECT day, count(*) AS m FROM mutual GROUP BY day) USING (day)))""",
     "day, tp, fp, fn", "precision recall f1", BOTH))
 def _prf(spark, sf):
-    return present(ma.score_matches(soft_events(spark, sf), hard_events(spark, sf), mutual(spark, sf)))
+    soft, hard = soft_events(spark, sf), hard_events(spark, sf)
+    return present(ma.score_matches(soft, hard, mutual(soft, hard)))
 
 
 @query("validate_greedy")
@@ -203,7 +208,7 @@ def _validate(spark, sf):
   FROM (SELECT day, CAST(epoch(day) AS BIGINT) + peak_bin * {CADENCE} AS peak_t, peak_flux, {grade_sql('peak_flux')} AS class FROM swpc WHERE channel = 'view') f)""",
     "day, peak_t, class, max_t, " + big("confirmed"), "peak_flux max_value", swpc_sql().replace("ev AS (", "evs AS (").replace("FROM ev)", "FROM evs)").replace("FROM ev WHERE", "FROM evs WHERE") + ", " + EV))
 def _confirm(spark, sf):
-    fl = swpc(spark, sf).where(F.col("channel") == "view").select(F.col("peak_t").alias("fid"), "day", "peak_t", "class", "peak_flux")
+    fl = swpc(spark, sf, only="view").select(F.col("peak_t").alias("fid"), "day", "peak_t", "class", "peak_flux")
     hit = ma.peak_in_window(fl, samples(spark, sf, "purchase"), 900, value="value", on=("day",))
     return present(hit.select("day", "peak_t", "class", "max_t", "peak_flux", "max_value",
                               F.when(F.coalesce("max_value", F.lit(0.0)) > 50, 1).otherwise(0).alias("confirmed")))

@@ -239,7 +239,7 @@ def _phases(spark, sf):
     from ..sources.lightcurve import grid_time
 
     s = pe.per_sample(power(spark, sf), ["day"], "view", None, (4, 12)).withColumn("t", grid_time(CADENCE))
-    fl = swpc(spark, sf).where(F.col("channel") == "view").select("day", "start_t", "peak_t", "end_t")
+    fl = swpc(spark, sf, only="view").select("day", "start_t", "peak_t", "end_t")
     return present(pe.phase_power(s, fl, ["day"], 14400, 3600, least=3), 4)
 
 
@@ -287,7 +287,7 @@ def _qpp_flare(spark, sf):
     from ..operators.intervals import range_join
     from pyspark.sql.window import Window
 
-    fl = swpc(spark, sf).where(F.col("channel") == "view").select("day", F.col("start_t").alias("flare"), (F.col("start_t") - 18000).alias("a"), (F.col("end_t") + 18000).alias("b"))
+    fl = swpc(spark, sf, only="view").select("day", F.col("start_t").alias("flare"), (F.col("start_t") - 18000).alias("a"), (F.col("end_t") + 18000).alias("b"))
     rows = range_join(wide(spark, sf).select("day", "t", "view"), fl, "t", "a", "b", 43200, on=("day",))
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("day", "flare").orderBy("t")) - 1)
     found = pe.detect_pulsations(rows, ["day", "flare"], "view", 1.0, 3.0, 12.0, n_freqs=40, least=30, rows=BINS)

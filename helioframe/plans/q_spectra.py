@@ -80,24 +80,30 @@ def _iso(spark, sf):
 CUTS = [10.0, 12.0, 15.0, 18.0, 22.0]
 
 
+def logged(fit):
+    """Normalisations span many decades, so the report carries their logarithms."""
+    out = fit.withColumn("log_norm", F.log10("norm"))
+    return out.withColumn("log_nth", F.when(F.col("n_nth").isNotNull(), F.log10(F.greatest("n_nth", F.lit(1e-30))))).drop("norm", "n_nth")
+
+
 def _nth(src, least=5, name="nt"):
     return f"""{name}_p AS (SELECT label, ec, count(*) AS n, regr_slope(y, x) AS s, regr_intercept(y, x) AS i, (regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x)) / count(*) AS mse
   FROM (SELECT label, ln(counts) AS y, ln(energy) AS x, ec FROM {src}, (SELECT unnest([{', '.join(map(str, CUTS))}]) AS ec) WHERE counts > 0 AND energy >= ec) GROUP BY label, ec HAVING count(*) >= {least}),
 {name} AS (SELECT label, ec, -s AS gamma, exp(i) AS norm, n AS bins, 1 - s AS delta, CASE WHEN -s > 0 THEN exp(i) * pow(ec, s) / -s ELSE 0 END AS n_nth FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY mse, ec) AS rn FROM {name}_p) WHERE rn = 1)"""
 
 
-@query("nonthermal_fit", final("SELECT * FROM nt", "bins, " + big("label"), "ec gamma norm delta n_nth", _ISO + ", " + _nth("sm")))
+@query("nonthermal_fit", final("SELECT label, bins, ec, gamma, delta, log10(norm) AS log_norm, log10(greatest(n_nth, 1e-30)) AS log_nth FROM nt", "bins, " + big("label"), "ec gamma log_norm delta log_nth", _ISO + ", " + _nth("sm")))
 def _nonthermal(spark, sf):
-    return present(sp.non_thermal_fit(label_spectra(spark, sf), ["label"], CUTS))
+    return present(logged(sp.non_thermal_fit(label_spectra(spark, sf), ["label"], CUTS)))
 
 
 @query("thermal_split", final(
-    """SELECT a.label, temp_mk, em, thermal_fraction, ec, gamma, norm, delta, n_nth, bins FROM (SELECT iso.label, temp_mk, em, sum(least(em / energy * exp(-energy / (0.08617 * temp_mk)), counts)) FILTER (energy BETWEEN 5 AND 20) / sum(counts) FILTER (energy BETWEEN 5 AND 20) AS thermal_fraction
+    """SELECT a.label, temp_mk, em, thermal_fraction, ec, gamma, log10(norm) AS log_norm, delta, log10(greatest(n_nth, 1e-30)) AS log_nth, bins FROM (SELECT iso.label, temp_mk, em, sum(least(em / energy * exp(-energy / (0.08617 * temp_mk)), counts)) FILTER (energy BETWEEN 5 AND 20) / sum(counts) FILTER (energy BETWEEN 5 AND 20) AS thermal_fraction
   FROM iso JOIN sm ON sm.label = iso.label GROUP BY iso.label, temp_mk, em) a LEFT JOIN nt ON nt.label = a.label""",
-    "bins, " + big("label"), "temp_mk em thermal_fraction ec gamma norm delta n_nth",
+    "bins, " + big("label"), "temp_mk em thermal_fraction ec gamma log_norm delta log_nth",
     _ISO + ", rs AS (SELECT sm.label, energy, greatest(counts - em / energy * exp(-energy / (0.08617 * temp_mk)), 0) AS counts FROM sm JOIN iso ON iso.label = sm.label WHERE energy > 10), " + _nth("rs", 3)))
 def _split(spark, sf):
-    return present(sp.thermal_split(label_spectra(spark, sf), ["label"], CUTS))
+    return present(logged(sp.thermal_split(label_spectra(spark, sf), ["label"], CUTS)))
 
 
 @query("hardening_track", final(

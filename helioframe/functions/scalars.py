@@ -5,6 +5,8 @@ Every function takes and returns Columns, so all of it stays inside whole-stage
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ CLASS_SCALE = {"A": 1e-3, "B": 1e-1, "C": 1.0, "M": 10.0, "X": 100.0}
 HARD_BACKGROUND = {"czt": [15.0, 12.0, 8.0, 5.0, 70.0], "cdte": [0.15, 0.15, 0.15, 0.15, 0.15]}
 BOLTZMANN_KEV_PER_MK = 0.08617
 KEV_TO_ERG = 1.602e-9
+RATIO_TO_LOG_TEMPERATURE = (0.051, 0.979, 0.184, -0.010)  # powers of log10(long / short)
+RATIO_LIMITS = (1.05, 35.0)
+TEMPERATURE_LIMITS_MK = (3.0, 50.0)
 MASTER_FLAGS = {
     0: "GOOD", 1: "GTI_GAP", 2: "HXR_NO_DATA", 3: "SAA",
     4: "PARTICLE_EVENT", 5: "SATURATED", 6: "INSTRUMENTAL", 7: "MARGINAL",
@@ -93,29 +98,31 @@ def mjd_to_timestamp(mjd) -> Column:
 
 
 # -- detector corrections ------------------------------------------------------------------------
-def deadtime_true_rate(measured, tau: float, steps: int = 50) -> Column:
-    """Solve n*exp(-n*tau) = m for the true rate n with ``steps`` clipped Newton updates.
+def deadtime_true_rate(measured, tau: float, steps: int = 6) -> Column:
+    """Solve n*exp(-n*tau) = m for the true rate n (the branch below the paralysable maximum).
 
-    Rates above the paralysable maximum 1/(e*tau) have no solution and come back NULL; use
-    :func:`deadtime_saturated` to flag them.  The fold runs in the JVM, one row at a time.
+    With a = n*tau this is a = -W(-m*tau).  Cubic (Halley) updates from a series start reach double
+    precision in a handful of steps everywhere, so the fold stays short; it runs in the JVM.  Results
+    are limited to [m, 0.999/tau].  Rates above the maximum 1/(e*tau) have no solution and come back
+    NULL; :func:`deadtime_saturated` flags them.
     """
     m = col(measured).cast("double")
-    top = 0.999 / tau
+    y = m * tau
+    p = F.sqrt(F.greatest(2 * (1 - math.e * y), F.lit(0.0)))
+    start = F.when(y < 0.2, y * (1 + y * (1 + 1.5 * y))).otherwise(1 - p * (1 - p * (1 / 3 - p * 11 / 72)))
 
-    def newton(n, _):
-        decay = F.exp(-n * tau)
-        slope = decay * (F.lit(1.0) - n * tau)
-        step = F.when(F.abs(slope) > 1e-12, (n * decay - m) / slope).otherwise(0.0)
-        return F.least(F.greatest(n - step, m), F.lit(top))
+    def halley(a, _):
+        f = a * F.exp(-a) - y
+        first, second = F.exp(-a) * (1 - a), F.exp(-a) * (a - 2)
+        below = 2 * first * first - f * second
+        return F.when(F.abs(below) > 1e-30, a - 2 * f * first / below).otherwise(a)
 
-    start = F.least(m * 1.5, F.lit(0.99 / tau))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, newton)
-    return F.when(m <= 0, F.lit(0.0)).when(~deadtime_saturated(m, tau), solved)
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halley) / tau
+    limited = F.least(F.greatest(solved, m), F.lit(0.999 / tau))
+    return F.when(m <= 0, F.lit(0.0)).when(~deadtime_saturated(m, tau), limited)
 
 
 def deadtime_saturated(measured, tau: float) -> Column:
-    import math
-
     return col(measured) > 1.0 / (math.e * tau)
 
 
@@ -180,9 +187,9 @@ def ratio_temperature(flux_a, flux_b) -> Column:
     """Temperature in MK from the short/long band ratio (cubic in log10 of the ratio)."""
     fa = F.greatest(col(flux_a), F.lit(2e-8))
     fb = F.greatest(col(flux_b), F.lit(5e-8))
-    w = F.log10(clip(fb / fa, 1.05, 35.0))
-    log_t = 0.051 + 0.979 * w + 0.184 * w * w - 0.010 * w * w * w
-    hot = clip(F.pow(F.lit(10.0), log_t), 3.0, 50.0)
+    w = F.log10(clip(fb / fa, *RATIO_LIMITS))
+    c0, c1, c2, c3 = RATIO_TO_LOG_TEMPERATURE
+    hot = clip(F.pow(F.lit(10.0), c0 + c1 * w + c2 * w * w + c3 * w * w * w), *TEMPERATURE_LIMITS_MK)
     return F.when(~quiet_pair(flux_a, flux_b), hot)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.stats import corr
 from .periodicity import arrays_of
 
+# Fixed values
 GRANGER_LAGS = (1, 3, 5, 10, 20, 30, 60)
 RIDGE_ALPHAS = (0.1, 1.0, 10.0)
 

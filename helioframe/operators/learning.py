@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import exact_quantiles, global_index, ordered_counts, spearman
+from .ranking import exact_quantiles, global_index, ordered_counts, spearman, with_totals
 
 THRESHOLDS = [i / 100 for i in range(1, 100)]
 
@@ -20,7 +20,7 @@ def chronological_split(df: DataFrame, bucket: str, order, shares=(0.7, 0.15)) -
     """``split`` = train / val / test by position in time."""
     d = global_index(df, bucket, order, "idx")
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    d = d.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    d = with_totals(d, total)
     a, b = F.floor(F.col("_n") * shares[0]), F.floor(F.col("_n") * (shares[0] + shares[1]))
     return d.withColumn("split", F.when(F.col("idx") < a, "train").when(F.col("idx") < b, "val").otherwise("test")).drop("_n")
 
@@ -30,7 +30,7 @@ def rolling_origin(df: DataFrame, bucket: str, order, folds=5, val_share=0.2) ->
     last ``val_share`` of them for validation and tests on the next part."""
     d = global_index(df, bucket, order, "idx")
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    d = d.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    d = with_totals(d, total)
     d = d.withColumn("_size", F.floor(F.col("_n") / F.lit(folds + 1)))
     d = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     end = (F.col("fold") + 1) * F.col("_size")
@@ -119,7 +119,7 @@ def curve_points(df: DataFrame, score_col: str, label: str, by=()) -> DataFrame:
     pos, neg = F.sum(F.when(F.col(label) == 1, 1).otherwise(0)), F.sum(F.when(F.col(label) == 1, 0).otherwise(1))
     c = ordered_counts(df, by, score_col, {"pos": pos, "neg": neg})
     t = c.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    d = c.join(t, by) if by else c.withColumn("_one", F.lit(1)).join(t.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    d = c.join(t, by) if by else with_totals(c, t)
     d = d.withColumn("tp", F.col("_P") - F.col("pos_before")).withColumn("fp", F.col("_N") - F.col("neg_before"))
     d = d.withColumn("tpr", F.col("tp") / F.greatest("_P", F.lit(1))).withColumn("fpr", F.col("fp") / F.greatest("_N", F.lit(1)))
     return d.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+# Fixed values
 OMEGA0 = 6.0
 ENERGY_BANDS = {"10_30s": (10, 30), "30_60s": (30, 60), "60_120s": (60, 120), "120_300s": (120, 300), "300_600s": (300, 600)}
 

@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Put the columns of an ungrouped aggregate on every row.  Such a table has exactly one row, which
+    is what makes the broadcast safe."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def bucket_count(df: DataFrame) -> int:
     """A power of two near four times the session's shuffle parallelism."""
     parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -33,8 +39,8 @@ def value_buckets(df: DataFrame, by, value: str, buckets: int | None = None, out
         bounds = df.groupBy(*by).agg(F.percentile_approx(key, probs, F.lit(max(1000, 10 * buckets))).alias("_bounds"))
         d = df.join(bounds, list(by))
     else:
-        bounds = df.agg(F.percentile_approx(key, probs, F.lit(max(1000, 10 * buckets))).alias("_bounds")).withColumn("_one", F.lit(1))
-        d = df.withColumn("_one", F.lit(1)).join(bounds, "_one").drop("_one")
+        bounds = df.agg(F.percentile_approx(key, probs, F.lit(max(1000, 10 * buckets))).alias("_bounds"))
+        d = with_totals(df, bounds)
     d = d.withColumn("_at", F.lit(0))
     jump = buckets // 2
     while jump:
@@ -84,7 +90,7 @@ def exact_quantiles(df: DataFrame, by, value: str, probs) -> DataFrame:
     if by:
         d = counts.join(total, by)
     else:
-        d = counts.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        d = with_totals(counts, total)
     d = d.select(*by, value, "n", "n_before", "_N", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
     pos = F.col("q") * (F.col("_N") - 1)
     lo, hi = F.floor(pos), F.ceil(pos)

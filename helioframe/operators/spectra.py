@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import BOLTZMANN_KEV_PER_MK, KEV_TO_ERG, col
-from ..functions.stats import corr, slope  # noqa: F401  (re-exported for callers)
 
 
 def sum_spectrum(df: DataFrame, keys, ch="ch", counts="counts") -> DataFrame:

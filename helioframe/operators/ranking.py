@@ -86,7 +86,7 @@ def exact_quantiles(df: DataFrame, by, value: str, probs) -> DataFrame:
     """
     by = list(by)
     counts = ordered_counts(df, by, value)
-    total = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_N")) if by else df.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("_N"))
+    total = counts.groupBy(*by).agg(F.sum("n").alias("_N"))
     if by:
         d = counts.join(total, by)
     else:

@@ -261,17 +261,19 @@ def _red(spark, sf):
 FREQS = pe.frequency_grid(1 / 48, 1 / 3, 40)
 
 
-@query("lomb_scargle", final(
-    """SELECT day, f_no, freq, CASE WHEN yy > 1e-12 THEN (CASE WHEN a * a * cc + 2 * a * b * cs + b * b * ss > 1e-12 THEN pow(a * yc + b * ys, 2) / (a * a * cc + 2 * a * b * cs + b * b * ss) ELSE 0 END + CASE WHEN a * a * ss - 2 * a * b * cs + b * b * cc > 1e-12 THEN pow(a * ys - b * yc, 2) / (a * a * ss - 2 * a * b * cs + b * b * cc) ELSE 0 END) / yy ELSE 0 END AS power FROM (
+_LS = """SELECT day, f_no, freq, CASE WHEN yy > 1e-12 THEN (CASE WHEN a * a * cc + 2 * a * b * cs + b * b * ss > 1e-12 THEN pow(a * yc + b * ys, 2) / (a * a * cc + 2 * a * b * cs + b * b * ss) ELSE 0 END + CASE WHEN a * a * ss - 2 * a * b * cs + b * b * cc > 1e-12 THEN pow(a * ys - b * yc, 2) / (a * a * ss - 2 * a * b * cs + b * b * cc) ELSE 0 END) / yy ELSE 0 END AS power FROM (
   SELECT *, cos(0.5 * atan2(2 * cs, cc - ss)) AS a, sin(0.5 * atan2(2 * cs, cc - ss)) AS b FROM (
   SELECT day, f_no, freq, sum(y * cos(2 * pi() * freq * bin)) AS yc, sum(y * sin(2 * pi() * freq * bin)) AS ys, sum(pow(cos(2 * pi() * freq * bin), 2)) AS cc, sum(pow(sin(2 * pi() * freq * bin), 2)) AS ss, sum(cos(2 * pi() * freq * bin) * sin(2 * pi() * freq * bin)) AS cs, sum(y * y) AS yy
-  FROM (SELECT day, bin, view - avg(view) OVER (PARTITION BY day) AS y FROM wide WHERE view IS NOT NULL), fg GROUP BY day, f_no, freq))""",
-    "day, f_no", "freq power", WIDE + f", fg AS (SELECT unnest(range({len(FREQS)})) AS f_no, unnest([{', '.join(map(repr, FREQS))}]) AS freq)"))
+  FROM (SELECT day, bin, view - avg(view) OVER (PARTITION BY day) AS y FROM wide WHERE view IS NOT NULL), fg GROUP BY day, f_no, freq))"""
+_LSC = WIDE + f", fg AS (SELECT unnest(range({len(FREQS)})) AS f_no, unnest([{', '.join(map(repr, FREQS))}]) AS freq)"
+
+
+@query("lomb_scargle", final(_LS, "day, f_no", "freq power", _LSC))
 def _ls(spark, sf):
     return present(pe.lomb_scargle(wide(spark, sf), ["day"], "view", "bin", FREQS))
 
 
-@query("top_periods")
+@query("top_periods", final(f"SELECT day, rank, 1.0 / freq AS period, power FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY power DESC, f_no) AS rank FROM ({_LS})) WHERE rank <= 3", "day, rank", "period power", _LSC))
 def _top(spark, sf):
     return present(pe.top_periods(pe.lomb_scargle(wide(spark, sf), ["day"], "view", "bin", FREQS), ["day"]))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, line_dedup, mixing, tokenids
+from . import chat, decontaminate, embedding_dedup, line_dedup, lm_score, mixing, near_dedup, token_counts, tokenids, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    weights = toxicity.train(documents, labels.where(toxicity.fold(F.col("doc_id")) != 0))
+    held_out = toxicity.fold(F.col("row.doc_id")) == 0
+    return toxicity.score(documents, weights, keep=["doc_id"]).select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 OP2 = f"""
 WITH bw AS (SELECT item_id, {ALNUM_WORDS.format(LOWER.format('text'))} AS w FROM benchmark),
 grams AS (SELECT DISTINCT item_id, list_slice(w, i + 1, i + least(13, len(w))) AS g
@@ -72,6 +80,55 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+OP4 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {SPACE_WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + least(5, len(w))), ' ') AS g
+      FROM d, LATERAL unnest(range(greatest(len(w) - 4, least(len(w), 1)))) AS u(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+         JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+         GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.r = link.a),
+c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op4_near_dedup", OP4)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.classes(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op8_lm_score")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.scores(table(spark, folder, "documents"))
+
+
+ESCAPED = r"replace(replace(replace({}, '\', '\e'), '###', '\h'), '</turn>', '\t')"
+OP9 = f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + length(replace({ESCAPED.format('role')}, ':', '\\c')) + 2 + length({ESCAPED.format('text')}) + 8) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+
+@query("op9_chat", OP9)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(who).alias("role"), F.lit(said).alias("text")) for k, who in enumerate(("user", "assistant"))])).alias("r")).select("r.*")
+    back = chat.read_back(chat.formatted(rows.unionByName(extra)))
+    every = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), digest(every).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        digest(F.col("loss_text")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 OP10 = f"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 k AS (SELECT doc_id, lines, list_transform(lines, lambda x: {LOWER.format("trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")}) AS keys FROM l),
@@ -89,6 +146,33 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op5_token_counts")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = token_counts.byte_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.counted(table(spark, folder, "documents"), vocabulary, keep=["doc_id"]).select("row.doc_id", "n_words", "n_tokens", "longest")
+
+
+OP6 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON reach.r = link.a),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
+@query("op6_embedding_dedup", OP6)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    out = embedding_dedup.linked(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+    return out.select("row.vec_id", "n_links", "component_id", "kept")
+
+
 @query("op7_token_ids")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers

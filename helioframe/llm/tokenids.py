@@ -12,8 +12,8 @@ A sequence (Elias-Fano) keeps the low bits of each value packed, the high bits a
 position of every 512th set bit, so ``Sequence.select`` finds any offset by reading a few bytes and no 64-bit table exists.
 ``start`` counts the ids of all blocks before: sums per part, then inside each part.
 
-Defined cases: null text is an empty document (its end id alone); null ids come first; equal ids stand in the order of
-their texts; empty tables give no rows; further input columns are not written.
+Defined cases: null text is an empty document (its end id alone); null ids come first; equal ids stand in an order
+fixed by hashes of their texts; empty tables give no rows; further input columns are not written.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ END_ID = 2
 BLOCK_IDS = 4_000_000
 MAGIC = {2: 0x31444944, 4: 0x32444944}
 EVERY = 512
-MEMO = 1_000_000
+MEMO = 1_500_000
 
 
 class Sequence:
@@ -125,19 +125,22 @@ class Block:
         return self.bounds.decode()
 
 
-#: A space that follows and precedes a non-space starts a piece whatever stands around it.
-CHUNK = re.compile(r"(?<=\S) (?=\S)")
+#: Texts with these are not cut: there a piece may run on over a full stop, a comma, a space or a line end.
+RUNS = ("  ", " \n", "\n ", "\n\n", " ,", " .", "\0")
+JOINED = re.compile(r"[.,](?:(?<=[^\w\s].)|(?<=_.))")
+CONTROL = re.compile("[\x1c-\x1f]")
+#: In place of ids: the part touches white space, so its text is encoded as a whole.
+ODD = object()
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, remembering the ids of the chunks between single spaces.
+    """Ids of whole texts by the tokenizers library, remembering the ids of their parts.
 
-    The vocabulary's pattern never joins characters over such a space, so a chunk has the same ids in every text.
+    A text is cut before every space, full stop and comma and around every line end.  Except in the texts named by ``RUNS``
+    and ``JOINED``, the vocabulary's pattern cuts there too, so a part has the same ids in every text.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -146,55 +149,44 @@ class Encoder:
         self.kind = {2: "H", 4: "I"}[self.wide]
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.special = re.compile("|".join(map(re.escape, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()])) or r"(?!)")
-        self.pattern = regex.compile(PATTERN)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts: dict[str, bytes | object] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        cut = {c: [" " + c] if c.isalpha() else self.pattern.findall(" " + c) for c in chunks}
-        new = {p for parts in cut.values() for p in parts} - self.pieces.keys()
-        spaced = [p for p in new if p[0] == " " and p != " "]
-        if spaced:  # all at once: a token that starts with a space starts a piece
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, f"<u{self.wide}")
+    def learn(self, parts: set[str]) -> None:
+        words = [p for p in parts if p[:1] == " " and p[1:].isalpha()]
+        if words:  # all in one go: a token with a space in front starts each
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, f"<u{self.wide}")
             at = np.flatnonzero(self.spaced[ids]) * self.wide
-            if len(at) != len(spaced):
-                raise ValueError("a piece has more than one space")
-            raw, ends = ids.tobytes(), [*at[1:].tolist(), len(ids) * self.wide]
-            self.pieces.update((p, raw[a:b]) for p, a, b in zip(spaced, at.tolist(), ends))
-        other = [p for p in new if p[0] != " " or p == " "]
-        self.pieces.update(zip(other, self._ids(other)))
-        self.chunks.update((c, b"".join([self.pieces[p] for p in parts])) for c, parts in cut.items())
+            if len(at) != len(words):
+                raise ValueError("a word has more than one token with a space in front")
+            raw, at = ids.tobytes(), at.tolist()
+            self.parts.update((w, raw[a:b]) for w, a, b in zip(words, at, [*at[1:], len(raw)]))
+        rest = list(parts - self.parts.keys())
+        fits = lambda p: p in ("", " ", "\n") or not (p.removeprefix(" ")[:1].isspace() or p[-1].isspace())
+        self.parts.update(zip(rest, [ids if fits(p) else ODD for p, ids in zip(rest, self._ids(rest))]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.parts) > MEMO:
+            self.parts.clear()
+        plain = [k for k, t in enumerate(texts) if any(x in t for x in (*RUNS, *self.special)) or JOINED.search(t) or CONTROL.search(t)]
+        whole, get = set(plain), self.parts.get
+        cut = {k: t.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0") for k, t in enumerate(texts) if k not in whole}
+        found = {k: list(map(get, parts)) for k, parts in cut.items()}
+        new = {p for k, ids in found.items() if None in ids for p, x in zip(cut[k], ids) if x is None}
+        if new:
+            self.learn(new)
         out: list[bytes | None] = [None] * len(texts)
-        cut, plain = {}, []
-        for k, text in enumerate(texts):
-            if self.special.search(text):
+        for k, ids in found.items():
+            try:
+                out[k] = b"".join(map(get, cut[k]) if None in ids else ids)
+            except TypeError:  # an odd part
                 plain.append(k)
-            elif text:
-                cut[k] = CHUNK.split(text)
-        odd = [k for k, parts in cut.items() if any(" " in p for p in parts[1:])]
-        plain += odd
-        for k in odd:
-            del cut[k]
         for k, ids in zip(plain, self._ids([texts[k] for k in plain])):
             out[k] = ids
-        heads = self._ids([parts[0] for parts in cut.values()])
-        found = {k: list(map(self.chunks.get, parts[1:])) for k, parts in cut.items()}
-        new = {p for k, ids in found.items() if None in ids for p, x in zip(cut[k][1:], ids) if x is None}
-        if new:
-            self.learn(list(new))
-        for (k, parts), head in zip(cut.items(), heads):
-            ids = found[k]
-            out[k] = head + b"".join(map(self.chunks.__getitem__, parts[1:]) if None in ids else ids)
-        if len(self.chunks) > MEMO:
-            self.chunks.clear()
-            self.pieces.clear()
-        return [x or b"" for x in out]
+        return out
 
 
 @functools.lru_cache(2)
@@ -234,7 +226,8 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             yield flush()
 
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
     ordered.mapInArrow(blocks, "part int, block long, n_docs long, n_ids long, body binary").write.option("compression", "none").parquet(path)
 
 

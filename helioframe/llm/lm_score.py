@@ -4,7 +4,7 @@
                  alpha * c(w2) / N           otherwise
     S(first word) = c(w) / N
 
-A document's score is the sum of log S over its words.  Counts cover every document, in three passes over the texts:
+A document's score is the sum of log S over its words.  Counts cover every document, in a few passes over the texts:
 
 1. Word counts, added up inside each Arrow batch before the shuffle.  They live in a table of ``2**slots`` hash slots (words
    in one slot share its count), so what is broadcast has a fixed size whatever the corpus.
@@ -34,6 +34,7 @@ from .text import mixed, space_words, word_hashes
 
 ALPHA, LEAST = 0.4, 2
 SLOTS, BUCKET_PAIRS, HOT_FLOOR, IN_BATCH = 22, 2_000_000, 20_000, 8
+NO_ID = np.iinfo(np.int64).min
 
 
 def words32(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,35 +109,41 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", alp
     sent = bodies.sparkSession.sparkContext.broadcast((np.log(np.maximum(unigrams, 1)).astype(np.float32), hot, np.log(np.maximum(times, 1))))
     log_total, log_alpha = float(np.log(total)), float(np.log(alpha))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_count, hot, log_hot = sent.value
+    def split(batch: pa.RecordBatch):
+        """Words of a batch, and its pairs as hot ones (with their place in the table) and others."""
+        words, lengths = words32(batch.column(1))
+        pair, doc = pairs_of(words, lengths)
+        hot = sent.value[1]
+        at = np.minimum(np.searchsorted(hot, pair), max(0, len(hot) - 1))
+        is_hot = hot[at] == pair if len(hot) else np.zeros(len(pair), bool)
+        return words, lengths, pair, doc, at, is_hot
+
+    def score_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First words and hot pairs, whose counts are at hand."""
+        log_count, _, log_hot = sent.value
         for batch in batches:
-            words, lengths = words32(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else None
-            pair, doc = pairs_of(words, lengths)
-            starts = np.cumsum(lengths) - lengths
-            base = np.zeros(len(lengths))
-            some = lengths > 0
-            base[some] = log_count[slot(words[starts[some]], slots)] - log_total
-            at = np.searchsorted(hot, pair) if len(hot) else np.zeros(len(pair), np.int64)
-            is_hot = hot[np.minimum(at, len(hot) - 1)] == pair if len(hot) else np.zeros(len(pair), bool)
+            words, lengths, pair, doc, at, is_hot = split(batch)
+            base, some = np.zeros(len(lengths)), lengths > 0
+            base[some] = log_count[slot(words[(np.cumsum(lengths) - lengths)[some]], slots)] - log_total
             w1 = (pair[is_hot] >> np.uint64(32)).astype(np.uint32)
             base += np.bincount(doc[is_hot], log_hot[at[is_hot]] - log_count[slot(w1, slots)], len(lengths))
-            names = ["bucket", "doc_id", "n_words", "base", "docs", "sizes", "pairs"]
-            one = [pa.nulls(len(lengths), pa.int64()), batch.column(0), *_longs(lengths), pa.array(base), *(pa.nulls(len(lengths), pa.binary()) for _ in range(3))]
-            yield pa.RecordBatch.from_arrays(one, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_longs(lengths), pa.array(base)], names=["doc_id", "n_words", "base"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Other pairs, packed per bucket: ids of the texts, how many pairs each has there, and the pairs in that order."""
+        for batch in batches:
+            *_, pair, doc, _, is_hot = split(batch)
             pair, doc = pair[~is_hot], doc[~is_hot]
+            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             bucket = (mixed(pair) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")  # texts stay in order inside a bucket
             pair, doc, edges = pair[order], doc[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = []
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 mine, sizes = np.unique(doc[edges[b] : edges[b + 1]], return_counts=True)
-                owners = ids[mine] if ids is not None else np.array(batch.column(0).take(pa.array(mine)).fill_null(np.iinfo(np.int64).min))
-                rows.append((b, owners.astype(np.int64).tobytes(), sizes.astype(np.uint32).tobytes(), pair[edges[b] : edges[b + 1]].tobytes()))
-            n = len(rows)
-            packed_rows = [pa.array([r[0] for r in rows], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))]
-            yield pa.RecordBatch.from_arrays(packed_rows, names=names)
+                rows.append((b, ids[mine].tobytes(), sizes.astype(np.uint32).tobytes(), pair[edges[b] : edges[b + 1]].tobytes()))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], names=["bucket", "docs", "sizes", "pairs"])
 
     def join(table: pa.Table) -> pa.Table:
         log_count = sent.value[0]
@@ -148,11 +155,10 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", alp
         backed = log_alpha + log_count[slot(w2, slots)] - log_total
         value = np.where(n >= least, np.log(n) - log_count[slot(w1, slots)], backed)
         owners, back = np.unique(np.repeat(ids, sizes), return_inverse=True)
-        lowest = np.iinfo(np.int64).min
-        return pa.table({"doc_id": pa.array(owners, mask=owners == lowest), "n_words": pa.array(np.zeros(len(owners), np.int64)), "base": np.bincount(back, value)})
+        return pa.table({"doc_id": pa.array(owners, mask=owners == NO_ID), "n_words": pa.array(np.zeros(len(owners), np.int64)), "base": np.bincount(back, value)})
 
-    dealt = cut_lineage(bodies.mapInArrow(deal, "bucket long, doc_id long, n_words long, base double, docs binary, sizes binary, pairs binary"), "pairs")
-    parts = dealt.where("bucket is not null").select("bucket", "docs", "sizes", "pairs").groupBy("bucket").applyInArrow(join, "doc_id long, n_words long, base double")
-    own = dealt.where("bucket is null").select("doc_id", "n_words", "base")
+    own = bodies.mapInArrow(score_here, "doc_id long, n_words long, base double")
+    dealt = bodies.mapInArrow(deal, "bucket long, docs binary, sizes binary, pairs binary")
+    parts = dealt.groupBy("bucket").applyInArrow(join, "doc_id long, n_words long, base double")
     out = own.unionByName(parts).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("base").alias("log_score"))
     return out.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -28,13 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
 from ..session import cut_lineage
 from .components import components
-from .text import mixed, space_words, window_hashes, word_hashes
+from .text import mixed, packed, space_words, window_hashes, word_hashes
 
 SHINGLE = 5
 SHARE = (75, 100)
@@ -67,7 +67,7 @@ def table_keys(subs: np.ndarray) -> np.ndarray:
 
 
 def sets(documents: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, subs) of (doc_id, body); the fingerprint is null and ``subs`` empty without shingles."""
+    """(doc_id, text_hash, n_shingles, f1, f2, subs) of (doc_id, body, text_hash); the fingerprint is null and ``subs`` empty without shingles."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +80,9 @@ def sets(documents: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int =
                 f2.append(None if mark is None else (mark & (2**64 - 1)) - 2**63)
                 subs.append(sub_keys(s, bands, rows).view(np.int64) if len(s) else [])
             made = [pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(subs, LONGS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_shingles", "f1", "f2", "subs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["doc_id", "text_hash", "n_shingles", "f1", "f2", "subs"])
 
-    return documents.mapInArrow(make, "doc_id long, n_shingles long, f1 long, f2 long, subs array<bigint>")
+    return documents.mapInArrow(make, "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, subs array<bigint>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -226,9 +226,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int = SHINGLE, share: tuple
 
 
 def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE, share: tuple[int, int] = SHARE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, f1, f2, n_shingles, rep, component_id, kept) of every row: its set, the class of equal sets and the component."""
+    """(doc_id, text_hash, n_shingles, rep, component_id, kept) of every row: its set's size, the class of equal sets and the component."""
     bodies = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("body"))
-    all_sets = cut_lineage(sets(bodies, n, bands, rows), "sets")
+    hashed = bodies.withColumn("text_hash", F.xxhash64("body"))
+    all_sets = cut_lineage(sets(hashed, n, bands, rows), "sets")
     full = all_sets.where("f1 is not null and doc_id is not null")
     reps = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = cut_lineage(reps, "classes")
@@ -250,6 +251,25 @@ def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         links = links.union(cut_lineage(confirmed(more, texts, n, share).select("a", "b"), "confirmed"))
     groups = reps.join(components(links).withColumnRenamed("id", "rep"), "rep", "left")
     groups = groups.select("f1", "f2", "rep", F.coalesce("component", "rep").alias("component"))
-    out = all_sets.select("doc_id", "f1", "f2", "n_shingles").join(groups, ["f1", "f2"], "left")
+    out = all_sets.select("doc_id", "text_hash", "f1", "f2", "n_shingles").join(groups, ["f1", "f2"], "left")
     own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "f1", "f2", "n_shingles", "rep", own_id.alias("component_id"), F.coalesce(F.col("doc_id") == own_id, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", "rep", own_id.alias("component_id"), F.coalesce(F.col("doc_id") == own_id, F.lit(True)).alias("kept"))
+
+
+def dedup(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The input columns of one document of each component, the one with the smallest id (of rows that share it, one).
+
+    Rows without shingles or id all stay."""
+    decided = cut_lineage(classes(documents, doc_id, text, **options), "decided")
+    one = F.min("text_hash").over(Window.partitionBy("doc_id"))
+    heads = decided.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "text_hash").count().withColumn("first", one)
+    heads = cut_lineage(heads, "heads")
+    gone = decided.where("not kept").select("doc_id", "text_hash").union(heads.where("text_hash <> first").select("doc_id", "text_hash"))
+    gone = cut_lineage(gone.distinct().toDF("_gone_id", "_gone_hash"), "gone")
+    again = heads.where("text_hash = first and count > 1").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
+    rows = packed(documents, text).select("row", F.col(f"row.`{doc_id}`").cast("long").alias("_id"), F.xxhash64("body").alias("_hash"))
+    same = lambda other: (F.col("_id") == other["_gone_id"]) & (F.col("_hash") == other["_gone_hash"])
+    left = rows.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():  # repeated rows: one of each
+        left = left.join(again, same(again), "left_anti").union(left.join(again, same(again), "left_semi").dropDuplicates(["_id", "_hash"]))
+    return left.select("row.*")

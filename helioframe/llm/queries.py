@@ -36,6 +36,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(documents, weights, keep=["doc_id"]).select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 OP2 = f"""
 WITH bw AS (SELECT item_id, {ALNUM_WORDS.format(LOWER.format('text'))} AS w FROM benchmark),
 grams AS (SELECT DISTINCT item_id, list_slice(w, i + 1, i + least(13, len(w))) AS g

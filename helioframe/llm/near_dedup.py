@@ -14,8 +14,8 @@ Plan.
    shuffle once per batch, and candidates grow with documents, not with the square of a bucket.
 3. Candidates that could reach the threshold by size are confirmed on the whole texts; links make components.
 4. Second round: keys shared by several components, one changing member per component and key, in stars again.
-5. Last round: in keys that several components still share, every pair across components is confirmed.  No shared key is
-   left untested, so no candidate link between different components is lost.
+5. Last round: the texts in keys that several components still share go through an exact prefix join across components (rare
+   shingles first), so no candidate link between different components is lost and no bucket is expanded into all its pairs.
 
 Defined cases: null, empty or blank texts have no shingle, link with nothing and are kept; fewer words than ``n`` are one
 shingle; documents without an id are compared with nothing (component null) and kept; rows that share an id are judged
@@ -190,14 +190,53 @@ def _exploded(active: DataFrame) -> DataFrame:
     return active.mapInArrow(explode, "key long, label long, id long, n long")
 
 
-def _last_round(active: DataFrame, share) -> DataFrame:
-    """Every pair across components in the keys that several components share."""
+def _prefixes(share, slots: int, counts=None, n: int = SHINGLE):
+    """Texts (id, label, n, body) -> shingle counts by hash slot, or with those counts the prefix shingles of every text.
+
+    Two sets of share t have a shingle in common among the first ``n - ceil(t * n) + 1`` of each, in any order that is the same
+    for all sets; rare shingles first keeps what many texts share out of the prefixes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [shingles(b.as_py(), n) & np.uint64(slots - 1) for b in batch.column("body")]
+            slot, times = np.unique(np.concatenate([*at, np.empty(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(times.astype(np.int64))], names=["slot", "times"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for body in batch.column("body"):
+                s = shingles(body.as_py(), n)
+                order = np.lexsort((s, counts.value[s & np.uint64(slots - 1)]))
+                found.append(s[order[: len(s) + share[0] * len(s) // -share[1] + 1]].view(np.int64))
+            size = np.array([len(f) for f in found], np.int64)
+            column = lambda name: pa.array(np.repeat(batch.column(name).to_numpy(), size), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)])), *map(column, ("label", "id", "n"))], names=["token", "label", "id", "n"])
+
+    return count if counts is None else cut
+
+
+def _last_round(active: DataFrame, texts: DataFrame, share, n: int = SHINGLE, slots: int = 1 << 20) -> DataFrame:
+    """Pairs across components that could be links, among the texts in keys that several components share.
+
+    An exact prefix join instead of all pairs of a key: texts that have a common passage share keys, but not their rare shingles."""
     dealt = active.mapInArrow(_deal(True, False, share), ENTRY).repartition("key")
     shared = dealt.sortWithinPartitions("key", F.desc("weight"), "id").mapInArrow(_meet(share, mixed_keys=True), "key long").distinct()
-    members = cut_lineage(_exploded(active).join(cut_lineage(shared, "shared"), "key", "left_semi"), "members")
-    other = members.select("key", F.col("label").alias("label2"), F.col("id").alias("b"), F.col("n").alias("n2"))
+    members = _exploded(active).join(cut_lineage(shared, "shared"), "key", "left_semi").select("id", "label", "n").distinct()
+    bodies = cut_lineage(texts.join(members, "id").select("id", "label", "n", "body"), "members")
+    counted = bodies.mapInArrow(_prefixes(share, slots, n=n), "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    counts = np.zeros(slots, np.int64)
+    counts[counted.column("slot").to_numpy()] = counted.column("times").to_numpy()
+    sent = active.sparkSession.sparkContext.broadcast(counts)
+    tokens = cut_lineage(bodies.mapInArrow(_prefixes(share, slots, sent, n), "token long, label long, id long, n long"), "prefixes")
+    # only tokens of several components; their largest component meets the others, never itself
+    by_label = tokens.groupBy("token", "label").count().groupBy("token")
+    several = by_label.agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("count", "label")).alias("top")).where("labels > 1")
+    rows = cut_lineage(tokens.join(several.select("token", F.col("top.label").alias("top")), "token"), "tokens")
+    other = rows.select("token", F.col("label").alias("label2"), F.col("id").alias("b"), F.col("n").alias("n2"))
     fits = share[1] * F.least("n", "n2") >= share[0] * F.greatest("n", "n2")
-    pairs = members.join(other, "key").where((F.col("label") < F.col("label2")) & fits & (F.col("id") != F.col("b")))
+    once = (F.col("label2") == F.col("top")) | (F.col("id") < F.col("b"))
+    pairs = rows.where("label <> top").join(other, "token").where((F.col("label") != F.col("label2")) & once & fits & (F.col("id") != F.col("b")))
     return pairs.select(F.col("id").alias("a"), "b").distinct()
 
 
@@ -245,7 +284,7 @@ def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     for step in range(2):
         labelled = active.join(components(links), "id", "left").select("id", "n", "subs", F.coalesce("component", "id").alias("label"))
         labelled = cut_lineage(labelled, "labelled")
-        more = _round(labelled, share, by_label=True, salt=step) if step == 0 else _last_round(labelled, share)
+        more = _round(labelled, share, by_label=True, salt=step) if step == 0 else _last_round(labelled, texts, share, n)
         more = cut_lineage(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
         tested = tested.union(more)
         links = links.union(cut_lineage(confirmed(more, texts, n, share).select("a", "b"), "confirmed"))

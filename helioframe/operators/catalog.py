@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import corr
 from .intervals import range_join
+from .ranking import exact_quantiles
 
 
 def flare_rows(grid: DataFrame, flares: DataFrame, before: int, width: int, on=("day",)) -> DataFrame:
@@ -146,7 +147,13 @@ def band_summary(df: DataFrame, bands, reference: str, by=(), upper=100.0) -> Da
     """Hardness of each band against a reference band: mean, median, deviation of ratios in (0, upper)."""
     opts = F.array(*[F.struct(F.lit(b).alias("band"), F.when(F.col(reference) > 0, F.col(b) / F.col(reference)).alias("ratio")) for b in bands])
     long = df.select(*by, F.inline(opts)).where((F.col("ratio") > 0) & (F.col("ratio") < upper))
-    return long.groupBy(*by, "band").agg(F.count(F.lit(1)).alias("n"), F.avg("ratio").alias("mean"), F.percentile("ratio", F.lit(0.5)).alias("median"), F.stddev_pop("ratio").alias("std"))
+    stats = long.groupBy(*by, "band").agg(F.count(F.lit(1)).alias("n"), F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("std"))
+    return stats.join(median_of(long, [*by, "band"], "ratio"), [*by, "band"]).select(*by, "band", "n", "mean", "median", "std")
+
+
+def median_of(df: DataFrame, by, value: str) -> DataFrame:
+    """(by, median): exact on groups of any size, never ordered in one task."""
+    return exact_quantiles(df, by, value, [0.5]).select(*by, F.col("quantile").alias("median"))
 
 
 def numeric_summary(df: DataFrame, columns, by=()) -> DataFrame:
@@ -184,8 +191,8 @@ def periods(day: Column, start: str, end: str) -> Column:
 
 
 def signal_to_noise(df: DataFrame, value: str, by) -> DataFrame:
-    return df.groupBy(*by).agg(F.max(value).alias("peak"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_pop(value).alias("std")).withColumn(
-        "snr", F.when(F.col("std") > 0, (F.col("peak") - F.col("median")) / F.col("std")))
+    stats = df.groupBy(*by).agg(F.max(value).alias("peak"), F.stddev_pop(value).alias("std")).join(median_of(df, by, value), list(by), "left")
+    return stats.withColumn("snr", F.when(F.col("std") > 0, (F.col("peak") - F.col("median")) / F.col("std")))
 
 
 def group_activity(values: DataFrame, groups: DataFrame, keys, top=5) -> DataFrame:

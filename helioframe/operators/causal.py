@@ -18,19 +18,22 @@ RIDGE_ALPHAS = (0.1, 1.0, 10.0)
 
 @F.pandas_udf(T.StructType([T.StructField("r", T.DoubleType()), T.StructField("lag", T.LongType())]))
 def _lead_scan(x: pd.Series, y: pd.Series, limit: pd.Series) -> pd.DataFrame:
-    """Strongest Pearson correlation of x(t) with y(t+lag), lag = 1..limit (first one on a tie)."""
+    """Strongest Pearson correlation of x(t) with y(t+lag), lag = 1..limit (first one on a tie); NULL for series under 2 * limit."""
     out = []
     for a, b, m in zip(x, y, limit):
         a, b, best = np.asarray(a, dtype=float), np.asarray(b, dtype=float), (0.0, 0)
         n = min(len(a), len(b))
-        for k in range(1, int(m) + 1) if n >= 2 * int(m) else ():
+        if n < 2 * int(m):
+            out.append((None, None))
+            continue
+        for k in range(1, int(m) + 1):
             u, v = a[: n - k] - a[: n - k].mean(), b[k:n] - b[k:n].mean()
             scale = np.sqrt((u @ u) * (v @ v))
             r = float(u @ v / scale) if scale > 1e-12 else 0.0
             if abs(r) > abs(best[0]) + 1e-12:
                 best = (r, k)
         out.append(best)
-    return pd.DataFrame(out, columns=["r", "lag"])
+    return pd.DataFrame(out, columns=["r", "lag"]).astype({"r": "Float64", "lag": "Int64"})
 
 
 def lag_edges(df: DataFrame, keys, bands: list[str], max_lag=30, threshold=0.1, order="bin") -> DataFrame:
@@ -110,8 +113,8 @@ def granger(df: DataFrame, keys, cause: str, effect: str, order="bin", lags=GRAN
     def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         c, e, n = pdf["c"].to_numpy(float), pdf["e"].to_numpy(float), len(pdf)
-        found = (0, 0, 0.0, 0.0, 0.0)
-        for lag in [k for k in lags if n >= max_lag * 3 and k <= n // 4 and n - k >= 2 * k]:
+        found = (0, 0, 0.0, 0.0, 0.0) if n >= max_lag * 3 else (None,) * 5  # too short to tell
+        for lag in [k for k in lags if found[0] is not None and k <= n // 4 and n - k >= 2 * k]:
             past = lambda s: np.column_stack([s[lag - j - 1: n - j - 1] for j in range(lag)])
             y, own, with_cause = e[lag:], past(e), np.column_stack([past(e), past(c)])
             size = len(y) // (min(folds, n // max_lag) + 1)

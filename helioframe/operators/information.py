@@ -70,20 +70,22 @@ def sample_entropy(arr: pd.Series, m: pd.Series, factor: pd.Series) -> pd.Series
 
 @F.pandas_udf(T.StructType([T.StructField("r", T.DoubleType()), T.StructField("lag", T.LongType())]))
 def lag_scan(x: pd.Series, y: pd.Series, limit: pd.Series) -> pd.DataFrame:
-    """Strongest standardised cross-correlation within +-limit samples; positive lag = x later than y."""
+    """Strongest standardised cross-correlation within +-limit samples; positive lag = x later than y.
+
+    NULL for series shorter than twice the limit: too short to tell is not the same as uncorrelated."""
     out = []
     for a, b, m in zip(x, y, limit):
         a, b, m = np.asarray(a, dtype=float), np.asarray(b, dtype=float), int(m)
         n = min(len(a), len(b))
         if n < 2 * m or n == 0:
-            out.append((0.0, 0))
+            out.append((None, None))
             continue
         a, b = a[:n], b[:n]
         a, b = (a - a.mean()) / (a.std() + 1e-10), (b - b.mean()) / (b.std() + 1e-10)
         r = [float(np.dot(a[k:], b[: n - k]) if k >= 0 else np.dot(a[: n + k], b[-k:])) / n for k in range(-m, m + 1)]
         best = int(np.argmax(np.abs(r)))
         out.append((r[best], best - m))
-    return pd.DataFrame(out, columns=["r", "lag"])
+    return pd.DataFrame(out, columns=["r", "lag"]).astype({"r": "Float64", "lag": "Int64"})
 
 
 def lag_table(df: DataFrame, keys, x: str, y: str, lags, order="bin") -> DataFrame:
@@ -132,7 +134,8 @@ def _windowed_lags(x: pd.Series, y: pd.Series, half: pd.Series, limit: pd.Series
             r = cov / (np.sqrt(va * vb) * size + 1e-30)
             better = r > best + 1e-12
             best, lag = np.where(better, r, best), np.where(better, k, lag)
-        for i, r, k in zip(mid, best, lag):
+        varied = (va > 1e-12 * (a @ a) / n) & (vb > 1e-12 * (b @ b) / n)
+        for i, r, k in zip(mid[varied], best[varied], lag[varied]):
             out[i] = {"r": float(r), "lag": int(k)}
         return out
 
@@ -140,7 +143,8 @@ def _windowed_lags(x: pd.Series, y: pd.Series, half: pd.Series, limit: pd.Series
 
 
 def rolling_lag(df: DataFrame, x: str, y: str, half: int, max_lag: int, keys=("day",), good: str | None = None) -> DataFrame:
-    """Best cross-correlation lag of x against y within +-half samples of every (good) row."""
+    """Best cross-correlation lag of x against y within +-half samples of every (good) row; NULL where the window is cut by the
+    end of the series or one side does not vary."""
     arr = arrays_of(df, keys, [x, y])
     best = arr.select(*keys, F.posexplode(_windowed_lags(x, y, F.lit(half), F.lit(max_lag))).alias("bin", "b"))
     best = best.select(*keys, F.col("bin").cast("bigint").alias("bin"), F.col("b.r").alias("xcorr"), F.col("b.lag").alias("xcorr_lag"))

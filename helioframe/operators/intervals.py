@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import sized
+
 
 def cover_buckets(intervals: DataFrame, start: str, stop: str, width: int, name="bucket") -> DataFrame:
     """One row per time bucket an interval touches: the equality key of a range join."""
@@ -61,7 +63,7 @@ def covered(points: DataFrame, intervals: DataFrame, t="t", start="start", stop=
     merged = merge_intervals(cut_to_buckets(intervals, start, stop, width), [*on, "bucket"], start, stop)
     left = points.withColumn("bucket", bucket_of(t, width))
     right = merged.select(*on, "bucket", F.col(start).alias("_a"), F.col(stop).alias("_b"))
-    spans = right.groupBy(*on, "bucket").agg(F.collect_list(F.struct("_a", "_b")).alias("_spans"))
+    spans = sized(right.groupBy(*on, "bucket").agg(F.collect_list(F.struct("_a", "_b")).alias("_spans")), "spans")
     hit = F.exists("_spans", lambda s: (F.col(t) >= s["_a"]) & (F.col(t) <= s["_b"]))
     return left.join(spans, [*on, "bucket"], "left").withColumn("inside", F.coalesce(hit, F.lit(False))).drop("_spans", "bucket")
 

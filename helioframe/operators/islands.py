@@ -33,15 +33,15 @@ def runs(df: DataFrame, flag, keys=KEYS, t="t") -> DataFrame:
 
 def detect_swpc(lc: DataFrame, cadence=1, threshold=1e-6, window=600, bg_factor=1.5, min_run=10,
                 min_duration=240, short_duration: int | None = 10, merge_gap=60, value="v",
-                keys=KEYS, engine="auto", classify=class_letter) -> DataFrame:
+                keys=KEYS, classify=class_letter) -> DataFrame:
     """Onset / peak / half-decay flare detector over a rolling low-quantile background.
 
     Lengths are rows.  ``short_duration`` is the relaxed minimum for peaks ten times over threshold
-    (``None`` switches it off).  One shuffle: every step below keeps the (channel, day) partitioning.
+    (``None`` switches it off).  The background is one group per (channel, day); every step after it keeps its partitioning.
     """
     last_end = bins_per_day(cadence) - 2
     df = lc.withColumn("_v", F.coalesce(col(value), F.lit(0.0)))
-    df = rolling_quantile(df, "_v", 0.1, window, "_bg", keys, engine)
+    df = rolling_quantile(df, "_v", 0.1, window, "_bg", keys)
     noisy = F.col("_v") > F.greatest(F.col("_bg") * bg_factor, F.lit(0.1 * threshold))
     df = run_ids(df, noisy, keys=keys).where("_flag")
 
@@ -110,13 +110,13 @@ def _peaks_of_runs(df: DataFrame, flag, value: str, keys) -> DataFrame:
     ).select(*keys, "start_bin", "end_bin", F.expr("-_top.nb").alias("peak_bin"), F.expr("_top.v").alias("peak_flux"))
 
 
-def detect_burst(lc: DataFrame, sigma=5.0, min_duration=60, window=300, value="v", keys=KEYS, cadence=1, engine="auto") -> DataFrame:
+def detect_burst(lc: DataFrame, sigma=5.0, min_duration=60, window=300, value="v", keys=KEYS, cadence=1) -> DataFrame:
     """Runs over sigma * MAD of the rolling-median residual; a day without scatter has no events.
 
     The run end is the first row below the threshold (or the last row of the day).
     """
     df = lc.withColumn("_v", F.coalesce(col(value), F.lit(0.0)))
-    df = median_residual(df, "_v", window, keys, engine)
+    df = median_residual(df, "_v", window, keys)
     df = mad_sigma(df, "residual", "_sd", keys)
     last = bins_per_day(cadence) - 1
     over = (F.col("residual") > sigma * F.col("_sd")) & (F.col("_sd") >= 1e-10 * 1.4826)
@@ -129,6 +129,22 @@ def detect_burst(lc: DataFrame, sigma=5.0, min_duration=60, window=300, value="v
     ).withColumn("end_t", base + F.col("end_bin") * cadence)
 
 
+def detect_wavelet(power: DataFrame, signal: str, sigma=3.0, min_duration=60, keys=KEYS) -> DataFrame:
+    """Runs of samples whose largest wavelet power over all scales exceeds median + sigma * deviation of the day.
+
+    ``power`` has one row per key and scale with the array ``p_<signal>`` (``wavelet_power``); the maximum
+    over scales is taken map-side before the day's rows meet.
+    """
+    keys = list(keys)
+    cells = power.select(*keys, F.posexplode(f"p_{signal}").alias("bin", "p"))
+    top = cells.groupBy(*keys, F.col("bin").cast("bigint").alias("bin")).agg(F.max("p").alias("peak_power"))
+    day = whole(keys)
+    limit = F.percentile("peak_power", F.lit(0.5)).over(day) + sigma * F.stddev_pop("peak_power").over(day)
+    df = top.withColumn("_over", F.col("peak_power") > limit)
+    ev = _peaks_of_runs(df, F.col("_over"), "peak_power", keys).withColumnRenamed("peak_flux", "peak_power")
+    return ev.withColumn("rows", F.col("end_bin") - F.col("start_bin") + 1).where(F.col("rows") >= min_duration)
+
+
 def detect_threshold(lc: DataFrame, sigma=5.0, min_duration=60, value="v", keys=KEYS) -> DataFrame:
     """Runs of samples over sigma * MAD, without a background."""
     df = lc.withColumn("_v", F.coalesce(col(value), F.lit(0.0)))
@@ -138,10 +154,10 @@ def detect_threshold(lc: DataFrame, sigma=5.0, min_duration=60, value="v", keys=
 
 
 def detect_adaptive(lc: DataFrame, sigma=3.0, min_duration=60, min_peak=100.0, window=600, value="v",
-                    keys=KEYS, grades=((10000.0, "X-equiv"), (1000.0, "M-equiv"), (100.0, "C-equiv")), engine="auto") -> DataFrame:
+                    keys=KEYS, grades=((10000.0, "X-equiv"), (1000.0, "M-equiv"), (100.0, "C-equiv"))) -> DataFrame:
     """Adaptive-threshold events with mean rise and fall rates around the peak."""
     df = lc.withColumn("_v", F.coalesce(col(value), F.lit(0.0)))
-    df = median_residual(df, "_v", window, keys, engine)
+    df = median_residual(df, "_v", window, keys)
     df = mad_sigma(df, "residual", "_sd", keys)
     df = run_ids(df, F.col("residual") > sigma * F.col("_sd"), keys=keys).where("_flag")
     run = Window.partitionBy(*keys, "run")

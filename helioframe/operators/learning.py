@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import sized
 from .ranking import exact_quantiles, global_index, ordered_counts, spearman, with_totals
 
 THRESHOLDS = [i / 100 for i in range(1, 100)]
@@ -172,7 +173,7 @@ def feature_information(df: DataFrame, features, label: str, bins=16) -> DataFra
     ``bins`` x classes counts.
     """
     long = to_long(df, [label], features)
-    span = long.groupBy("feature").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    span = sized(long.groupBy("feature").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi")), "ranges")
     cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
     cells = long.join(span, "feature").groupBy("feature", cell.cast("bigint").alias("_i"), F.col(label).alias("_j")).agg(F.count(F.lit(1)).alias("c"))
     over = lambda *k: F.sum("c").over(Window.partitionBy("feature", *k))
@@ -184,7 +185,7 @@ def trimmed_histograms(df: DataFrame, features, label: str, bins=50, trim=(0.01,
     """Density per (feature, label, bin) between the trimmed quantiles of the feature."""
     long = to_long(df, [label], features)
     q = exact_quantiles(long, ["feature"], "x", trim).groupBy("feature").agg(F.min("quantile").alias("_lo"), F.max("quantile").alias("_hi"))
-    d = long.join(q, "feature").where((F.col("x") >= F.col("_lo")) & (F.col("x") <= F.col("_hi")) & (F.col("_hi") > F.col("_lo")))
+    d = long.join(sized(q, "ranges"), "feature").where((F.col("x") >= F.col("_lo")) & (F.col("x") <= F.col("_hi")) & (F.col("_hi") > F.col("_lo")))
     cell = F.least(F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("bigint")
     c = d.groupBy("feature", F.col(label).alias("label"), "_lo", "_hi", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("feature", "label"))

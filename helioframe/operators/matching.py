@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,33 +32,49 @@ def mutual_nearest(left: DataFrame, right: DataFrame, tol: int, lt="lt", rt="rt"
     return ranked.where((F.col("_rl") == 1) & (F.col("_rr") == 1)).drop("_rl", "_rr").withColumn("dt", F.col(rt) - F.col(lt))
 
 
+def chains(events: DataFrame, tol: float, day="day", time="time", out="chain") -> DataFrame:
+    """Numbers the chains of events whose neighbours in time lie within ``tol``, over midnight too.
+
+    Windows run inside a day; the table that carries the last time and the number of breaks from day to day has one row a day.
+    """
+    inside = Window.partitionBy(day).orderBy(time)
+    e = events.withColumn("_gap", F.col(time) - F.lag(time).over(inside))
+    e = e.withColumn("_break", F.coalesce((F.col("_gap") > tol).cast("long"), F.lit(0)))
+    days = e.groupBy(day).agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.sum("_break").alias("_n"))
+    order = Window.orderBy(day)
+    days = days.withColumn("_open", F.coalesce((F.col("_first") - F.lag("_last").over(order) > tol).cast("long"), F.lit(1)))
+    before = F.coalesce(F.sum(F.col("_n") + F.col("_open")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(day, (before + F.col("_open")).alias("_base"))
+    running = F.sum("_break").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return e.withColumn("_run", running).join(days, day).withColumn(out, F.col("_base") + F.col("_run")).drop("_gap", "_break", "_run", "_base")
+
+
 def greedy_pairs(left: DataFrame, right: DataFrame, tol: float, rule="nearest", lt="lt", rt="rt", lid="lid", rid="rid", day="day") -> DataFrame:
     """One-to-one matching in left order: each left event takes the nearest (or the first) right event
-    still free within the tolerance.
+    still free within the tolerance; ties go to the earlier one.  ``day`` is the left event's.
 
-    Sequential by definition, so each day's event list (bounded by the cadence, usually a handful)
-    is matched in one Arrow group.
+    Sequential by definition, so each chain of events with gaps within the tolerance is matched in one Arrow group; events of
+    different chains cannot match.
     """
-    l = left.select(day, F.lit("L").alias("side"), F.col(lid).alias("id"), F.col(lt).cast("double").alias("time"))
-    r = right.select(day, F.lit("R").alias("side"), F.col(rid).alias("id"), F.col(rt).cast("double").alias("time"))
-    schema = T.StructType([l.schema[day], T.StructField(lid, l.schema["id"].dataType), T.StructField(rid, r.schema["id"].dataType),
+    l = left.select(day, F.lit("L").alias("side"), F.col(lid).alias("lid"), F.lit(None).cast(right.schema[rid].dataType).alias("rid"), F.col(lt).cast("double").alias("time"))
+    r = right.select(day, F.lit("R").alias("side"), F.lit(None).cast(left.schema[lid].dataType).alias("lid"), F.col(rid).alias("rid"), F.col(rt).cast("double").alias("time"))
+    schema = T.StructType([left.schema[day], T.StructField(lid, left.schema[lid].dataType), T.StructField(rid, right.schema[rid].dataType),
                            T.StructField("dt", T.DoubleType())])
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "id"], kind="stable")
-        free = pdf[pdf["side"] == "R"][["id", "time"]].reset_index(drop=True)
-        out = []
-        for _, ev in pdf[pdf["side"] == "L"].iterrows():
-            gap = (free["time"] - ev["time"]).abs()
-            near = gap[gap <= tol]
-            if near.empty:
-                continue
-            pick = near.idxmin() if rule == "nearest" else near.index[0]
-            out.append((ev[day], ev["id"], free.at[pick, "id"], free.at[pick, "time"] - ev["time"]))
-            free = free.drop(index=pick)
+        a = pdf[pdf["side"] == "L"].sort_values(["time", "lid"], kind="stable")
+        b = pdf[pdf["side"] == "R"].sort_values(["time", "rid"], kind="stable")
+        times, free, out = b["time"].to_numpy(), np.ones(len(b), bool), []
+        for i, t in enumerate(a["time"].to_numpy()):
+            near = np.arange(np.searchsorted(times, t - tol), np.searchsorted(times, t + tol, "right"))
+            near = near[free[near]]
+            if len(near):
+                pick = near[np.argmin(np.abs(times[near] - t))] if rule == "nearest" else near[0]
+                free[pick] = False
+                out.append((a[day].iloc[i], a["lid"].iloc[i], b["rid"].iloc[pick], times[pick] - t))
         return pd.DataFrame(out, columns=[day, lid, rid, "dt"])
 
-    return l.unionByName(r).groupBy(day).applyInPandas(match, schema)
+    return chains(l.unionByName(r), tol, day).groupBy("chain").applyInPandas(match, schema)
 
 
 def merge_catalogs(soft: DataFrame, hard: DataFrame, pairs: DataFrame, high_class="C", lid="lid", rid="rid") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MASTER_FLAGS, choose, col
+from ..session import sized
 from ..sources.lightcurve import KEYS, day_window
 from .rolling import gradient, whole
 
@@ -67,6 +68,7 @@ def saturation_ceiling(df: DataFrame, value: str, by=("channel",), edges=60, sha
     """
     pos = df.where(F.col(value) > 0)
     span = pos.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("top"), F.count(F.lit(1)).alias("n"))
+    span = sized(span, "ranges")
     step = F.log10(F.col("top") * 1.05 / F.col("lo")) / (edges - 1)
     cell = F.least(F.floor(F.log10(F.col(value) / F.col("lo")) / step), F.lit(edges - 2)).cast("bigint")
     counts = pos.join(span, list(by)).groupBy(*by, "lo", "top", "n", cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage, sized
+
 
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
     """Put the columns of an ungrouped aggregate on every row.  Such a table has exactly one row, which
@@ -37,7 +39,7 @@ def value_buckets(df: DataFrame, by, value: str, buckets: int | None = None, out
     key = F.col(value).cast("double")
     if by:
         bounds = df.groupBy(*by).agg(F.percentile_approx(key, probs, F.lit(max(1000, 10 * buckets))).alias("_bounds"))
-        d = df.join(bounds, list(by))
+        d = df.join(sized(bounds, "bounds"), list(by))
     else:
         bounds = df.agg(F.percentile_approx(key, probs, F.lit(max(1000, 10 * buckets))).alias("_bounds"))
         d = with_totals(df, bounds)
@@ -71,6 +73,7 @@ def ordered_counts(df: DataFrame, by, value: str, sums: dict[str, Column] | None
     """Distinct values with their count ``n``, extra sums, and everything ``_before`` them."""
     sums = sums or {}
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *[e.alias(k) for k, e in sums.items()])
+    counts = cut_lineage(counts, "counts")  # read twice: for the bounds and for the sums
     return prefix_sums(value_buckets(counts, by, value, buckets), by, value, ["n", *sums]).drop("bucket")
 
 
@@ -108,11 +111,12 @@ def spearman(df: DataFrame, by, x: str, y: str) -> DataFrame:
     """
     by = list(by)
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w"))
+    pairs = cut_lineage(pairs, "pairs")
     # counts per value come from the (smaller) pair table
     def ranks(v, out):
-        c = pairs.groupBy(*by, v).agg(F.sum("w").alias("n"))
+        c = cut_lineage(pairs.groupBy(*by, v).agg(F.sum("w").alias("n")), "counts")
         r = prefix_sums(value_buckets(c, by, v), by, v, ["n"])
-        return r.select(*by, v, (F.col("n_before") + (F.col("n") + 1) / 2).alias(out))
+        return sized(r.select(*by, v, (F.col("n_before") + (F.col("n") + 1) / 2).alias(out)), "ranks")
 
     d = pairs.join(ranks(x, "_rx"), [*by, x]).join(ranks(y, "_ry"), [*by, y])
     rx, ry, w = F.col("_rx"), F.col("_ry"), F.col("w")

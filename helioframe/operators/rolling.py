@@ -6,6 +6,7 @@ them share one hash partitioning, so chains of these operators run in the same s
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ from ..functions.stats import corr
 from ..sources.lightcurve import KEYS, day_window
 
 MAD_TO_SIGMA = 1.4826
-ARROW_FRAME = 128  # frames longer than this are cheaper in an Arrow group than re-aggregated per row
 
 
 def centred(size: int, keys=KEYS):
@@ -42,35 +42,31 @@ def after(keys=KEYS):
 
 
 # -- backgrounds ---------------------------------------------------------------------------------
-def rolling_quantile(df: DataFrame, value: str, q: float, size: int, out: str, keys=KEYS, engine="auto",
-                     min_count: int = 1) -> DataFrame:
-    """Interpolated quantile of the non-missing values in a centred frame (truncated at day edges)."""
-    if engine == "auto":
-        engine = "arrow" if size > ARROW_FRAME else "sql"
-    if engine == "sql":
-        frame = centred(size, keys)
-        expr = F.percentile(col(value), F.lit(q)).over(frame)
-        if min_count > 1:
-            expr = F.when(F.count(col(value)).over(frame) >= min_count, expr)
-        return df.withColumn(out, expr)
+def rolling_quantile(df: DataFrame, value: str, q: float, size: int, out: str, keys=KEYS, min_count: int = 1) -> DataFrame:
+    """Interpolated quantile of the non-missing values in a centred frame (truncated at day edges).
 
+    A quantile has no sliding update in SQL frames, so every (channel, day), which the cadence bounds, is one Arrow group.
+    """
     schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.DoubleType())])
-    ahead = size - size // 2 - 1
 
     def per_day(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin", kind="stable")
-        values = pdf[value].astype("float64")
-        # A trailing window over the series extended by ``ahead`` rows is the centred frame.
-        padded = pd.concat([values, pd.Series([float("nan")] * ahead)], ignore_index=True)
-        moved = padded.rolling(size, min_periods=min_count).quantile(q, interpolation="linear").shift(-ahead)
-        return pdf.assign(**{out: moved.iloc[: len(pdf)].to_numpy()})
+        return pdf.assign(**{out: _sliding_quantile(pdf[value].astype("float64"), q, size, min_count)})
 
     return df.groupBy(*keys).applyInPandas(per_day, schema)
 
 
-def median_residual(df: DataFrame, value="v", size=600, keys=KEYS, engine="auto") -> DataFrame:
+def _sliding_quantile(values: pd.Series, q: float, size: int, min_count: int = 1) -> np.ndarray:
+    """A trailing window over the series extended by the rows ahead is the centred frame."""
+    ahead = size - size // 2 - 1
+    padded = pd.concat([values, pd.Series([float("nan")] * ahead)], ignore_index=True)
+    moved = padded.rolling(size, min_periods=min_count).quantile(q, interpolation="linear").shift(-ahead)
+    return moved.iloc[: len(values)].to_numpy()
+
+
+def median_residual(df: DataFrame, value="v", size=600, keys=KEYS) -> DataFrame:
     """Rolling-median background ``bg`` and the residual above it."""
-    out = rolling_quantile(df, value, 0.5, size, "bg", keys, engine)
+    out = rolling_quantile(df, value, 0.5, size, "bg", keys)
     return out.withColumn("residual", F.col(value) - F.col("bg"))
 
 
@@ -82,28 +78,34 @@ def mad_sigma(df: DataFrame, value: str, out: str, keys=KEYS) -> DataFrame:
     return centre.withColumn(out, mad * MAD_TO_SIGMA).drop("_med")
 
 
-def iterative_background(df: DataFrame, value="v", size=600, passes=3, q=0.1, kappa=3.0, keys=KEYS, engine="auto") -> DataFrame:
-    """Low-quantile background, re-estimated with outliers above kappa*MAD masked out.
+def iterative_background(df: DataFrame, value="v", size=600, passes=3, q=0.1, kappa=3.0, keys=KEYS) -> DataFrame:
+    """Low-quantile background ``bg``, re-estimated with outliers above kappa * MAD masked out, and the ``residual`` above it.
 
-    The passes chain inside one stage (same partitioning), so no intermediate table is needed.
+    All passes of a day run in one group.
     """
-    df = df.withColumn("_used", F.col(value))
-    for _ in range(passes):
-        df = rolling_quantile(df, "_used", q, size, "bg", keys, engine)
-        df = df.withColumn("residual", F.col(value) - F.col("bg"))
-        df = mad_sigma(df, "residual", "_sigma", keys)
-        keep = F.col("residual") < kappa * F.col("_sigma")
-        df = df.withColumn("_used", F.when(keep, F.col(value)))
-    return df.drop("_used", "_sigma")
+    schema = T.StructType([*df.schema.fields, T.StructField("bg", T.DoubleType()), T.StructField("residual", T.DoubleType())])
+
+    def per_day(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin", kind="stable")
+        values = pdf[value].astype("float64").reset_index(drop=True)
+        used = values
+        for _ in range(passes):
+            bg = _sliding_quantile(used, q, size)
+            residual = values - bg
+            sigma = MAD_TO_SIGMA * (residual - residual.median()).abs().median()
+            used = values.where(residual < kappa * sigma)
+        return pdf.assign(bg=bg, residual=residual.to_numpy())
+
+    return df.groupBy(*keys).applyInPandas(per_day, schema)
 
 
-def multiscale_background(df: DataFrame, value="v", good="good", long_size=3600, short_size=600, keys=KEYS, engine="auto") -> DataFrame:
+def multiscale_background(df: DataFrame, value="v", good="good", long_size=3600, short_size=600, keys=KEYS) -> DataFrame:
     """Slow median plus fast low quantile of its residual, from GOOD rows only; other rows take the
     nearest good estimate.  ``sigma`` is the scatter of the quiet rows of the day."""
     df = df.withColumn("_g", F.when(F.col(good), F.col(value)))
-    df = rolling_quantile(df, "_g", 0.5, long_size, "_slow", keys, engine, min_count=5)
+    df = rolling_quantile(df, "_g", 0.5, long_size, "_slow", keys, min_count=5)
     df = df.withColumn("_r", F.col("_g") - F.col("_slow"))
-    df = rolling_quantile(df, "_r", 0.1, short_size, "_fast", keys, engine, min_count=5)
+    df = rolling_quantile(df, "_r", 0.1, short_size, "_fast", keys, min_count=5)
     df = df.withColumn("_raw", F.when(F.col("_g").isNotNull(), F.col("_slow") + F.col("_fast")))
     df = nearest_fill(df, "_raw", "bg", keys)
     quiet = F.when(F.col("_g") - F.col("bg") <= F.percentile(F.col("_g") - F.col("bg"), F.lit(0.5)).over(whole(keys)), F.col("_g") - F.col("bg"))

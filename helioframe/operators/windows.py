@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import col, zero_if_missing
 from ..functions.stats import shape, slope
 from ..sources.lightcurve import day_window
+from .ranking import exact_quantiles
 from .rolling import up_to
 
 DAY = ("day",)
@@ -230,8 +231,12 @@ def cross_ratio(lo, hi) -> Column:
 
 def housekeeping(df: DataFrame, averages: dict[str, str], counters: dict[str, str], keys=DAY, robust=False) -> DataFrame:
     """Mean (or median) of temperatures and voltages, maximum of counters."""
-    mean = (lambda c: F.percentile(c, F.lit(0.5))) if robust else F.avg
-    return df.groupBy(*keys).agg(*[mean(F.col(c)).alias(n) for n, c in averages.items()], *[F.max(c).alias(n) for n, c in counters.items()])
+    keys = list(keys)
+    measures = [*[F.avg(c).alias(n) for n, c in averages.items() if not robust], *[F.max(c).alias(n) for n, c in counters.items()]]
+    out = df.groupBy(*keys).agg(*measures) if measures else df.select(*keys).distinct()
+    for name, c in averages.items() if robust else ():
+        out = out.join(exact_quantiles(df, keys, c, [0.5]).select(*keys, F.col("quantile").alias(name)), keys, "left")
+    return out.select(*keys, *averages, *counters)
 
 
 def reference_flux(df: DataFrame, xrsb: str, xrsa: str, keys=DAY, first_rows: int | None = 3600) -> DataFrame:

@@ -17,26 +17,24 @@ DAY = ["day"]
 
 
 def window_families(grid: DataFrame, bands: list[str], rows_per_day: int, cadence: int, lookback: int, step: int, scales, lags, short: int, long: int,
-                    coupling=(300, 60), decimate=10, max_lag=100, cap=500, periods=(10.0, 300.0), period_bands=None, cross=(30, 120)) -> DataFrame:
+                    coupling=(300, 60), max_lag=100, periods=(10.0, 300.0), period_bands=None, cross=(30, 120)) -> DataFrame:
     """Every per-window family joined on (day, win)."""
     keys = [*DAY, "win"]
     soft_hard = wi.prepare(grid, "soft", bands).select("day", "bin", F.coalesce("soft", F.lit(0.0)).alias("s"), F.col("hard").alias("h"))
     rows = wi.hop(soft_hard, rows_per_day, lookback, step)
-    thin = rows.where(F.col("pos") % decimate == 0)
 
     base = wi.window_features(grid, "soft", bands, rows_per_day, lookback, step, acf_lags=lags, scales=scales, xrsb="xb", xrsa="xa", short=short, long=long)
     base = base.withColumnsRenamed({f"sxr_acf_{a}s": f"sxr_acf_{b}s" for a, b in zip(lags, wi.ACF_LAGS)})
 
     arr = pe.arrays_of(rows, keys, ["s", "h"], "pos")
-    part = lambda c: F.slice(F.filter(F.transform(F.col(c), lambda x, i: F.when(i % decimate == 0, x)), lambda x: x.isNotNull()), 1, cap)
-    arr = arr.withColumn("_w", pe.welch_shape("s", F.lit(256))).withColumn("_es", inf.sample_entropy(part("s"), F.lit(2), F.lit(0.2)))
-    arr = arr.withColumn("_eh", inf.sample_entropy(part("h"), F.lit(2), F.lit(0.2))).withColumn("_l", inf.lag_scan("h", "s", F.lit(max_lag)))
+    arr = arr.withColumn("_w", pe.welch_shape("s", F.lit(256))).withColumn("_es", inf.sample_entropy("s", F.lit(2), F.lit(0.2)))
+    arr = arr.withColumn("_eh", inf.sample_entropy("h", F.lit(2), F.lit(0.2))).withColumn("_l", inf.lag_scan("h", "s", F.lit(max_lag)))
     shapes = arr.select(*keys, F.col("_w.entropy").alias("sxr_spec_entropy"), F.col("_w.peak_freq").alias("sxr_peak_freq"), F.col("_es").alias("sample_entropy_sxr"),
                         F.col("_eh").alias("sample_entropy_hxr"), F.col("_l.r").alias("lagged_cross_corr"), F.col("_l.lag").cast("double").alias("lagged_cross_corr_lag"))
     power = pe.wavelet_power(arr.select(*keys, "s", "h"), keys, ["s", "h"], 1.0, pe.scale_grid(2.0, lookback / 4.0))
     bands_out = pe.band_features(power, keys, "s", "h", period_bands, cross)
-    te = inf.transfer_entropy(thin, keys, "h", "s", bins=8, order="pos", out="transfer_entropy_hxr_to_sxr")
-    mi = inf.mutual_information(thin, keys, "s", "h", bins=8, out="mutual_information_sxr_hxr")
+    te = inf.transfer_entropy(rows, keys, "h", "s", bins=8, order="pos", out="transfer_entropy_hxr_to_sxr")
+    mi = inf.mutual_information(rows, keys, "s", "h", bins=8, out="mutual_information_sxr_hxr")
 
     size, hopn = coupling
     grad = soft_hard.withColumn("ds", ro.gradient("s", ("day",)))
@@ -52,10 +50,10 @@ def window_families(grid: DataFrame, bands: list[str], rows_per_day: int, cadenc
     return out
 
 
-def causal_families(grid: DataFrame, columns: dict[str, str], soft: str, hard: str, mediator: str, max_lag=30, decimate=10, granger_lags=ca.GRANGER_LAGS, granger_max=60) -> DataFrame:
-    """Day-level causal features from a decimated grid; ``columns`` maps band name -> column."""
+def causal_families(grid: DataFrame, columns: dict[str, str], soft: str, hard: str, mediator: str, max_lag=30, granger_lags=ca.GRANGER_LAGS, granger_max=60) -> DataFrame:
+    """Day-level causal features on every sample of ``grid`` (thin it with ``every_kth`` first where that is wanted); ``columns`` maps band name -> column."""
     bands = list(columns)
-    thin = wi.every_kth(grid, decimate).select("day", "bin", *[F.coalesce(F.col(c), F.lit(0.0)).alias(b) for b, c in columns.items()])
+    thin = grid.select("day", "bin", *[F.coalesce(F.col(c), F.lit(0.0)).alias(b) for b, c in columns.items()])
     edges = ca.lag_edges(thin, DAY, bands, max_lag)
     net = ca.network_features(edges, DAY, bands, soft, hard)
     med = ca.mediation(thin, DAY, hard, mediator, soft).select("day", F.col("mediation_proportion").alias("max_mediation_proportion"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.scalars import TIE_NUDGE
+from ..functions.scalars import TIE_NUDGE, tidy
 from ..sources.lightcurve import light_curve, wide_curve
 from ..sources.tables import table
 
@@ -19,12 +19,18 @@ CHANNELS = ["view", "click", "purchase", "signup", "error"]
 SOFT, HARD = "view", "click"
 
 
+#: The stand-in instrument reads out in steps of 0.001, on both sides alike: thresholds then meet the same values whatever
+#: the order of summation.  Sources and operators do not round.
+READOUT = 3
+
+
 def lc(spark: SparkSession, sf: str) -> DataFrame:
-    return light_curve(table(spark, sf, "events"), CADENCE, digits=3)
+    return light_curve(table(spark, sf, "events"), CADENCE).withColumn("v", tidy("v", READOUT))
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
-    return wide_curve(table(spark, sf, "events"), CADENCE, CHANNELS, digits=3)
+    curve = wide_curve(table(spark, sf, "events"), CADENCE, CHANNELS)
+    return curve.withColumns({c: tidy(c, READOUT) for c in CHANNELS})
 
 
 # -- the same in SQL --------------------------------------------------------------------------------

@@ -78,12 +78,11 @@ def _instrument(spark, sf):
 
 
 @query("rolling_lag", final(
-    """SELECT day, bin, arg_max(r, r - lag / 1e9) AS xcorr, arg_max(lag, r - lag / 1e9) AS xcorr_lag FROM (SELECT c.day, c.bin, k.lag, sum((a.view - c.mx) * (b.click - c.my)) / (c.sx * c.sy * 25 + 1e-30) AS r
+    """SELECT wf.day, wf.bin, xcorr, xcorr_lag FROM wf LEFT JOIN (SELECT day, bin, arg_max(r, r - lag / 1e9) AS xcorr, arg_max(lag, r - lag / 1e9) AS xcorr_lag FROM (SELECT c.day, c.bin, k.lag, sum((a.view - c.mx) * (b.click - c.my)) / (c.sx * c.sy * 25 + 1e-30) AS r
   FROM (SELECT day, bin, avg(view) OVER w AS mx, avg(click) OVER w AS my, stddev_pop(view) OVER w AS sx, stddev_pop(click) OVER w AS sy, count(*) OVER w AS n FROM wf WINDOW w AS (PARTITION BY day ORDER BY bin ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)) c JOIN (SELECT CAST(range AS BIGINT) - 4 AS lag FROM range(9)) k ON c.n = 25
-  JOIN wf a ON a.day = c.day AND a.bin BETWEEN c.bin - 12 AND c.bin + 12 JOIN wf b ON b.day = a.day AND b.bin = a.bin - k.lag AND b.bin BETWEEN c.bin - 12 AND c.bin + 12 WHERE c.sx > 1e-9 AND c.sy > 1e-9 GROUP BY c.day, c.bin, k.lag, c.sx, c.sy) GROUP BY day, bin""", "day, bin, xcorr_lag", "xcorr", FILLED, digits=5))
+  JOIN wf a ON a.day = c.day AND a.bin BETWEEN c.bin - 12 AND c.bin + 12 JOIN wf b ON b.day = a.day AND b.bin = a.bin - k.lag AND b.bin BETWEEN c.bin - 12 AND c.bin + 12 WHERE c.sx > 1e-9 AND c.sy > 1e-9 GROUP BY c.day, c.bin, k.lag, c.sx, c.sy) GROUP BY day, bin) best ON best.day = wf.day AND best.bin = wf.bin""", "day, bin, xcorr_lag", "xcorr", FILLED, digits=5))
 def _rolling_lag(spark, sf):
-    r = inf.rolling_lag(filled(spark, sf), "view", "click", 12, 4)
-    return present(r.where(F.col("xcorr").isNotNull() & (F.abs("xcorr") > 0)), 5)
+    return present(inf.rolling_lag(filled(spark, sf), "view", "click", 12, 4), 5)
 
 
 def _edges_sql(lags=12):

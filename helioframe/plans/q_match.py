@@ -12,6 +12,7 @@ from ..operators import matching as ma
 from ..operators import quality as qu
 from ..operators import rolling as ro
 from ..session import cut_lineage
+from ..session import sized
 from ..sources.tables import table
 from .fixtures import BINS, CADENCE, LC, WIDE, big, final, frame, lc, mad, wide
 from .q_detect import _burst_sql, described_sql, grade_sql, swpc, swpc_sql
@@ -169,7 +170,25 @@ def _catalog(spark, sf):
     return present(ma.merge_catalogs(soft, hard, mutual(soft, hard)))
 
 
-@query("coincidence_greedy")
+def _greedy_sql(right: str, rule: str) -> str:
+    """Left events one after the other, each taking the best free right event: (lt, rt)."""
+    best = "abs(r.rt - l.lt) * 1e12 + r.rt" if rule == "nearest" else "r.rt"
+    return f"""lo AS (SELECT day, lt, row_number() OVER (ORDER BY lt) AS k FROM so),
+gm AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS lt, CAST(NULL AS BIGINT) AS rt, CAST([] AS BIGINT[]) AS used
+  UNION ALL SELECT l.k, l.lt, arg_min(r.rt, {best}), CASE WHEN count(r.rt) = 0 THEN any_value(gm.used) ELSE list_append(any_value(gm.used), arg_min(r.rt, {best})) END
+  FROM gm JOIN lo l ON l.k = gm.k + 1 LEFT JOIN {right} r ON abs(r.rt - l.lt) <= {TOL} AND NOT list_contains(gm.used, r.rt) GROUP BY l.k, l.lt),
+greedy AS (SELECT so.day, gm.lt, gm.rt FROM gm JOIN so USING (lt) WHERE gm.rt IS NOT NULL)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("coincidence_greedy", _recursive(final(
+    """SELECT so.day, so.lt AS peak_t, so.peak_flux, class, CASE WHEN m.rt IS NULL THEN 0 ELSE 1 END AS has_hxr, coalesce(ho.peak_flux, 0) AS hxr_peak_flux, m.rt AS hxr_peak_t, 'swpc_peak' AS method
+  FROM so LEFT JOIN greedy m ON m.lt = so.lt LEFT JOIN ho ON ho.rt = m.rt WHERE m.rt IS NOT NULL OR class IN ('C', 'M', 'X')
+  UNION ALL SELECT day, rt, peak_flux, 'HXR', 1, peak_flux, rt, 'hxr_only' FROM ho WHERE peak_flux > 0 AND rt NOT IN (SELECT rt FROM greedy)""",
+    "day, peak_t, class, method, hxr_peak_t, " + big("has_hxr"), "peak_flux hxr_peak_flux", BOTH + ",\n" + _greedy_sql("ho", "nearest"))))
 def _greedy(spark, sf):
     soft, hard = soft_events(spark, sf), hard_events(spark, sf)
     return present(ma.merge_catalogs(soft, hard, ma.greedy_pairs(soft, hard, TOL)))
@@ -194,7 +213,12 @@ def _prf(spark, sf):
     return present(ma.score_matches(soft, hard, mutual(soft, hard)))
 
 
-@query("validate_greedy")
+@query("validate_greedy", _recursive(final(
+    """SELECT day, tp, fp, fn, p AS precision, r AS recall, 2 * p * r / greatest(p + r, 1e-10) AS f1 FROM (
+  SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM (
+  SELECT day, coalesce(m, 0) AS tp, coalesce(d, 0) - coalesce(m, 0) AS fp, coalesce(h, 0) - coalesce(m, 0) AS fn FROM
+   (SELECT day, count(*) AS d FROM so GROUP BY day) FULL JOIN (SELECT day, count(*) AS h FROM tr GROUP BY day) USING (day) FULL JOIN (SELECT day, count(*) AS m FROM greedy GROUP BY day) USING (day)))""",
+    "day, tp, fp, fn", "precision recall f1", BOTH + f", te AS (SELECT CAST(ts AS DATE) AS day, CAST(floor(epoch(ts)) AS BIGINT) AS rt FROM events WHERE event_type = 'error' AND value >= {TRUTH}), tr AS (SELECT * FROM te),\n" + _greedy_sql("tr", "first"))))
 def _validate(spark, sf):
     tr = truth(spark, sf).select(F.col("event_id").alias("rid"), "day", F.col("t").alias("rt"))
     det = soft_events(spark, sf)
@@ -285,7 +309,7 @@ def _particle(spark, sf):
     "channel, n, n_saturated", "top ceiling"))
 def _saturation(spark, sf):
     ev = table(spark, sf, "events").select(F.col("event_type").alias("channel"), "value")
-    caps = qu.saturation_ceiling(ev, "value")
+    caps = sized(qu.saturation_ceiling(ev, "value"), "ceilings")
     hits = ev.join(caps, "channel").groupBy("channel", "n", "top", "ceiling").agg(
         F.count(F.when(qu.saturated("value", "ceiling", "n"), 1)).alias("n_saturated"))
     return present(hits)

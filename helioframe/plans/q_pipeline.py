@@ -103,12 +103,6 @@ def _catalogs(spark, sf):
     return present(both.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.unix_seconds("peak_time").alias("peak_t"), "goes_class", (F.col("peak_flux") * 1e6).alias("micro")))
 
 
-@query("file_inventory")
-def _inventory(spark, sf):
-    kinds = {"samples": "^(events|lineitem|orders)", "spectra": "^embeddings", "text": "^(documents|pages|conversations|benchmark|labels)", "dimension": "^(customer|supplier|part|nation|region)"}
-    return present(tb.file_inventory(spark, sf, kinds, "*.parquet"))
-
-
 @query("incremental_days", final("SELECT channel, day, count(*) AS rows, max(v) AS top FROM lc GROUP BY channel, day", "channel, day, rows", "top", LC))
 def _increment(spark, sf):
     path = run_dir(spark, "increment")
@@ -152,7 +146,7 @@ def day_tables(spark, sf, grid):
     totals = wi.band_totals(grid, {"czt2": "b4", "cdte2": "b9"})
     goes = wi.reference_flux(grid, "xb", "xa", first_rows=36)
     corr = grid.select("day", *wi.background_share("b4")).groupBy("day").agg((100.0 * F.avg(F.col("below").cast("double"))).alias("bg_fraction_pct"))
-    causal = causal_families(grid, {"SXR": "soft", "HXR": "b0", "B1": "b1", "B2": "b2", "B3": "b3"}, "SXR", "HXR", "B1", max_lag=6, decimate=1, granger_lags=(1, 3, 5), granger_max=20)
+    causal = causal_families(grid, {"SXR": "soft", "HXR": "b0", "B1": "b1", "B2": "b2", "B3": "b3"}, "SXR", "HXR", "B1", max_lag=6, granger_lags=(1, 3, 5), granger_max=20)
     dead = good_times(spark, sf).distinct()
     from ..operators.intervals import merge_intervals
 
@@ -165,7 +159,7 @@ def matrix(spark, sf):
 
     grid = cut_lineage(banded(spark, sf), "grid")
     ev = truth(spark, sf).select(F.col("t").alias("te"))
-    return feature_matrix(grid, BANDS, ev, day_tables(spark, sf, grid), BINS, CADENCE, 60, 12, horizon=7200, scales=SCALES, lags=LAGS, short=6, long=18, coupling=(18, 6), decimate=1,
+    return feature_matrix(grid, BANDS, ev, day_tables(spark, sf, grid), BINS, CADENCE, 60, 12, horizon=7200, scales=SCALES, lags=LAGS, short=6, long=18, coupling=(18, 6),
                           max_lag=12, periods=(3.0, 12.0), period_bands={"10_30s": (4, 6), "30_60s": (6, 8), "60_120s": (8, 12), "120_300s": (12, 18), "300_600s": (18, 32)}, cross=(6, 12))
 
 

@@ -38,7 +38,7 @@ def _p10(spark, sf):
                                    "channel, day, bin", "bg", Z))
 def _median_day(spark, sf):
     """The Arrow-group form that long frames use."""
-    return present(ro.rolling_quantile(zeroed(spark, sf), "v0", 0.5, 140, "bg", engine="arrow").select("channel", "day", "bin", "bg"))
+    return present(ro.rolling_quantile(zeroed(spark, sf), "v0", 0.5, 140, "bg").select("channel", "day", "bin", "bg"))
 
 
 @query("adaptive_threshold", final("SELECT channel, day, bin, residual, 3.0 * sd AS threshold FROM s", "channel, day, bin", "residual threshold",

@@ -16,7 +16,9 @@ SPEC = """spec AS (SELECT vec_id AS id, label, CAST(i - 1 AS BIGINT) AS ch, roun
 
 
 def spec(spark, sf):
-    return spectra(table(spark, sf, "embeddings"), digits=2).withColumn("label", F.col("label").cast("bigint"))
+    """Spectra as the stand-in instrument reads them out, in steps of 0.01."""
+    counts = spectra(table(spark, sf, "embeddings"))
+    return counts.withColumn("counts", F.round("counts", 2)).withColumn("label", F.col("label").cast("bigint"))
 
 
 @query("met_mjd_unix", final(
@@ -164,7 +166,7 @@ def _models(spark, sf):
 
 @query("sample_binning", final("SELECT * FROM binned", "channel, day, bin, n", "v lo hi", LC))
 def _binning(spark, sf):
-    return present(bin_samples(table(spark, sf, "events"), CADENCE, digits=3))
+    return present(bin_samples(table(spark, sf, "events"), CADENCE), 3)
 
 
 @query("common_grid", final("SELECT * FROM wide", "day, bin, t", "view click purchase signup error", WIDE))

@@ -11,6 +11,7 @@ from ..operators import periodicity as pe
 from ..operators import rolling as ro
 from ..operators import spectra as sp
 from ..operators import windows as wi
+from ..operators.islands import detect_wavelet
 from ..sources.lightcurve import linear_energy
 from ..sources.tables import table
 from .fixtures import BINS, CADENCE, LC, WIDE, big, final, frame, lc, wide
@@ -186,6 +187,15 @@ cw AS (SELECT c.day, kn.sn, 4 * pi() * kn.s / 6.0 AS period, c.bin AS bin, pow(s
   FROM cn c JOIN kn ON true JOIN cn x ON x.day = c.day AND x.bin = c.bin + kn.lag GROUP BY c.day, kn.sn, kn.s, c.bin)"""
 
 
+@query("wavelet_detect", final(
+    """SELECT day, min(bin) AS start_bin, arg_max(bin, round(p, 9) - bin / 1e12) AS peak_bin, max(bin) AS end_bin, max(p) AS peak_power, count(*) AS rows FROM
+  (SELECT *, bin - row_number() OVER (PARTITION BY day ORDER BY bin) AS run FROM (SELECT *, quantile_cont(p, 0.5) OVER (PARTITION BY day) + 1.5 * stddev_pop(p) OVER (PARTITION BY day) AS lim
+   FROM (SELECT day, bin, max(pa) AS p FROM cw GROUP BY day, bin)) WHERE p > lim) GROUP BY day, run HAVING count(*) >= 2""",
+    "day, start_bin, peak_bin, end_bin, rows", "peak_power", CWT, digits=4))
+def _wavelet_detect(spark, sf):
+    return present(detect_wavelet(power(spark, sf), "view", 1.5, 2, ["day"]), 4)
+
+
 @query("wavelet_bands", final(
     """SELECT day, e_short, e_mid, e_long, peak_period, mx / (md + 1e-10) AS significance, entropy, hard_energy, cross_power FROM
   (SELECT day, sum(pa) FILTER (period BETWEEN 3 AND 6) AS e_short, sum(pa) FILTER (period BETWEEN 6 AND 12) AS e_mid, sum(pa) FILTER (period BETWEEN 12 AND 24) AS e_long, max(pa) AS mx, quantile_cont(pa, 0.5) AS md,

@@ -9,7 +9,7 @@ from ..functions.output import present
 from ..operators import windows as wi
 from ..sources.lightcurve import bin_samples, fill_grid
 from ..sources.tables import table
-from .fixtures import BINS, CADENCE, WIDE, big, final, wide
+from .fixtures import BINS, CADENCE, READOUT, WIDE, big, final, wide
 from .q_scalar import SPEC, spec
 from .registry import query
 
@@ -29,8 +29,8 @@ def banded(spark, sf):
     day, slot = _clock("ts", CADENCE)
     pick = lambda c: F.when(F.col("event_type") == c, F.col("value"))
     cells = ev.groupBy(day, slot).agg(
-        sc.tidy(F.avg(pick("view")), 3).alias("soft"),
-        *[sc.tidy(F.avg(pick(c)), 3).alias(f"b{i}") for i, c in enumerate(MAXED)],
+        sc.tidy(F.avg(pick("view")), READOUT).alias("soft"),
+        *[sc.tidy(F.avg(pick(c)), READOUT).alias(f"b{i}") for i, c in enumerate(MAXED)],
         *[F.max(pick(c)).alias(f"b{i + 5}") for i, c in enumerate(MAXED)])
     g = fill_grid(cells, CADENCE, ("day",))
     add = lambda cols: F.when(F.coalesce(*cols).isNotNull(), sum([F.coalesce(c, F.lit(0.0)) for c in cols[1:]], F.coalesce(cols[0], F.lit(0.0))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,13 +35,16 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private folder only where the session names none (tests)."""
+    """The cluster's checkpoint folder.  Only a local session that names none gets a private folder; a cluster must name one,
+    since its executors do not share local disks."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     fallback = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
@@ -56,3 +60,12 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     path = run_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, label: str = "sized") -> DataFrame:
+    """``df`` as a table of known size: joins with it are planned by what it really holds.
+
+    For bounds, ranges and other few-row tables by group: Spark broadcasts them where they are under its threshold, without
+    first shuffling the large side on a handful of keys; larger ones take the shuffled join, which may be split.
+    """
+    return cut_lineage(df, label)

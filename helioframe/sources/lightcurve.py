@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import SECONDS_PER_DAY, epoch_seconds, tidy
+from ..functions.scalars import SECONDS_PER_DAY, epoch_seconds
 
 KEYS = ("channel", "day")
 
@@ -30,22 +30,22 @@ def _clock(ts: str, cadence: int) -> tuple[Column, Column]:
     return day.alias("day"), F.floor((sec % SECONDS_PER_DAY) / F.lit(cadence)).cast("bigint").alias("bin")
 
 
-def bin_samples(df: DataFrame, cadence: int, ts="ts", channel="event_type", value="value", digits=6) -> DataFrame:
+def bin_samples(df: DataFrame, cadence: int, ts="ts", channel="event_type", value="value") -> DataFrame:
     """(channel, day, bin) -> mean value ``v``, sample count ``n``, extremes ``lo`` / ``hi``."""
     day, slot = _clock(ts, cadence)
     return df.groupBy(F.col(channel).alias("channel"), day, slot).agg(
-        tidy(F.avg(value), digits).alias("v"),
+        F.avg(value).alias("v"),
         F.count(value).alias("n"),
         F.min(value).alias("lo"),
         F.max(value).alias("hi"),
     )
 
 
-def bin_wide(df: DataFrame, cadence: int, channels, ts="ts", channel="event_type", value="value", digits=6) -> DataFrame:
+def bin_wide(df: DataFrame, cadence: int, channels, ts="ts", channel="event_type", value="value") -> DataFrame:
     """(day, bin) -> one mean column per channel: a pivot in a single partial aggregate."""
     day, slot = _clock(ts, cadence)
     return df.groupBy(day, slot).agg(
-        *[tidy(F.avg(F.when(F.col(channel) == c, F.col(value))), digits).alias(c) for c in channels]
+        *[F.avg(F.when(F.col(channel) == c, F.col(value))).alias(c) for c in channels]
     )
 
 
@@ -93,12 +93,12 @@ def band_order(df: DataFrame, keys, band: str, order: str) -> DataFrame:
     return numbered.join(shortest, list(keys)).where(F.col("pos") <= F.col("shortest")).drop("shortest")
 
 
-def spectra(df: DataFrame, counts="embedding", ident="vec_id", scale: float = 100.0, digits: int = 6) -> DataFrame:
-    """Array spectra -> long (id, ch, counts) rows; counts are magnitudes."""
+def spectra(df: DataFrame, counts="embedding", ident="vec_id", scale: float = 100.0) -> DataFrame:
+    """Array spectra -> long (id, ch, counts) rows; counts are scaled magnitudes, as exact as the input."""
     keep = [c for c in df.columns if c not in (counts, ident)]
     return df.select(
         F.col(ident).alias("id"), *keep, F.posexplode(F.col(counts)).alias("ch", "raw")
-    ).select("id", *keep, F.col("ch").cast("bigint").alias("ch"), F.round(F.abs(F.col("raw").cast("double")) * scale, digits).alias("counts"))
+    ).select("id", *keep, F.col("ch").cast("bigint").alias("ch"), (F.abs(F.col("raw").cast("double")) * scale).alias("counts"))
 
 
 def linear_energy(ch="ch", first: float = 1.0, step: float = 1.0) -> Column:

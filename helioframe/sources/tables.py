@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import use_utc
+from ..session import sized, use_utc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,27 +48,7 @@ def common_days(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def without_days(df: DataFrame, excluded: DataFrame) -> DataFrame:
-    return df.join(excluded.select("day").distinct(), "day", "left_anti")
-
-
-def file_inventory(spark: SparkSession, folder: str, categories: dict[str, str], glob: str = "*") -> DataFrame:
-    """Count and size of files per category; a category is a regular expression on the file name.
-
-    Only paths and lengths are read: the content column is pruned away.
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-    )
-    kind = F.lit("other")
-    for label, pattern in reversed(list(categories.items())):
-        kind = F.when(F.col("name").rlike(pattern), label).otherwise(kind)
-    return files.groupBy(kind.alias("category")).agg(
-        F.count(F.lit(1)).alias("files"), (F.sum("length") / 1e6).alias("megabytes")
-    )
+    return df.join(sized(excluded.select("day").distinct(), "days"), "day", "left_anti")
 
 
 def merge_orbits(spark: SparkSession, folder: str, pattern: str, order: str, glob: str = "*.parquet") -> DataFrame:

@@ -34,13 +34,13 @@ def test_registry_is_consistent():
     assert len(entry.queries()) > 150
 
 
-def test_detection_needs_two_shuffles(spark):
-    """One for binning, one for the (channel, day) partitioning that every later window reuses."""
+def test_detection_shuffles_raw_rows_once(spark):
+    """One for binning (after a partial aggregate); the gap filling and the Arrow group of the background deal binned rows only."""
     df = isl.detect_swpc(lc(spark, SF), cadence=CADENCE, threshold=50.0, window=24, min_run=1, min_duration=3)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 2
-    assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan.replace("\n", "") or "value" in plan
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns
+    assert entry.entry(spark).count() > 0

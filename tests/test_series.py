@@ -61,13 +61,20 @@ def test_median_background_of_a_box(curve):
     assert np.median(r) < 5 and r[510] > 20
 
 
-@pytest.mark.parametrize("q,size", [(0.5, 7), (0.1, 20)])
-def test_arrow_and_sql_frames_agree(curve, q, size):
+@pytest.mark.parametrize("q,size", [(0.5, 7), (0.1, 20), (0.5, 140), (0.1, 600)])
+def test_rolling_quantile_equals_plain_frames(curve, q, size):
     rnd = random.Random(1)
-    v = [None if rnd.random() < 0.2 else rnd.random() for _ in range(200)]
-    a = values(ro.rolling_quantile(curve(v), "v", q, size, "o", engine="sql"), "o")
-    b = values(ro.rolling_quantile(curve(v), "v", q, size, "o", engine="arrow"), "o")
-    assert a == pytest.approx(b)
+    v = [None if rnd.random() < 0.2 else rnd.random() for _ in range(800)]
+    frames = [[x for x in v[max(0, i - size // 2): i + size - size // 2] if x is not None] for i in range(len(v))]
+    want = [float(np.quantile(f, q)) if f else None for f in frames]
+    assert values(ro.rolling_quantile(curve(v), "v", q, size, "o"), "o") == pytest.approx(want)
+
+
+def test_small_fluxes_survive_binning(spark):
+    from helioframe.sources.lightcurve import bin_samples
+
+    rows = spark.sql("SELECT timestamp_seconds(1704067200 + id) AS ts, 'soft' AS event_type, (3 + 2 * (id % 2)) * 1e-8 AS value FROM range(2)")
+    assert bin_samples(rows, 60).first().v == pytest.approx(4e-8, rel=1e-12)
 
 
 def test_interpolation_and_fill(curve):

@@ -14,28 +14,27 @@ from .periodicity import arrays_of
 
 
 def hurst(df: DataFrame, keys, value: str, window=3600, step=60, least=100, keys_size: int = 86400) -> DataFrame:
-    """Rescaled-range exponent ln(R/S)/ln(window/2) per hopping centred window.
+    """Rescaled-range exponent ln(R/S)/ln(window/2) per hopping centred window with at least ``least`` values that differ.
 
-    The running sum, its extremes and the scatter of a window come from one array fold, inside the
-    task that holds the day.
+    Every key, a day whose rows the cadence bounds, is one Arrow group; its windows are slices of one sorted array.
     """
     half = window // 2
-    last = (keys_size - half - 1 - half) // step
-    lo = F.greatest(F.ceil((F.col("bin") + 1 - window) / F.lit(step)), F.lit(0)).cast("bigint")
-    hi = F.least(F.floor(F.col("bin") / F.lit(step)), F.lit(last)).cast("bigint")
-    rows = df.where(F.col(value).isNotNull()).withColumn("_lo", lo).withColumn("_hi", hi).where(F.col("_lo") <= F.col("_hi"))
-    rows = rows.withColumn("win", F.explode(F.sequence("_lo", "_hi")))
-    packed = F.sort_array(F.collect_list(F.struct("bin", F.col(value).alias("v"))))
-    w = rows.groupBy(*keys, "win").agg(packed.alias("_r"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"), F.count(F.lit(1)).alias("n"))
-    w = w.where((F.col("n") >= least) & (F.col("_s") > 0))
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(float("-inf")).alias("hi"), F.lit(float("inf")).alias("lo"))
+    starts = np.arange(0, (keys_size - half - 1 - half) // step + 1) * step
+    d = df.where(F.col(value).isNotNull()).select(*keys, "bin", F.col(value).cast("double").alias("_v"))
+    schema = T.StructType([*[d.schema[k] for k in keys], T.StructField("bin", T.LongType()), T.StructField("hurst", T.DoubleType())])
 
-    def walk(acc, x):
-        c = acc["c"] + x["v"] - F.col("_m")
-        return F.struct(c.alias("c"), F.greatest(acc["hi"], c).alias("hi"), F.least(acc["lo"], c).alias("lo"))
+    def per_day(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin", kind="stable")
+        bins, v, out = pdf["bin"].to_numpy(), pdf["_v"].to_numpy(), []
+        first, stop = np.searchsorted(bins, starts), np.searchsorted(bins, starts + window)
+        for k in np.flatnonzero(stop - first >= least):
+            x = v[first[k] : stop[k]]
+            if x.max() > x.min():
+                run = np.cumsum(x - x.mean())
+                out.append((*(pdf[c].iloc[0] for c in keys), starts[k] + half, np.log((run.max() - run.min()) / x.std(ddof=1)) / math.log(window / 2.0)))
+        return pd.DataFrame(out, columns=schema.names)
 
-    w = w.withColumn("_range", F.aggregate("_r", start, walk, lambda a: a["hi"] - a["lo"]))
-    return w.select(*keys, (F.col("win") * step + half).alias("bin"), (F.ln(F.col("_range") / F.col("_s")) / math.log(window / 2.0)).alias("hurst"))
+    return d.groupBy(*keys).applyInPandas(per_day, schema)
 
 
 @F.pandas_udf(T.StructType([T.StructField("rate", T.DoubleType()), T.StructField("determinism", T.DoubleType())]))

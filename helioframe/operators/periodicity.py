@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,9 @@ from pyspark.sql.window import Window
 OMEGA0 = 6.0
 ENERGY_BANDS = {"10_30s": (10, 30), "30_60s": (30, 60), "60_120s": (60, 120), "120_300s": (120, 300), "300_600s": (300, 600)}
 
+#: Values of a trigonometric matrix that are held at a time.
+PIECE = 2_000_000
+
 
 def arrays_of(df: DataFrame, keys, values, order="bin") -> DataFrame:
     """One row per key with ordered arrays (missing = 0); a key is a day or a window, so the arrays
@@ -212,29 +216,30 @@ def frequency_grid(lo: float, hi: float, count: int) -> list[float]:
 def lomb_scargle(df: DataFrame, keys, value: str, t: str, freqs) -> DataFrame:
     """Normalised Lomb-Scargle power on a frequency grid: (keys, f_no, freq, power).
 
-    Each sample meets the constant grid inside its task; five trigonometric sums per (key, frequency)
-    combine on the map side.
+    A key is a day, a window or a flare, whose rows the cadence bounds, so it is one Arrow group: its five trigonometric
+    sums are matrix products over pieces of the grid, and one row per (key, frequency) leaves the task.
     """
-    day = Window.partitionBy(*keys)
-    d = df.where(F.col(value).isNotNull()).withColumn("_y", F.col(value) - F.avg(value).over(day))
-    grid = F.posexplode(F.array(*[F.lit(float(f)) for f in freqs])).alias("f_no", "freq")
-    rows = d.select(*keys, "_y", F.col(t).cast("double").alias("_t"), grid)
-    arg = 2 * math.pi * F.col("freq") * F.col("_t")
-    rows = rows.withColumn("_cs", F.cos(arg)).withColumn("_sn", F.sin(arg))
-    y, c, s = F.col("_y"), F.col("_cs"), F.col("_sn")
-    sums = rows.groupBy(*keys, F.col("f_no").cast("bigint").alias("f_no"), "freq").agg(
-        F.sum(y * c).alias("yc"), F.sum(y * s).alias("ys"), F.sum(c * c).alias("cc"), F.sum(s * s).alias("ss"), F.sum(c * s).alias("cs"),
-        F.sum(y * y).alias("yy"))
-    phase = 0.5 * F.atan2(2 * F.col("cs"), F.col("cc") - F.col("ss"))
-    sums = sums.withColumn("_a", F.cos(phase)).withColumn("_b", F.sin(phase))
-    a, b = F.col("_a"), F.col("_b")
-    yc = a * F.col("yc") + b * F.col("ys")
-    ys = a * F.col("ys") - b * F.col("yc")
-    cc = a * a * F.col("cc") + 2 * a * b * F.col("cs") + b * b * F.col("ss")
-    ss = a * a * F.col("ss") - 2 * a * b * F.col("cs") + b * b * F.col("cc")
-    part = lambda num, den: F.when(den > 1e-12, num * num / den).otherwise(0.0)
-    power = F.when(F.col("yy") > 1e-12, (part(yc, cc) + part(ys, ss)) / F.col("yy")).otherwise(0.0)
-    return sums.select(*keys, "f_no", "freq", power.alias("power"))
+    keys, grid = list(keys), np.asarray(freqs, dtype=float)
+    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(t).cast("double").alias("_t"), F.col(value).cast("double").alias("_v"))
+    schema = T.StructType([*[d.schema[k] for k in keys], T.StructField("f_no", T.LongType()), T.StructField("freq", T.DoubleType()), T.StructField("power", T.DoubleType())])
+
+    def periodogram(table: pa.Table) -> pa.Table:
+        time, y = table.column("_t").to_numpy(), table.column("_v").to_numpy()
+        order = np.lexsort((y, time))
+        time, y = time[order], y[order] - y.mean()
+        yy, power, step = float(y @ y), np.zeros(len(grid)), max(1, PIECE // max(1, len(time)))
+        for at in range(0, len(grid) if yy > 1e-12 else 0, step):
+            arg = 2 * np.pi * grid[at : at + step, None] * time
+            c, s = np.cos(arg), np.sin(arg)
+            cc, ss, cs = (c * c).sum(1), (s * s).sum(1), (c * s).sum(1)
+            phase = 0.5 * np.arctan2(2 * cs, cc - ss)
+            a, b, yc, ys = np.cos(phase), np.sin(phase), c @ y, s @ y
+            for num, den in ((a * yc + b * ys, a * a * cc + 2 * a * b * cs + b * b * ss), (a * ys - b * yc, a * a * ss - 2 * a * b * cs + b * b * cc)):
+                power[at : at + step] += np.where(den > 1e-12, num * num / np.where(den > 1e-12, den, 1.0), 0.0) / yy
+        own = [table.column(k).take(np.zeros(len(grid), np.int64)) for k in keys]
+        return pa.Table.from_arrays([*own, pa.array(np.arange(len(grid))), pa.array(grid), pa.array(power)], names=schema.names)
+
+    return d.groupBy(*keys).applyInArrow(periodogram, schema)
 
 
 def top_periods(spectrum: DataFrame, keys, k: int = 3) -> DataFrame:
@@ -251,23 +256,24 @@ def local_peaks(df: DataFrame, keys, order: str, value: str, floor) -> DataFrame
 
 
 def detect_pulsations(df: DataFrame, keys, value: str, dt: float, min_period=10.0, max_period=600.0, significance=0.95, least=50, phase_bins=20,
-                      n_freqs=500, rows: int | None = None, order="pos") -> DataFrame:
+                      n_freqs=500, order="pos") -> DataFrame:
     """Quasi-periodic pulsations per key (day, window or flare): detrend, Lomb-Scargle peaks, wavelet
     confirmation within 20 %, duplicates within 10 % dropped, phase-folded amplitude.
 
-    ``order`` is the 0-based sample number within the key; ``rows`` the nominal number of samples.
+    ``order`` is the 0-based sample number within the key.  Keys of fewer than ``least`` samples stay: nothing detected, zeros.
     """
     keys = list(keys)
     whole = Window.partitionBy(*keys)
     d = df.select(*keys, F.col(order).cast("bigint").alias("bin"), F.coalesce(F.col(value), F.lit(0.0)).alias("v"))
-    d = d.withColumn("_n", F.count(F.lit(1)).over(whole)).where(F.col("_n") >= least)
-    nominal = rows or 10**9
-    width = max(2, min(int(3 * max_period / dt), nominal // 2))
+    d = d.withColumn("_n", F.count(F.lit(1)).over(whole))
+    short = d.where(F.col("_n") < least).select(*keys).distinct()
+    d = d.where(F.col("_n") >= least)
+    width = max(2, int(3 * max_period / dt))
     frame = whole.orderBy("bin").rowsBetween(-(width // 2), width - width // 2 - 1)
     d = d.withColumn("x", F.col("v") - F.avg("v").over(frame)).withColumn("time", F.col("bin") * F.lit(float(dt)))
 
     floor = significance * 0.3
-    spec = lomb_scargle(d, keys, "x", "time", frequency_grid(1 / max_period, 1 / min_period, min(n_freqs, nominal)))
+    spec = lomb_scargle(d, keys, "x", "time", frequency_grid(1 / max_period, 1 / min_period, n_freqs))
     w = Window.partitionBy(*keys).orderBy("f_no")
     p = F.col("power")
     spec = spec.withColumn("_pk", (p > F.lag("power").over(w)) & (p > F.lead("power").over(w)) & (p >= floor))
@@ -306,8 +312,10 @@ def detect_pulsations(df: DataFrame, keys, value: str, dt: float, min_period=10.
     hi = F.when(F.count(F.lit(1)) < phase_bins, F.greatest(F.max("f"), F.lit(0.0))).otherwise(F.max("f"))
     amp = folded.groupBy(*keys).agg(((hi - lo) / F.greatest(F.sum("_sv") / F.sum("_c"), F.lit(1e-10))).alias("amplitude"))
     out = both.join(amp, keys, "left")
-    return out.select(*keys, "detected", "period", F.greatest(F.coalesce("amplitude", F.lit(0.0)), F.lit(0.0)).alias("amplitude"),
-                      F.col("ls_max").alias("significance"), F.size("periods").cast("bigint").alias("n_periods"))
+    out = out.select(*keys, "detected", "period", F.greatest(F.coalesce("amplitude", F.lit(0.0)), F.lit(0.0)).alias("amplitude"),
+                     F.col("ls_max").alias("significance"), F.size("periods").cast("bigint").alias("n_periods"))
+    none, zero = F.lit(0).cast("bigint"), F.lit(0.0)
+    return out.unionByName(short.select(*keys, none.alias("detected"), zero.alias("period"), zero.alias("amplitude"), zero.alias("significance"), none.alias("n_periods")))
 
 
 def best_per_group(df: DataFrame, keys) -> DataFrame:
@@ -338,6 +346,12 @@ def welch_shape(arr: pd.Series, cap: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["entropy", "peak_freq"])
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def autocovariance(arr: pd.Series) -> pd.Series:
+    """Sum of products of every array with itself shifted by 0, 1, 2, ... places."""
+    return arr.map(lambda x: np.correlate(x, x, "full")[len(x) - 1 :].tolist())
+
+
 def acf_period(df: DataFrame, keys, value: str, order="bin", least=50, height=0.5, floor=5, fallback=100) -> DataFrame:
     """Dominant period per flare: first local minimum of the autocorrelation (deeper than -height is
     not required: any minimum below ``height``), else the first zero crossing."""
@@ -345,11 +359,7 @@ def acf_period(df: DataFrame, keys, value: str, order="bin", least=50, height=0.
     mean = _total(F.col(value)) / F.size(value)
     rows = rows.withColumn("_m", mean).withColumn("_c", F.transform(value, lambda x: x - F.col("_m")))
     n = F.size("_c")
-
-    def product(k):
-        return F.aggregate(F.zip_with(F.slice("_c", 1, n - k), F.slice("_c", k + 1, n - k), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-
-    rows = rows.withColumn("_a", F.transform(F.sequence(F.lit(0), n - 1), product))
+    rows = rows.withColumn("_a", autocovariance("_c"))
     rows = rows.withColumn("_a", F.transform("_a", lambda x: F.when(F.col("_a")[0] > 0, x / F.col("_a")[0]).otherwise(0.0)))
     half = F.floor(n / F.lit(2)).cast("int")
     lags = F.sequence(F.lit(1), half - 2)

@@ -203,26 +203,46 @@ def rolling_slope(value, size, keys=KEYS, x="bin") -> Column:
 def rolling_spearman(df: DataFrame, x: str, y: str, size: int, out="rho", keys=KEYS) -> DataFrame:
     """Spearman correlation of the ``size`` rows before each row (missing = 0, at least 3 distinct each).
 
-    Every sample joins the ``size`` windows that contain it; ranking and correlation then happen per
-    (day, window) inside the day's partition, so the fan-out never crosses the network.
+    Ranks have no sliding update, so every (channel, day), which the cadence bounds, is one Arrow group and no sample is
+    copied to its windows in the plan.
     """
-    base = df.select(*keys, "bin", F.coalesce(col(x), F.lit(0.0)).alias("_x"), F.coalesce(col(y), F.lit(0.0)).alias("_y"))
-    last = F.max("bin").over(whole(keys))
-    spread = base.withColumn("_last", last).select(
-        *keys, "_x", "_y", F.explode(F.sequence(F.col("bin") + 1, F.least(F.col("bin") + size, F.col("_last") + 1))).alias("_end"), "_last"
-    ).where((F.col("_end") <= F.col("_last")) & (F.col("_end") >= size))
-    group = Window.partitionBy(*keys, "_end")
-
-    def avg_rank(c):
-        low = F.rank().over(group.orderBy(c))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_end", c))
-        return low + (ties - 1) / 2
-
-    ranked = spread.withColumn("_rx", avg_rank("_x")).withColumn("_ry", avg_rank("_y"))
-    rho = ranked.groupBy(*keys, F.col("_end").alias("bin")).agg(
-        F.when((F.countDistinct("_x") >= 3) & (F.countDistinct("_y") >= 3), corr("_rx", "_ry")).alias(out)
-    )
-    return df.join(rho, [*keys, "bin"], "left")
+    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.DoubleType())])
+
+    def per_day(pdf: pd.DataFrame) -> pd.DataFrame:
+        bins = pdf["bin"].to_numpy()
+        dense = np.full((2, bins.max() + 1), np.nan)
+        for k, name in enumerate((x, y)):
+            dense[k, bins] = pdf[name].astype("float64").fillna(0.0)
+        return pdf.assign(**{out: _sliding_spearman(*dense, size)[bins]})
+
+    return df.groupBy(*keys).applyInPandas(per_day, schema)
+
+
+def _sliding_ranks(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Average ranks inside every row of ``windows`` (NaN where it has NaN) and the number of distinct values."""
+    order = np.argsort(windows, axis=1, kind="stable")
+    v = np.take_along_axis(windows, order, 1)
+    new = np.concatenate([np.ones((len(v), 1), bool), v[:, 1:] != v[:, :-1]], 1)
+    place = np.arange(v.shape[1])
+    low = np.maximum.accumulate(np.where(new, place, 0), 1)
+    ends = np.concatenate([new[:, 1:], np.ones((len(v), 1), bool)], 1)
+    high = np.minimum.accumulate(np.where(ends, place, v.shape[1])[:, ::-1], 1)[:, ::-1]
+    ranks = np.empty(v.shape)
+    np.put_along_axis(ranks, order, np.where(np.isnan(v), np.nan, (low + high) / 2), 1)
+    return ranks, (new & ~np.isnan(v)).sum(1)
+
+
+def _sliding_spearman(x: np.ndarray, y: np.ndarray, size: int, chunk: int = 4096) -> np.ndarray:
+    rho = np.full(len(x), np.nan)
+    if len(x) <= size:
+        return rho
+    views = [np.lib.stride_tricks.sliding_window_view(v, size)[:-1] for v in (x, y)]
+    for at in range(0, len(views[0]), chunk):
+        (rx, nx), (ry, ny) = (_sliding_ranks(v[at : at + chunk]) for v in views)
+        k = np.flatnonzero((nx >= 3) & (ny >= 3))
+        dx, dy = (r[k] - np.nanmean(r[k], 1, keepdims=True) for r in (rx, ry))
+        rho[size + at + k] = np.nansum(dx * dy, 1) / np.sqrt(np.nansum(dx * dx, 1) * np.nansum(dy * dy, 1))
+    return rho
 
 
 # -- soft/hard coupling -----------------------------------------------------------------------------

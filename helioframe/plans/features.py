@@ -42,7 +42,7 @@ def window_families(grid: DataFrame, bands: list[str], rows_per_day: int, cadenc
     inside = wi.hop(rho, rows_per_day, lookback, step).where((F.col("pos") >= size // 2) & (F.col("pos") + size - size // 2 <= lookback))
     neupert = inside.groupBy(*keys).agg(F.avg("rho").alias("neupert_rho_mean"), F.stddev_pop("rho").alias("neupert_rho_std"))
 
-    qpp = pe.detect_pulsations(rows, keys, "h", 1.0, *periods, rows=lookback).select(
+    qpp = pe.detect_pulsations(rows, keys, "h", 1.0, *periods).select(
         *keys, F.col("detected").cast("double").alias("qpp_detected"), F.col("period").alias("qpp_period"), F.col("amplitude").alias("qpp_amplitude"), F.col("significance").alias("qpp_significance"))
     out = base
     for family in (shapes, bands_out, te, mi, neupert, qpp):

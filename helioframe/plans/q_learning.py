@@ -142,7 +142,10 @@ def _weight(spark, sf):
 @query("gbt_scores")
 def _gbt(spark, sf):
     d = cut_lineage(le.chronological_split(labelled(spark, sf), "day", ["win"]), "matrix")
-    model = le.train_classifier(d.where(F.col("split") == "train"), NAMES, "label", "gbt", maxIter=8, maxDepth=3)
+    train = d.where(F.col("split") == "train")
+    heavier = le.class_weight(train, "label").first().weight or 1.0
+    train = train.withColumn("_w", F.when(F.col("label") == 1, heavier).otherwise(1.0))
+    model = le.train_classifier(train, NAMES, "label", "gbt", weight="_w", maxIter=30, maxDepth=3)
     out = cut_lineage(le.score(model, d.where(F.col("split") != "train")).select("split", "score", "label"), "scores")
     return present(le.area_scores(out, "score", "label", ("split",)))
 
@@ -156,9 +159,9 @@ def _rf(spark, sf):
 @query("walk_forward")
 def _walk(spark, sf):
     """Rolling-origin evaluation: one model per fold, scores of all test parts."""
-    folds = cut_lineage(le.rolling_origin(cut_lineage(labelled(spark, sf), "matrix"), "day", ["win"], folds=3), "folds")
+    folds = cut_lineage(le.rolling_origin(cut_lineage(labelled(spark, sf), "matrix"), "day", ["win"]), "folds")
     parts = None
-    for k in range(3):
+    for k in range(5):
         fold = folds.where(F.col("fold") == k)
         model = le.train_classifier(fold.where(F.col("role") == "train"), NAMES, "label", "rf", numTrees=8, maxDepth=3)
         scored_part = le.score(model, fold.where(F.col("role") == "test")).select("fold", "score", "label")

@@ -291,13 +291,13 @@ def _top(spark, sf):
 @query("pulsations_day")
 def _qpp_day(spark, sf):
     w = wide(spark, sf).withColumn("pos", F.col("bin"))
-    return present(pe.detect_pulsations(w, ["day"], "view", 1.0, 3.0, 24.0, n_freqs=80, rows=BINS))
+    return present(pe.detect_pulsations(w, ["day"], "view", 1.0, 3.0, 24.0, n_freqs=80))
 
 
 @query("pulsations_window")
 def _qpp_window(spark, sf):
     rows = wi.hop(wide(spark, sf), BINS, 60, 24)
-    return present(pe.detect_pulsations(rows, ["day", "win"], "view", 1.0, 3.0, 12.0, n_freqs=40, rows=60))
+    return present(pe.detect_pulsations(rows, ["day", "win"], "view", 1.0, 3.0, 12.0, n_freqs=40))
 
 
 @query("pulsations_flare")
@@ -308,7 +308,7 @@ def _qpp_flare(spark, sf):
     fl = swpc(spark, sf, only="view").select("day", F.col("start_t").alias("flare"), (F.col("start_t") - 18000).alias("a"), (F.col("end_t") + 18000).alias("b"))
     rows = range_join(wide(spark, sf).select("day", "t", "view"), fl, "t", "a", "b", 43200, on=("day",))
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("day", "flare").orderBy("t")) - 1)
-    found = pe.detect_pulsations(rows, ["day", "flare"], "view", 1.0, 3.0, 12.0, n_freqs=40, least=30, rows=BINS)
+    found = pe.detect_pulsations(rows, ["day", "flare"], "view", 1.0, 3.0, 12.0, n_freqs=40, least=30)
     return present(pe.best_per_group(found, ["day"]))
 
 

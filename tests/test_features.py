@@ -76,8 +76,11 @@ def test_pulsation_found_in_noise(spark):
     rnd = np.random.default_rng(3)
     n = 1200
     v = 100 + 20 * np.sin(2 * np.pi * np.arange(n) / 60) + 5 * rnd.normal(size=n)
-    df = spark.createDataFrame([("k", i, float(x)) for i, x in enumerate(v)], "k string, pos bigint, v double")
-    r = pe.detect_pulsations(df, ["k"], "v", 1.0, 10, 300, n_freqs=400, rows=n).first()
+    rows = [("k", i, float(x)) for i, x in enumerate(v)] + [("short", i, 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, pos bigint, v double")
+    out = {r["k"]: r for r in pe.detect_pulsations(df, ["k"], "v", 1.0, 10, 300, n_freqs=400).collect()}
+    assert tuple(out["short"])[1:] == (0, 0.0, 0.0, 0.0, 0)
+    r = out["k"]
     assert r["detected"] == 1 and r["period"] == pytest.approx(60, rel=0.1) and r["amplitude"] > 0.2
 
 

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,14 @@ def test_rolling_spearman_constant_is_missing(curve):
     df = curve([1, 2, 3, 4, 5, 6, 7, 8]).withColumn("w", F.col("v") * -2)
     got = values(ro.rolling_spearman(df, "v", "w", 4, keys=("channel", "day")), "rho")
     assert got[:4] == [None] * 4 and got[4:] == pytest.approx([-1.0] * 4)
+
+
+def test_rolling_spearman_with_ties_and_gaps():
+    rnd = np.random.default_rng(6)
+    x, y = rnd.integers(0, 5, 200).astype(float), rnd.integers(0, 9, 200).astype(float)
+    x[40:46] = y[40:46] = np.nan  # rows that are not in the table
+    got = ro._sliding_spearman(x, y, 30, chunk=17)
+    assert np.isnan(got[:30]).all()
+    for e in range(30, 200):
+        a, b = pd.Series(x[e - 30 : e]).dropna(), pd.Series(y[e - 30 : e]).dropna()
+        assert got[e] == pytest.approx(np.corrcoef(a.rank(), b.rank())[0, 1], abs=1e-12)

@@ -12,7 +12,8 @@ Plan.
 2. First round: inside each Arrow batch, equal keys form stars around the document that shares most keys, and only the
    star's centre is shuffled; there the centres form stars again.  So a key shared by a third of all documents reaches the
    shuffle once per batch, and candidates grow with documents, not with the square of a bucket.
-3. Candidates that could reach the threshold by size are confirmed on the whole texts; links make components.
+3. The candidate of each document with its heaviest centre, if it could reach the threshold by size, is confirmed on the whole
+   texts, so a group of any size gives a few tests a document; links make components.
 4. Second round: keys shared by several components, one changing member per component and key, in stars again.
 5. Last round: the texts in keys that several components still share go through an exact prefix join across components (rare
    shingles first), so no candidate link between different components is lost and no bucket is expanded into all its pairs.
@@ -97,18 +98,22 @@ def _close(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> np.ndarray:
 def _stars(keys, label, ids, size, weight, share):
     """Stars of the entries of each key around its entry of most weight, between labels only.
 
-    -> positions of the first entry of each (key, label), and the pairs (id, centre) worth confirming."""
+    -> positions of the first entry of each (key, label), and the pairs (id, centre, best) worth confirming."""
     order = np.lexsort((ids, weight, keys))[::-1]
     k = keys[order]
     first = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.empty(0, bool)
     centre = order[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))] if len(k) else order
     far = (label[order] != label[centre]) & (ids[order] != ids[centre]) & _close(size[order], size[centre], share)
-    pairs = np.unique(np.stack([ids[order][far], ids[centre][far]], 1), axis=0)
-    return order, first, pairs
+    return order, first, _ranked(ids[order][far], ids[centre][far], np.asarray(weight)[centre][far])
 
 
-def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+def _ranked(ids: np.ndarray, centres: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    """Distinct (id, centre) with ``best`` true for the centre of most weight of each id."""
+    order = np.lexsort((centres, -weight, ids))
+    ids, centres = ids[order], centres[order]
+    best = np.concatenate(([True], ids[1:] != ids[:-1]))[: len(ids)]
+    new = best | np.concatenate(([True], centres[1:] != centres[:-1]))[: len(ids)]
+    return pa.RecordBatch.from_arrays([pa.array(ids[new], pa.int64()), pa.array(centres[new], pa.int64()), pa.array(best[new])], names=["a", "b", "best"])
 
 
 def _deal(by_label: bool, want_pairs: bool, share, salt: int = 0):
@@ -135,7 +140,7 @@ def _deal(by_label: bool, want_pairs: bool, share, salt: int = 0):
                 weight = np.repeat(count[back].reshape(-1, width).sum(1), width)
                 order, first, pairs = _stars(flat, label, ids, size, weight, share)
             if want_pairs:
-                yield _pairs_batch(pairs)
+                yield pairs
             else:
                 out = order[first]
                 made = [flat[out].view(np.int64), label[out], ids[out], size[out], weight[out].astype(np.int64)]
@@ -148,13 +153,13 @@ def _meet(share, mixed_keys: bool = False):
     """Reduce side: rows sorted by key; stars of each key, or the keys that several labels share.  Streams; keys may span batches."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, label, id, size of the running key's centre, and whether the key was reported
+        last = None  # key, label, id, size and weight of the running key's centre
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, label, ids, size = (batch.column(k).to_numpy() for k in range(4))
+            key, label, ids, size, weight = (batch.column(k).to_numpy() for k in range(5))
             if last is not None:
-                key, label, ids, size = (np.concatenate(([x], y)) for x, y in zip(last, (key, label, ids, size)))
+                key, label, ids, size, weight = (np.concatenate(([x], y)) for x, y in zip(last, (key, label, ids, size, weight)))
             first = np.concatenate(([True], key[1:] != key[:-1]))
             centre = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
             far = label != label[centre]
@@ -162,21 +167,22 @@ def _meet(share, mixed_keys: bool = False):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[far]), pa.int64())], names=["key"])
             else:
                 far &= (ids != ids[centre]) & _close(size, size[centre], share)
-                yield _pairs_batch(np.unique(np.stack([ids[far], ids[centre][far]], 1), axis=0))
-            last = tuple(x[centre[-1]] for x in (key, label, ids, size))
+                yield _ranked(ids[far], ids[centre][far], weight[centre][far])
+            last = tuple(x[centre[-1]] for x in (key, label, ids, size, weight))
 
     return meet
 
 
 ENTRY = "key long, label long, id long, n long, weight long"
+PAIR = "a long, b long, best boolean"
 
 
 def _round(active: DataFrame, share, by_label: bool, salt: int = 0) -> DataFrame:
-    """Candidate pairs (a, b) of one round of stars over ``active`` (id, label, n, subs)."""
-    inside = active.mapInArrow(_deal(by_label, True, share, salt), "a long, b long")
+    """Candidate pairs (a, b, best) of one round of stars over ``active`` (id, label, n, subs)."""
+    inside = active.mapInArrow(_deal(by_label, True, share, salt), PAIR)
     dealt = active.mapInArrow(_deal(by_label, False, share, salt), ENTRY).repartition("key")
-    across = dealt.sortWithinPartitions("key", F.desc("weight"), "id").mapInArrow(_meet(share), "a long, b long")
-    return cut_lineage(inside.union(across).distinct(), "candidates")
+    across = dealt.sortWithinPartitions("key", F.desc("weight"), "id").mapInArrow(_meet(share), PAIR)
+    return cut_lineage(inside.union(across).groupBy("a", "b").agg(F.max("best").alias("best")), "candidates")
 
 
 def _exploded(active: DataFrame) -> DataFrame:
@@ -275,8 +281,9 @@ def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     own = full.join(reps, (full.f1 == reps.f1) & (full.f2 == reps.f2) & (full.doc_id == reps.rep), "left_semi")
     own = cut_lineage(own.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "subs").dropDuplicates(["id", "n"]), "nodes")
 
-    tested = _round(own.withColumn("label", F.col("id")), share, by_label=False)
-    partners = cut_lineage(tested.select("a").union(tested.select("b")).toDF("id").distinct(), "partners")
+    stars = _round(own.withColumn("label", F.col("id")), share, by_label=False)
+    partners = cut_lineage(stars.select("a").union(stars.select("b")).toDF("id").distinct(), "partners")
+    tested = stars.where("best").select("a", "b")  # the others meet in the later rounds if their components still differ
     texts = bodies.withColumnRenamed("doc_id", "id").join(partners, "id", "left_semi")
     texts = cut_lineage(texts, "texts")
     links = cut_lineage(confirmed(tested, texts, n, share).select("a", "b"), "confirmed")

@@ -200,7 +200,7 @@ def _prefixes(share, slots: int, counts=None, n: int = SHINGLE):
     """Texts (id, label, n, body) -> shingle counts by hash slot, or with those counts the prefix shingles of every text.
 
     Two sets of share t have a shingle in common among the first ``n - ceil(t * n) + 1`` of each, in any order that is the same
-    for all sets; rare shingles first keeps what many texts share out of the prefixes."""
+    for all sets; rare shingles first keeps what many texts share out of the prefixes.  ``rest`` counts the shingles from there on."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,14 +210,16 @@ def _prefixes(share, slots: int, counts=None, n: int = SHINGLE):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, rest = [], []
             for body in batch.column("body"):
                 s = shingles(body.as_py(), n)
                 order = np.lexsort((s, counts.value[s & np.uint64(slots - 1)]))
                 found.append(s[order[: len(s) + share[0] * len(s) // -share[1] + 1]].view(np.int64))
+                rest.append(len(s) - np.arange(len(found[-1])))
             size = np.array([len(f) for f in found], np.int64)
             column = lambda name: pa.array(np.repeat(batch.column(name).to_numpy(), size), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)])), *map(column, ("label", "id", "n"))], names=["token", "label", "id", "n"])
+            flat = lambda parts: pa.array(np.concatenate([*parts, np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([flat(found), *map(column, ("label", "id", "n")), flat(rest)], names=["token", "label", "id", "n", "rest"])
 
     return count if counts is None else cut
 
@@ -234,13 +236,14 @@ def _last_round(active: DataFrame, texts: DataFrame, share, n: int = SHINGLE, sl
     counts = np.zeros(slots, np.int64)
     counts[counted.column("slot").to_numpy()] = counted.column("times").to_numpy()
     sent = active.sparkSession.sparkContext.broadcast(counts)
-    tokens = cut_lineage(bodies.mapInArrow(_prefixes(share, slots, sent, n), "token long, label long, id long, n long"), "prefixes")
+    tokens = cut_lineage(bodies.mapInArrow(_prefixes(share, slots, sent, n), "token long, label long, id long, n long, rest long"), "prefixes")
     # only tokens of several components; their largest component meets the others, never itself
     by_label = tokens.groupBy("token", "label").count().groupBy("token")
     several = by_label.agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("count", "label")).alias("top")).where("labels > 1")
     rows = cut_lineage(tokens.join(several.select("token", F.col("top.label").alias("top")), "token"), "tokens")
-    other = rows.select("token", F.col("label").alias("label2"), F.col("id").alias("b"), F.col("n").alias("n2"))
-    fits = share[1] * F.least("n", "n2") >= share[0] * F.greatest("n", "n2")
+    other = rows.select("token", F.col("label").alias("label2"), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("rest").alias("rest2"))
+    # at the first shingle that two sets share, the rest of either must hold the whole intersection; this bounds the sizes too
+    fits = (share[0] + share[1]) * F.least("rest", "rest2") >= share[0] * (F.col("n") + F.col("n2"))
     once = (F.col("label2") == F.col("top")) | (F.col("id") < F.col("b"))
     pairs = rows.where("label <> top").join(other, "token").where((F.col("label") != F.col("label2")) & once & fits & (F.col("id") != F.col("b")))
     return pairs.select(F.col("id").alias("a"), "b").distinct()
@@ -289,12 +292,13 @@ def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     links = cut_lineage(confirmed(tested, texts, n, share).select("a", "b"), "confirmed")
     active = own.join(partners, "id", "left_semi")
     for step in range(2):
-        labelled = active.join(components(links), "id", "left").select("id", "n", "subs", F.coalesce("component", "id").alias("label"))
+        heads = cut_lineage(components(links), "components")  # stars, which the next round's links extend
+        labelled = active.join(heads, "id", "left").select("id", "n", "subs", F.coalesce("component", "id").alias("label"))
         labelled = cut_lineage(labelled, "labelled")
         more = _round(labelled, share, by_label=True, salt=step) if step == 0 else _last_round(labelled, texts, share, n)
         more = cut_lineage(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
         tested = tested.union(more)
-        links = links.union(cut_lineage(confirmed(more, texts, n, share).select("a", "b"), "confirmed"))
+        links = heads.toDF("a", "b").union(cut_lineage(confirmed(more, texts, n, share).select("a", "b"), "confirmed"))
     groups = reps.join(components(links).withColumnRenamed("id", "rep"), "rep", "left")
     groups = groups.select("f1", "f2", "rep", F.coalesce("component", "rep").alias("component"))
     out = all_sets.select("doc_id", "text_hash", "f1", "f2", "n_shingles").join(groups, ["f1", "f2"], "left")

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from xxhash import xxh3_64_intdigest
 
 from helioframe.llm import chat, lm_score, token_counts, toxicity
 from helioframe.llm.queries import QUERIES
@@ -112,6 +113,25 @@ def test_lm_scores(spark, options):
     assert lm_score.scores(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"hot_floor": 9, "bucket_pairs": 10}])
+def test_lm_counts_are_of_single_words(spark, options):
+    """A rare word keeps its own count next to a frequent one whose hash starts with the same 22 bits."""
+    first = {}
+    one, other = next((first[h], w) for w in map("w{}".format, range(100_000)) if first.setdefault(h := xxh3_64_intdigest(w.encode()) >> 42, w) != w)
+    texts = [f"{one} x{k % 5} {one}" for k in range(300)] + [f"{other} y z", f"y {other} z", f"z y {other}", other]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.log_score for r in lm_score.scores(df, **options).collect()}
+    assert all(abs(got[i] - s) < 1e-9 * max(1, n) for i, (n, s) in enumerate(backoff(texts)))
+
+
+def test_lm_query(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in QUERIES["op8_lm_score"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r, (n, s) in zip(rows, backoff([r.text for r in rows])):
+        assert got[r.doc_id].n_words == n and abs(got[r.doc_id].log_score - s) < 1e-9 * max(1, n)
+
+
 def test_lm_scores_without_ids(spark):
     df = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a b"), (-5, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm_score.scores(df).collect()}

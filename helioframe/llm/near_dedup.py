@@ -12,8 +12,9 @@ Plan.
 2. First round: inside each Arrow batch, equal keys form stars around the document that shares most keys, and only the
    star's centre is shuffled; there the centres form stars again.  So a key shared by a third of all documents reaches the
    shuffle once per batch, and candidates grow with documents, not with the square of a bucket.
-3. The candidate of each document with its heaviest centre, if it could reach the threshold by size, is confirmed on the whole
-   texts, so a group of any size gives a few tests a document; links make components.
+3. The candidate of each document with its heaviest centre that could reach the threshold by size is confirmed on the whole
+   texts, so a group of any size gives a few tests a document; links make components.  Whoever shares a key with another
+   class, whatever the sizes, takes part in the rounds that follow.
 4. Second round: keys shared by several components, one changing member per component and key, in stars again.
 5. Last round: the texts in keys that several components still share go through an exact prefix join across components (rare
    shingles first), so no candidate link between different components is lost and no bucket is expanded into all its pairs.
@@ -95,16 +96,28 @@ def _close(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     return share[1] * np.minimum(a, b) >= share[0] * np.maximum(a, b)
 
 
-def _stars(keys, label, ids, size, weight, share):
+def _stars(keys, label, ids, size, weight, share, apart):
     """Stars of the entries of each key around its entry of most weight, between labels only.
 
-    -> positions of the first entry of each (key, label), and the pairs (id, centre, best) worth confirming."""
+    -> positions of the first entry of each (key, label), and the pairs (id, centre, best): of those worth confirming one is
+    best; the others tell who shares a key, whatever the sizes."""
     order = np.lexsort((ids, weight, keys))[::-1]
     k = keys[order]
     first = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.empty(0, bool)
     centre = order[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))] if len(k) else order
-    far = (label[order] != label[centre]) & (ids[order] != ids[centre]) & _close(size[order], size[centre], share)
-    return order, first, _ranked(ids[order][far], ids[centre][far], np.asarray(weight)[centre][far])
+    return order, first, _met(ids[order], ids[centre], (label[order] != label[centre]) & (ids[order] != ids[centre]), size[order], size[centre], np.asarray(weight)[centre], share, apart)
+
+
+def _met(ids, centres, far, size, centre_size, weight, share, apart: bool) -> pa.RecordBatch:
+    """Pairs (id, centre, best) of the ``far`` entries.  Sizes decide what is tested, not who takes part in the later rounds:
+    with ``apart``, ids and centres that met only beyond the size bound come once each, in pairs that are never best."""
+    close = far & _close(size, centre_size, share)
+    out = _ranked(ids[close], centres[close], weight[close])
+    if not apart:
+        return out
+    a, b = ids[far & ~close], centres[far & ~close]
+    at = np.unique(np.concatenate((np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1])))
+    return pa.concat_batches([out, pa.RecordBatch.from_arrays([pa.array(a[at], pa.int64()), pa.array(b[at], pa.int64()), pa.array(np.zeros(len(at), bool))], names=["a", "b", "best"])])
 
 
 def _ranked(ids: np.ndarray, centres: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
@@ -133,12 +146,12 @@ def _deal(by_label: bool, want_pairs: bool, share, salt: int = 0):
                 at = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (lab[1:] != lab[:-1]))))
                 weight = np.diff(np.append(at, len(k)))
                 flat, ids, label, size = k[at], ids[order][at], lab[at], size[order][at]
-                order, first, pairs = _stars(flat, label, ids, size, weight, share)
+                order, first, pairs = _stars(flat, label, ids, size, weight, share, not by_label)
                 first = np.ones(len(order), bool)
             else:
                 _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
                 weight = np.repeat(count[back].reshape(-1, width).sum(1), width)
-                order, first, pairs = _stars(flat, label, ids, size, weight, share)
+                order, first, pairs = _stars(flat, label, ids, size, weight, share, not by_label)
             if want_pairs:
                 yield pairs
             else:
@@ -149,7 +162,7 @@ def _deal(by_label: bool, want_pairs: bool, share, salt: int = 0):
     return deal
 
 
-def _meet(share, mixed_keys: bool = False):
+def _meet(share, mixed_keys: bool = False, apart: bool = False):
     """Reduce side: rows sorted by key; stars of each key, or the keys that several labels share.  Streams; keys may span batches."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +179,7 @@ def _meet(share, mixed_keys: bool = False):
             if mixed_keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[far]), pa.int64())], names=["key"])
             else:
-                far &= (ids != ids[centre]) & _close(size, size[centre], share)
-                yield _ranked(ids[far], ids[centre][far], weight[centre][far])
+                yield _met(ids, ids[centre], far & (ids != ids[centre]), size, size[centre], weight[centre], share, apart)
             last = tuple(x[centre[-1]] for x in (key, label, ids, size, weight))
 
     return meet
@@ -181,7 +193,7 @@ def _round(active: DataFrame, share, by_label: bool, salt: int = 0) -> DataFrame
     """Candidate pairs (a, b, best) of one round of stars over ``active`` (id, label, n, subs)."""
     inside = active.mapInArrow(_deal(by_label, True, share, salt), PAIR)
     dealt = active.mapInArrow(_deal(by_label, False, share, salt), ENTRY).repartition("key")
-    across = dealt.sortWithinPartitions("key", F.desc("weight"), "id").mapInArrow(_meet(share), PAIR)
+    across = dealt.sortWithinPartitions("key", F.desc("weight"), "id").mapInArrow(_meet(share, apart=not by_label), PAIR)
     return cut_lineage(inside.union(across).groupBy("a", "b").agg(F.max("best").alias("best")), "candidates")
 
 

@@ -72,6 +72,33 @@ def test_near_dedup(spark, parts):
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def lost_rows(seed):
+    """Two texts that link, and ten longer texts that hold both, each in near copies: too long to link with either."""
+    rng = random.Random(seed)
+    x = [f"w{rng.randrange(10**9)}" for _ in range(304)]
+    y = list(x)
+    for at in range(20, 300, 40):
+        y[at] = f"y{at}"
+    texts = [" ".join(x), " ".join(y)]
+    for k in range(10):
+        held = [w for at in range(20, 300, 40) for w in y[at - 4 : at + 5]]
+        more = [f"m{k}_{i}" for i in range(80)]
+        texts += [" ".join(x + held + more + [f"z{k}_{j}"]) for j in range(6)]
+    return texts
+
+
+@pytest.mark.parametrize("seed", [10, 11, 29])
+def test_near_dedup_among_longer_texts(spark, seed):
+    """The two shorter texts share keys only where a longer one, too long to be their partner, is the centre."""
+    texts = lost_rows(seed)
+    sets = [grams(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])]
+    want = reach(range(len(texts)), links)
+    assert want[0] == want[1] == 0 and want[2] == 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in near_dedup.classes(df).collect()} == want
+
+
 def test_near_dedup_odd_rows(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (3, None), (1, "A b c d e  f"), (None, None)]
     got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())

@@ -19,9 +19,9 @@ from helioframe.sources.tables import table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labelled ones, scores under one half."""
+    """Documents that the classifier, learnt from the labelled ones, does not score over one half; all where it learnt nothing."""
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("score") < 0.5).select("row.*")
+    return scored.where(F.col("score") <= 0.5).select("row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,14 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_nothing_is_toxic_without_labels(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (None, "other words")], "doc_id long, text string")
+    for labels in ([], [(77777, 1)]):
+        folder = str(tmp_path / str(len(labels)))
+        spark.createDataFrame(labels, "doc_id long, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+        assert cp.not_toxic(spark, docs, folder).count() == 3
+
+
 def test_stages(spark):
     before = spark.read.parquet(f"{SF}/documents.parquet")
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

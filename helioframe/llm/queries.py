@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, decontaminate, embedding_dedup, line_dedup, lm_score, mixing, near_dedup, token_counts, tokenids, toxicity
+from . import chat, decontaminate, embedding_dedup, lexical_search, line_dedup, lm_score, merkle, mixing, near_dedup, token_counts, tokenids, topk_search, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +185,92 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return tokenids.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+CRC = """xor(4294967295, list_reduce(flatten([[4294967295]] || list_transform(range(1, len({0}) + 1), lambda p: [ascii(substr({0}, p, 1)), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a // 2, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END))"""
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR) END"
+
+
+def _levels(name: str, levels: int) -> str:
+    """The levels over {name}0 (g, i, h, n), and the siblings of every node as {name}s0, ..."""
+    out = []
+    for k in range(levels):
+        now = f"{name}{k}"
+        out.append(f"{now[0]}s{k} AS (SELECT g, i, n > 1 AS up, coalesce(string_agg(h, '') OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+                   f"coalesce(string_agg(h, '') OVER (b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {now} WINDOW b AS (PARTITION BY g, i // 8 ORDER BY i))")
+        out.append(f"{name}{k + 1} AS (SELECT g, i // 8 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (n + 7) // 8 AS n FROM {now} WHERE n > 1 GROUP BY g, i // 8, n UNION ALL SELECT g, i, h, n FROM {now} WHERE n = 1)")
+    return ",\n".join(out)
+
+
+def _way(start: str, name: str, levels: int, keys: str, fold: str, proof: str) -> str:
+    """Walks every row of ``start`` (g, i, ...) up the levels: extends ``fold`` and ``proof``."""
+    out, now = [], start
+    for k in range(levels):
+        out.append(f"{start}w{k} AS (SELECT {keys}, t.g, t.i, CASE WHEN up THEN sha256(l || {fold} || r) ELSE {fold} END AS {fold}, CASE WHEN up THEN {proof} || l || r ELSE {proof} END AS {proof} "
+                   f"FROM {now} t JOIN {name}s{k} s ON s.g = t.g AND s.i = t.i // {8**k})")
+        now = f"{start}w{k}"
+    return ",\n".join(out)
+
+
+#: Unrolled to 8**6 rows a language and 8**2 languages.
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+  CASE WHEN {CRC.format("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", LOWER.format("text")))}) END AS other FROM documents),
+p AS (SELECT doc_id, g, leaf, coalesce(other, leaf) AS f, '' AS proof, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+a0 AS (SELECT g, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM p),
+{_levels("a", 6)},
+b0 AS (SELECT '' AS g, g AS lang, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS n FROM a6),
+{_levels("b", 2)},
+{_way("p", "a", 6, "doc_id, leaf", "f", "proof")},
+q AS (SELECT doc_id, leaf, b0.h AS subroot, f, proof, b0.g, b0.i FROM pw5 JOIN b0 ON b0.lang = pw5.g),
+{_way("q", "b", 2, "doc_id, leaf, subroot", "f", "proof")}
+SELECT doc_id, leaf, subroot, b2.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = b2.h AS verified FROM qw1, b2
+"""
+
+
+@query("op11_merkle", OP11)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = merkle.leaf([*map(F.col, fields[:-1]), merkle.lower_ascii(F.col("text"))])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lowered)
+    found = merkle.manifest(table(spark, folder, "documents").select(*fields), fields, carry={"tampered": tampered})
+    found = found.select(
+        F.col("data.order").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.fold(F.coalesce("data.tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+@query("op12_topk", OP12)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return topk_search.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+p AS (SELECT r, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM d) GROUP BY r, doc_id, len(w), term),
+c AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY term, docs),
+i AS (SELECT x, item_id, term, count(*) AS times FROM (SELECT x, item_id, unnest({TERMS.format(LOWER.format("coalesce(text, '')"))}) AS term FROM (SELECT row_number() OVER () AS x, * FROM benchmark)) GROUP BY ALL),
+s AS (SELECT x, item_id, doc_id, r, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+      FROM i JOIN p USING (term) JOIN f USING (term), c GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+
+@query("op13_lexical", OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

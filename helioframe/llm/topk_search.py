@@ -167,7 +167,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_i
     rows = cut_lineage(rows, "codes")
     blocks = _tiles(rows, tile)
     asking = rows.where("asks").join(blocks.select("dim", "longest"), "dim")
-    reach = F.least(F.ceil(F.col("norm") * F.col("longest") * (1 + 1e-9)) + 1, F.lit(EDGE)).cast("long")
+    reach = F.ceil(F.least(F.col("norm") * F.col("longest") * (1 + 1e-9) + 1, F.lit(float(EDGE)))).cast("long")
     asking = asking.select("row", F.col("vec_id").alias("query_id"), "dim", "small", "large", (-reach).alias("low"), (reach + 1).alias("high"), F.lit(0).cast("long").alias("above"))
     state = cut_lineage(asking.select("row", "low", "high", "above"), "ranges")
     asking = asking.drop("low", "high", "above")
@@ -179,7 +179,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_i
         low = F.col("low") + F.col("b.bin") * width
         # fewer than k candidates: the lowest end of the range lets all of them through
         state = cut_lineage(state.join(there, "row", "left").select(
-            "row", F.coalesce(low, F.col("low")).alias("low"), F.coalesce(F.least(low + width, F.col("high")), F.col("low") + 1).alias("high"),
+            "row", F.coalesce(low, F.col("low")).alias("low"), F.when(F.col("b").isNull(), F.col("low") + 1).otherwise(F.least(low + width, F.col("high"))).alias("high"),
             F.coalesce(F.col("b.over"), F.col("above")).alias("above")), "ranges")
     won = _scored(asking.join(state, "row"), rows, blocks, _winners(k), "row long, vec_id long, score long")
     best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))

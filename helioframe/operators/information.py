@@ -46,6 +46,63 @@ def transfer_entropy(df: DataFrame, keys, source: str, target: str, k=1, bins=16
     return cells.groupBy(*keys).agg(F.when(F.max("n") >= least, F.sum(term)).otherwise(0.0).alias(out))
 
 
+#: Candidate pairs that are compared at a time.
+PAIRS = 1 << 21
+
+
+def close_pairs(points: np.ndarray, r: float) -> int:
+    """Number of pairs of rows closer than ``r`` in every coordinate.
+
+    Equal rows are counted once with their multiplicity.  The others are sorted into cells of width ``r`` by the first
+    coordinate and by the second one inside a cell, so the candidates of a row are two short runs that binary search finds;
+    only they are compared, a bounded number at a time.  One coordinate needs the binary search alone.
+    """
+    rows, times = np.unique(points, axis=0, return_counts=True)
+    total = int((times * (times - 1) // 2).sum())
+    weight = np.concatenate(([0], np.cumsum(times)))
+    if rows.shape[1] == 1:
+        x = rows[:, 0]
+        ends = np.searchsorted(x, x + r, "right")
+        over = x[ends - 1] - x >= r  # the sum may round onto the next value
+        while over.any():
+            ends = ends - over
+            over = x[ends - 1] - x >= r
+        return total + int((times * (weight[ends] - weight[1:])).sum())
+    cell = np.floor((rows[:, 0] - rows[0, 0]) / r).astype(np.int64)
+    order = np.lexsort((rows[:, 1], cell))
+    rows, times, cell = rows[order], times[order], cell[order]
+    first = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1))
+    last = np.append(first[1:], len(cell))
+    slack = r * (1 + 1e-9)
+    lows, highs, owners = [], [], []
+    for k, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+        y = rows[a:b, 1]
+        lows.append(np.arange(a + 1, b + 1))
+        highs.append(a + np.searchsorted(y, y + slack, "right"))
+        owners.append(np.arange(a, b))
+        if k + 1 < len(first) and cell[first[k + 1]] == cell[a] + 1:
+            c, d = int(first[k + 1]), int(last[k + 1])
+            z = rows[c:d, 1]
+            lows.append(c + np.searchsorted(z, y - slack))
+            highs.append(c + np.searchsorted(z, y + slack, "right"))
+            owners.append(np.arange(a, b))
+    low, owner = np.concatenate(lows), np.concatenate(owners)
+    size = np.maximum(np.concatenate(highs) - low, 0)
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        n = size[at:end]
+        i = np.repeat(owner[at:end], n)
+        j = np.arange(n.sum()) + np.repeat(low[at:end] - np.cumsum(n) + n, n)
+        near = np.ones(len(i), bool)
+        for d in range(rows.shape[1]):
+            near &= np.abs(rows[i, d] - rows[j, d]) < r
+        total += int((times[i[near]] * times[j[near]]).sum())
+        at = end
+    return total
+
+
 @F.pandas_udf(T.DoubleType())
 def sample_entropy(arr: pd.Series, m: pd.Series, factor: pd.Series) -> pd.Series:
     """-ln(A/B) of template matches of length m+1 and m (Chebyshev distance < factor*std); 0 if undefined.
@@ -57,12 +114,7 @@ def sample_entropy(arr: pd.Series, m: pd.Series, factor: pd.Series) -> pd.Series
         n, r = len(x), factor * x.std() if len(x) else 0.0
         if n < m + 5 or r < 1e-10:
             return 0.0
-
-        def matches(length):
-            rows = np.lib.stride_tricks.sliding_window_view(x, length)[: n - length]
-            return sum(int((np.abs(rows[i + 1:] - rows[i]).max(axis=1) < r).sum()) for i in range(len(rows) - 1))
-
-        b, a = matches(m), matches(m + 1)
+        b, a = (close_pairs(np.lib.stride_tricks.sliding_window_view(x, k)[: n - k], r) for k in (m, m + 1))
         return float(-np.log(a / b)) if a and b else 0.0
 
     return pd.Series([one(x, int(k), f) for x, k, f in zip(arr, m, factor)])

@@ -129,15 +129,13 @@ def detect_burst(lc: DataFrame, sigma=5.0, min_duration=60, window=300, value="v
     ).withColumn("end_t", base + F.col("end_bin") * cadence)
 
 
-def detect_wavelet(power: DataFrame, signal: str, sigma=3.0, min_duration=60, keys=KEYS) -> DataFrame:
+def detect_wavelet(samples: DataFrame, sigma=3.0, min_duration=60, keys=KEYS) -> DataFrame:
     """Runs of samples whose largest wavelet power over all scales exceeds median + sigma * deviation of the day.
 
-    ``power`` has one row per key and scale with the array ``p_<signal>`` (``wavelet_power``); the maximum
-    over scales is taken map-side before the day's rows meet.
+    ``samples`` has one row per sample with ``peak_power`` (``periodicity.per_sample``).
     """
     keys = list(keys)
-    cells = power.select(*keys, F.posexplode(f"p_{signal}").alias("bin", "p"))
-    top = cells.groupBy(*keys, F.col("bin").cast("bigint").alias("bin")).agg(F.max("p").alias("peak_power"))
+    top = samples.select(*keys, "bin", "peak_power")
     day = whole(keys)
     limit = F.percentile("peak_power", F.lit(0.5)).over(day) + sigma * F.stddev_pop("peak_power").over(day)
     df = top.withColumn("_over", F.col("peak_power") > limit)

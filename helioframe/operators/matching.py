@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import sized
 from .intervals import bucket_of
 
 CLASS_RANK = {"A": 0, "B": 1, "C": 2, "M": 3, "X": 4}
@@ -49,32 +49,54 @@ def chains(events: DataFrame, tol: float, day="day", time="time", out="chain") -
     return e.withColumn("_run", running).join(days, day).withColumn(out, F.col("_base") + F.col("_run")).drop("_gap", "_break", "_run", "_base")
 
 
+def reachable(left: DataFrame, right: DataFrame, tol: float, rule="nearest", lt="lt", rt="rt", lid="lid", rid="rid") -> DataFrame:
+    """(lid, time, rid, rtime): of the right events within ``tol`` of a left one, those that it can take in the end.
+
+    A left event follows at most c - 1 others whose windows overlap its own and each of them takes one right event, so one of its c
+    best candidates is still free and no other one matters.  Right events of one second differ by their id alone, so a
+    second keeps its smallest ids first (as many as the largest c), and seconds that no left event reaches are dropped.
+    """
+    tol = int(tol)
+    l = left.select(F.col(lid).alias("lid"), F.col(lt).cast("double").alias("time"))
+    others = candidate_pairs(l, l.select(F.col("lid").alias("olid"), F.col("time").alias("otime")), 2 * tol, "time", "otime")
+    first = (F.col("otime") < F.col("time")) | ((F.col("otime") == F.col("time")) & (F.col("olid") <= F.col("lid")))
+    l = sized(others.where(first).groupBy("lid", "time").agg(F.count(F.lit(1)).alias("c")), "left-events")
+    most = l.agg(F.max("c")).first()[0] or 0
+    r = right.select(F.col(rid).alias("rid"), F.col(rt).cast("double").alias("rtime"))
+    near = l.select(F.explode(F.array(*[bucket_of("time", tol) + k for k in (-1, 0, 1)])).alias("_k")).distinct()
+    r = r.withColumn("_k", bucket_of("rtime", tol)).join(near, "_k", "left_semi").drop("_k")
+    r = r.withColumn("_n", F.row_number().over(Window.partitionBy("rtime").orderBy("rid"))).where(F.col("_n") <= most).drop("_n")
+    pairs = candidate_pairs(l, r, tol, "time", "rtime")
+    order = [F.abs(F.col("rtime") - F.col("time"))] if rule == "nearest" else []
+    turn = F.row_number().over(Window.partitionBy("lid", "time").orderBy(*order, "rtime", "rid"))
+    return pairs.withColumn("_n", turn).where(F.col("_n") <= most).where(F.col("_n") <= F.col("c")).select("lid", "time", "rid", "rtime")
+
+
 def greedy_pairs(left: DataFrame, right: DataFrame, tol: float, rule="nearest", lt="lt", rt="rt", lid="lid", rid="rid", day="day") -> DataFrame:
     """One-to-one matching in left order: each left event takes the nearest (or the first) right event
     still free within the tolerance; ties go to the earlier one.  ``day`` is the left event's.
 
-    Sequential by definition, so each chain of events with gaps within the tolerance is matched in one Arrow group; events of
-    different chains cannot match.
+    Sequential by definition, so each chain of left events with overlapping windows is one Arrow group.  It holds the candidates
+    that ``reachable`` leaves: at most c rows a left event, however many right events there are.
     """
-    l = left.select(day, F.lit("L").alias("side"), F.col(lid).alias("lid"), F.lit(None).cast(right.schema[rid].dataType).alias("rid"), F.col(lt).cast("double").alias("time"))
-    r = right.select(day, F.lit("R").alias("side"), F.lit(None).cast(left.schema[lid].dataType).alias("lid"), F.col(rid).alias("rid"), F.col(rt).cast("double").alias("time"))
+    events = sized(left.select(F.col(day).alias("day"), F.col(lid).alias("lid"), F.col(lt).cast("double").alias("time")), "left-events")
+    linked = chains(events, 2 * tol, "day").select("lid", "time", "day", "chain")
+    rows = reachable(left, right, tol, rule, lt, rt, lid, rid).join(linked, ["lid", "time"])
     schema = T.StructType([left.schema[day], T.StructField(lid, left.schema[lid].dataType), T.StructField(rid, right.schema[rid].dataType),
                            T.StructField("dt", T.DoubleType())])
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf["side"] == "L"].sort_values(["time", "lid"], kind="stable")
-        b = pdf[pdf["side"] == "R"].sort_values(["time", "rid"], kind="stable")
-        times, free, out = b["time"].to_numpy(), np.ones(len(b), bool), []
-        for i, t in enumerate(a["time"].to_numpy()):
-            near = np.arange(np.searchsorted(times, t - tol), np.searchsorted(times, t + tol, "right"))
-            near = near[free[near]]
-            if len(near):
-                pick = near[np.argmin(np.abs(times[near] - t))] if rule == "nearest" else near[0]
-                free[pick] = False
-                out.append((a[day].iloc[i], a["lid"].iloc[i], b["rid"].iloc[pick], times[pick] - t))
+        far = (pdf["rtime"] - pdf["time"]).abs() if rule == "nearest" else 0.0
+        pdf = pdf.assign(_far=far).sort_values(["time", "lid", "_far", "rtime", "rid"], kind="stable")
+        taken, served, out = set(), set(), []
+        for d, l, t, r, rtime in zip(pdf["day"], pdf["lid"], pdf["time"], pdf["rid"], pdf["rtime"]):
+            if (l, t) not in served and (r, rtime) not in taken:
+                served.add((l, t))
+                taken.add((r, rtime))
+                out.append((d, l, r, rtime - t))
         return pd.DataFrame(out, columns=[day, lid, rid, "dt"])
 
-    return chains(l.unionByName(r), tol, day).groupBy("chain").applyInPandas(match, schema)
+    return rows.groupBy("chain").applyInPandas(match, schema)
 
 
 def merge_catalogs(soft: DataFrame, hard: DataFrame, pairs: DataFrame, high_class="C", lid="lid", rid="rid") -> DataFrame:

@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 from .periodicity import arrays_of
 
 
-def hurst(df: DataFrame, keys, value: str, window=3600, step=60, least=100, keys_size: int = 86400) -> DataFrame:
+def hurst(df: DataFrame, keys, value: str, window=3600, step=60, least=100, keys_size: int = 86400, spread=False) -> DataFrame:
     """Rescaled-range exponent ln(R/S)/ln(window/2) per hopping centred window with at least ``least`` values that differ.
 
-    Every key, a day whose rows the cadence bounds, is one Arrow group; its windows are slices of one sorted array.
+    With ``spread`` every row within ``step`` of a centre has a value, that of the last such centre (the row ``step`` after a
+    centre excluded).  Every key, a day whose rows the cadence bounds, is one Arrow group; its windows are slices of one sorted array.
     """
     half = window // 2
     starts = np.arange(0, (keys_size - half - 1 - half) // step + 1) * step
@@ -32,6 +33,12 @@ def hurst(df: DataFrame, keys, value: str, window=3600, step=60, least=100, keys
             if x.max() > x.min():
                 run = np.cumsum(x - x.mean())
                 out.append((*(pdf[c].iloc[0] for c in keys), starts[k] + half, np.log((run.max() - run.min()) / x.std(ddof=1)) / math.log(window / 2.0)))
+        if spread and out:
+            filled = np.full(keys_size, np.nan)
+            for *_, centre, h in out:
+                filled[max(0, centre - step) : centre + step] = h
+            at = np.flatnonzero(~np.isnan(filled))
+            return pd.DataFrame({c: [pdf[c].iloc[0]] * len(at) for c in keys} | {"bin": at, "hurst": filled[at]})
         return pd.DataFrame(out, columns=schema.names)
 
     return d.groupBy(*keys).applyInPandas(per_day, schema)

@@ -11,11 +11,13 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.scalars import col
+
 # Fixed values
 OMEGA0 = 6.0
 ENERGY_BANDS = {"10_30s": (10, 30), "30_60s": (30, 60), "60_120s": (60, 120), "120_300s": (120, 300), "300_600s": (300, 600)}
@@ -132,34 +134,41 @@ def band_features(power: DataFrame, keys, soft: str, hard: str | None = None, ba
     return out.drop("_top", "_s", "_gl")
 
 
-def per_sample(power: DataFrame, keys, soft: str, hard: str | None = None, band=(30, 300)) -> DataFrame:
-    """Per-sample wavelet features: band mean, ridge, local intermittency, cross power and coherence.
+SAMPLE = ["band_power", "ridge_period", "peak_power", "lim_max", "lim_mean", "mean_power"]
+SAMPLE_BOTH = ["cross_power", "coherence", "cross_lim_max"]
+
 
-    All scales of a key come from one task, so the map-side combine shrinks the exploded samples to
-    one row each before they are shuffled.
+def per_sample(arrays: DataFrame, keys, soft: str, hard: str | None, dt: float, scales, band=(30, 300), least=16) -> DataFrame:
+    """Wavelet features of every sample: band mean, ridge, local intermittency, mean power; cross power and coherence.
+
+    The reduction over scales happens where the transform is made: one row per sample leaves the task, never one per
+    scale and sample.  ``arrays`` has one row per key (``arrays_of``); keys of fewer than ``least`` samples have no rows.
     """
-    p = F.col(f"p_{soft}")
-    rows = power.withColumn("_mean", _total(p) / F.size(p) + 1e-30)
-    zipped = F.arrays_zip(p.alias("s"), F.col(f"p_{hard}").alias("h")) if hard else F.arrays_zip(p.alias("s"))
-    if hard:
-        h = F.col(f"p_{hard}")
-        rows = rows.withColumn("_hmean", _total(h) / F.size(h) + 1e-30)
-        rows = rows.withColumn("_cmean", _total(F.zip_with(p, h, lambda a, b: F.sqrt(a * b))) / F.size(p) + 1e-30)
-    keep = ["period", "scale_no", "_mean"] + (["_hmean", "_cmean"] if hard else [])
-    long = rows.select(*keys, *keep, F.posexplode(zipped).alias("pos", "x"))
-    s, per = F.col("x.s"), F.col("period")
-    lim = s / F.col("_mean")
-    aggs = [F.avg(F.when(per.between(*band), s)).alias("band_power"),
-            F.max(F.struct(s.alias("v"), (-F.col("scale_no")).alias("n"), per.alias("p"))).alias("_top"),
-            F.max(lim).alias("lim_max"), F.avg(lim).alias("lim_mean"), F.avg(s).alias("mean_power")]
-    if hard:
-        hh = F.col("x.h")
-        common = F.sqrt(s * hh)
-        aggs += [F.avg(common).alias("cross_power"), F.avg(F.least(lim, hh / F.col("_hmean"))).alias("coherence"),
-                 F.max(common / F.col("_cmean")).alias("cross_lim_max")]
-    out = long.groupBy(*keys, F.col("pos").cast("bigint").alias("bin")).agg(*aggs)
-    out = out.withColumn("ridge_period", F.col("_top.p")).withColumn("peak_power", F.col("_top.v")).drop("_top")
-    return out.withColumn("lim_flag", (F.col("lim_max") > 3).cast("bigint"))
+    keys, grid = list(keys), np.asarray(scales, dtype=float)
+    periods = 4 * math.pi * grid / OMEGA0
+    inside = (periods >= band[0]) & (periods <= band[1])
+    names = SAMPLE + (SAMPLE_BOTH if hard else [])
+    schema = T.StructType([*[arrays.schema[k] for k in keys], T.StructField("bin", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+    floor = 1e-30
+
+    def reduce(batches):
+        for pdf in batches:
+            for rec in pdf.to_dict("records"):
+                if len(rec[soft]) < least:
+                    continue
+                p = _power(np.asarray(rec[soft], dtype=float), dt, grid, "real")
+                lim = p / (p.mean(1, keepdims=True) + floor)
+                out = {k: rec[k] for k in keys} | {"bin": np.arange(p.shape[1]), "band_power": p[inside].mean(0) if inside.any() else np.nan, "ridge_period": periods[p.argmax(0)]}
+                out |= {"peak_power": p.max(0), "lim_max": lim.max(0), "lim_mean": lim.mean(0), "mean_power": p.mean(0)}
+                if hard:
+                    h = _power(np.asarray(rec[hard], dtype=float), dt, grid, "real")
+                    common = np.sqrt(p * h)
+                    out |= {"cross_power": common.mean(0), "coherence": np.minimum(lim, h / (h.mean(1, keepdims=True) + floor)).mean(0),
+                            "cross_lim_max": (common / (common.mean(1, keepdims=True) + floor)).max(0)}
+                yield pd.DataFrame(out)[schema.names]
+
+    rows = arrays.select(*keys, soft, *([hard] if hard else [])).mapInPandas(reduce, schema)
+    return rows.withColumn("lim_flag", (F.col("lim_max") > 3).cast("bigint"))
 
 
 def scalegram(power: DataFrame, keys, soft: str, band=(30, 300)) -> DataFrame:
@@ -208,6 +217,42 @@ def red_noise_power(r1, freq, dt: float = 1.0):
     return 1.0 / (1 + F.col(r1) * F.col(r1) - 2 * F.col(r1) * F.cos(2 * math.pi * freq * dt))
 
 
+def red_noise_level(r1, periods, dt: float = 1.0) -> Column:
+    """Power of an AR(1) process at every period, as an array."""
+    return F.transform(F.array(*[F.lit(float(p)) for p in periods]), lambda p: 1.0 / (1 + col(r1) * col(r1) - 2 * col(r1) * F.cos(2 * math.pi * dt / p)))
+
+
+def scale_significance(power: DataFrame, noise: DataFrame, keys, soft: str, dt: float = 1.0, limit=3.0) -> DataFrame:
+    """Mean power of every scale over the red noise of the key's lag-1 autocorrelation at that period, flagged over ``limit``."""
+    p = F.col(f"p_{soft}")
+    mean = power.select(*keys, "scale_no", "period", (_total(p) / F.size(p)).alias("_g"))
+    level = red_noise_power("r1", 1.0 / F.col("period"), dt)
+    out = mean.join(noise.select(*keys, "r1"), list(keys)).withColumn("significance", F.col("_g") / (level + 1e-30))
+    return out.select(*keys, "scale_no", "period", "r1", "significance", (F.col("significance") > limit).cast("bigint").alias("significant"))
+
+
+def sample_significance(samples: DataFrame, noise: DataFrame, keys, periods, dt: float = 1.0, limit=3.0) -> DataFrame:
+    """``qpp_sig_score``: mean power of a sample over all scales against the mean red noise; ``qpp_significant`` over ``limit``."""
+    level = _total(red_noise_level("r1", periods, dt)) / len(periods)
+    out = samples.join(noise.select(*keys, "r1"), list(keys), "left").withColumn("qpp_sig_score", F.col("mean_power") / (level + 1e-30))
+    return out.withColumn("qpp_significant", F.coalesce(F.col("qpp_sig_score") > limit, F.lit(False)).cast("bigint"))
+
+
+def oscillation_cycles(samples: DataFrame, flares: DataFrame, keys, t="t", band=(30, 300), least=30, most=20, local=3, width=3600) -> DataFrame:
+    """Cycles per flare: half the times that the ridge enters or leaves ``band`` (at most ``most``), 0 for flares of fewer than
+    ``least`` samples; ``is_localized`` under ``local`` cycles."""
+    from .intervals import range_join
+
+    names = [c for c in flares.columns if c not in keys]
+    rows = range_join(samples.select(*keys, t, F.col("ridge_period").between(*band).alias("_in")), flares, t, "start_t", "end_t", width, on=tuple(keys))
+    turn = F.lag("_in").over(Window.partitionBy(*keys, *names).orderBy(t))  # a flare lies inside a day
+    rows = rows.withColumn("_turn", F.coalesce(turn != F.col("_in"), F.lit(False)).cast("long"))
+    seen = rows.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("samples"), F.least(F.floor(F.sum("_turn") / 2), F.lit(most)).alias("_c"))
+    out = flares.join(seen, [*keys, *names], "left").withColumn("samples", F.coalesce("samples", F.lit(0).cast("long")))
+    out = out.withColumn("cycles", F.when(F.col("samples") >= least, F.col("_c")).otherwise(0).cast("long")).drop("_c")
+    return out.withColumn("is_localized", (F.col("cycles") < local).cast("long"))
+
+
 # -- periodograms -------------------------------------------------------------------------------------------------
 def frequency_grid(lo: float, hi: float, count: int) -> list[float]:
     return [lo + (hi - lo) * i / (count - 1) for i in range(count)]
@@ -325,6 +370,18 @@ def best_per_group(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*keys).agg(top.alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in names])
 
 
+def with_fallback(best: DataFrame, whole: DataFrame, keys) -> DataFrame:
+    """The best flare pulsation of every key; where no flare shows one, the search over the whole series if it is more significant.
+
+    ``whole`` has one row per key; ``from_series`` marks what it decided."""
+    names = [c for c in whole.columns if c not in keys]
+    both = whole.select(*keys, F.struct(*names).alias("_w")).join(best.select(*keys, F.struct(*names).alias("_b")), list(keys), "left")
+    found = F.coalesce(F.col("_b.detected") == 1, F.lit(False))
+    series = ~found & (F.coalesce(F.col("_w.significance"), F.lit(0.0)) > F.coalesce(F.col("_b.significance"), F.lit(-1.0)))
+    pick = F.when(series, F.col("_w")).otherwise(F.coalesce("_b", "_w"))
+    return both.select(*keys, pick.alias("_p"), series.cast("bigint").alias("from_series")).select(*keys, "_p.*", "from_series")
+
+
 # -- power spectral density and autocorrelation -------------------------------------------------------------------
 @F.pandas_udf(T.StructType([T.StructField("entropy", T.DoubleType()), T.StructField("peak_freq", T.DoubleType())]))
 def welch_shape(arr: pd.Series, cap: pd.Series) -> pd.DataFrame:
@@ -346,25 +403,25 @@ def welch_shape(arr: pd.Series, cap: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["entropy", "peak_freq"])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def autocovariance(arr: pd.Series) -> pd.Series:
-    """Sum of products of every array with itself shifted by 0, 1, 2, ... places."""
-    return arr.map(lambda x: np.correlate(x, x, "full")[len(x) - 1 :].tolist())
+@F.pandas_udf(T.LongType())
+def _acf_lag(arr: pd.Series, height: pd.Series, fallback: pd.Series) -> pd.Series:
+    """First local minimum of the autocorrelation up to ``height`` in the first half of the lags, else its first zero crossing."""
+    def one(x, height, fallback):
+        x = np.asarray(x, dtype=float)
+        x, n = x - x.mean(), len(x)
+        a = np.fft.irfft(np.abs(np.fft.rfft(x, 2 * n)) ** 2, 2 * n)[:n]  # twice the length: no lag wraps around
+        a = a / a[0] if x.any() else np.zeros(n)
+        k = np.arange(1, n // 2 - 1)
+        minimum = k[(a[k] < a[k - 1]) & (a[k] < a[k + 1]) & (a[k] <= height)]
+        cross = 1 + np.flatnonzero(a[1:] * a[:-1] <= 0)
+        return int(minimum[0] if len(minimum) else cross[0] if len(cross) else fallback)
+
+    return pd.Series([one(x, h, f) for x, h, f in zip(arr, height, fallback)])
 
 
 def acf_period(df: DataFrame, keys, value: str, order="bin", least=50, height=0.5, floor=5, fallback=100) -> DataFrame:
     """Dominant period per flare: first local minimum of the autocorrelation (deeper than -height is
-    not required: any minimum below ``height``), else the first zero crossing."""
+    not required: any minimum below ``height``), else the first zero crossing.  One FFT a key."""
     rows = arrays_of(df.where(F.col(value).isNotNull()), keys, [value], order).where(F.size(value) >= least)
-    mean = _total(F.col(value)) / F.size(value)
-    rows = rows.withColumn("_m", mean).withColumn("_c", F.transform(value, lambda x: x - F.col("_m")))
-    n = F.size("_c")
-    rows = rows.withColumn("_a", autocovariance("_c"))
-    rows = rows.withColumn("_a", F.transform("_a", lambda x: F.when(F.col("_a")[0] > 0, x / F.col("_a")[0]).otherwise(0.0)))
-    half = F.floor(n / F.lit(2)).cast("int")
-    lags = F.sequence(F.lit(1), half - 2)
-    a = F.col("_a")
-    minimum = F.filter(lags, lambda k: (F.get(a, k) < F.get(a, k - 1)) & (F.get(a, k) < F.get(a, k + 1)) & (-F.get(a, k) >= -height))
-    cross = F.filter(F.sequence(F.lit(1), n - 1), lambda k: F.get(a, k) * F.get(a, k - 1) <= 0)
-    pick = F.coalesce(F.try_element_at(minimum, F.lit(1)), F.try_element_at(cross, F.lit(1)), F.lit(fallback))
+    pick = _acf_lag(value, F.lit(float(height)), F.lit(int(fallback)))
     return rows.select(*keys, F.greatest(pick, F.lit(floor)).cast("bigint").alias("period"))

@@ -109,3 +109,42 @@ def cross_calibration(df: DataFrame, counts: str, flux: str, lo=1e-8, hi=1e-6, l
 
 def calibrated(counts, slope, intercept) -> Column:
     return F.greatest(col(slope) * col(counts) + col(intercept), F.lit(0.0))
+
+
+# -- files and versions -----------------------------------------------------------------------------------
+def content_checksums(df: DataFrame, keys, columns) -> DataFrame:
+    """(keys, rows, checksum, total) whatever the order of the rows: xor and sum over hashes of the row texts.
+
+    Both combine on the map side.  The xor alone would not see a row that occurs twice, the sum does; columns should be integers
+    or texts, whose text form is the same everywhere."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+    mark = F.md5(row.cast("binary"))
+    number = lambda a, n: F.conv(F.substring(mark, a, n), 16, 10).cast("bigint")
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(number(1, 15)).alias("checksum"), F.sum(number(16, 8)).alias("total"))
+
+
+def version_consistency(checksums: DataFrame, keys, version="version") -> DataFrame:
+    """Do all versions of a key hold the same rows?  (keys, versions, fewest, most, contents, consistent)"""
+    content = F.struct("rows", "checksum", "total")
+    out = checksums.groupBy(*keys).agg(F.countDistinct(version).alias("versions"), F.min("rows").alias("fewest"), F.max("rows").alias("most"), F.countDistinct(content).alias("contents"))
+    return out.withColumn("consistent", (F.col("contents") == 1).cast("bigint"))
+
+
+def version_summary(df: DataFrame, value: str, version="version", day="day") -> DataFrame:
+    """Per version: days, rows, missing values, exact median and maximum (do versions share a count scale?)."""
+    from .ranking import exact_quantiles
+
+    stats = df.groupBy(version).agg(F.countDistinct(day).alias("days"), F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col(value).isNull(), 1)).alias("missing"), F.max(value).alias("top"))
+    middle = exact_quantiles(df, [version], value, [0.5]).select(version, F.col("quantile").alias("median"))
+    return stats.join(middle, version, "left")
+
+
+def band_mismatch(df: DataFrame, bands, keys=("day",), t="t", short=2.0, long=20.0) -> DataFrame:
+    """Per key: covered hours (flags for short and long coverage), filled rows of the emptiest and fullest band, their difference."""
+    some = F.coalesce(*[F.col(b) for b in bands]).isNotNull()
+    seen = F.when(some, F.col(t))
+    counts = F.array(*[F.count(b) for b in bands])
+    out = df.groupBy(*keys).agg(((F.max(seen) - F.min(seen)) / 3600.0).alias("coverage_h"), F.array_min(counts).alias("fewest"), F.array_max(counts).alias("most"))
+    return out.withColumns({
+        "difference": F.col("most") - F.col("fewest"), "mismatch": (F.col("most") != F.col("fewest")).cast("bigint"),
+        "is_short": (F.col("coverage_h") < short).cast("bigint"), "is_long": (F.col("coverage_h") > long).cast("bigint")})

@@ -147,6 +147,15 @@ def _hurst(spark, sf):
     return present(nl.hurst(wide(spark, sf), D, "view", 48, 12, 10, BINS))
 
 
+@query("hurst_filled", final(
+    """SELECT day, g.b AS bin, arg_max(hurst, h.bin) AS hurst FROM (SELECT day, win * 12 + 24 AS bin, ln((max(c) - min(c)) / max(s)) / ln(24.0) AS hurst FROM (SELECT *, sum(v - m) OVER (PARTITION BY day, win ORDER BY bin) AS c FROM (
+  SELECT day, win, bin, view AS v, avg(view) OVER p AS m, stddev_samp(view) OVER p AS s, count(*) OVER p AS n FROM wide JOIN (SELECT CAST(range AS BIGINT) AS win FROM range(8)) ON bin >= win * 12 AND bin < win * 12 + 48 WHERE view IS NOT NULL WINDOW p AS (PARTITION BY day, win)) WHERE n >= 10 AND s > 0) GROUP BY day, win) h
+  JOIN (SELECT CAST(range AS BIGINT) AS b FROM range(144)) g ON g.b >= h.bin - 12 AND g.b < h.bin + 12 GROUP BY day, g.b""",
+    "day, bin", "hurst", WIDE))
+def _hurst_filled(spark, sf):
+    return present(nl.hurst(wide(spark, sf), D, "view", 48, 12, 10, BINS, spread=True))
+
+
 REC = FILLED + """, r0 AS (SELECT day, win, bin - win * 24 AS pos, view / 50 AS x, click / 50 AS y FROM wf JOIN (SELECT CAST(range AS BIGINT) AS win FROM range(4)) ON bin >= win * 24 AND bin < win * 24 + 60),
 r1 AS (SELECT day, win, pos, [x, lead(x, 2) OVER w, lead(x, 4) OVER w] AS a, [y, lead(y, 2) OVER w, lead(y, 4) OVER w] AS b FROM r0 WINDOW w AS (PARTITION BY day, win ORDER BY pos)), r2 AS (SELECT * FROM r1 WHERE pos < 56),
 rm AS (SELECT i.day, i.win, i.pos AS i, j.pos AS j, sqrt(pow(i.a[1] - j.b[1], 2) + pow(i.a[2] - j.b[2], 2) + pow(i.a[3] - j.b[3], 2)) < 0.8 AS hit FROM r2 i JOIN r2 j ON i.day = j.day AND i.win = j.win),

@@ -143,7 +143,7 @@ so AS (SELECT day, {e} + peak_bin * {CADENCE} AS lt, peak_flux, {grade_sql('peak
 ho AS (SELECT day, {e} + peak_bin * {CADENCE} AS rt, peak_flux FROM burst WHERE channel = 'click'),
 pairs AS (SELECT so.day, lt, rt, so.peak_flux AS soft_flux, ho.peak_flux AS hard_flux,
   row_number() OVER (PARTITION BY lt ORDER BY abs(lt - rt), rt) AS rl, row_number() OVER (PARTITION BY rt ORDER BY abs(lt - rt), lt) AS rr
-  FROM so JOIN ho ON so.day = ho.day AND abs(lt - rt) <= {TOL}),
+  FROM so JOIN ho ON abs(lt - rt) <= {TOL}),
 mutual AS (SELECT * FROM pairs WHERE rl = 1 AND rr = 1)"""
 
 
@@ -152,7 +152,7 @@ BOTH = _both_sql()
 
 def mutual(soft, hard):
     return ma.mutual_nearest(soft.select("lid", "day", "lt", F.col("peak_flux").alias("soft_flux")),
-                             hard.select("rid", "day", "rt", F.col("peak_flux").alias("hard_flux")), TOL, on=("day",))
+                             hard.select("rid", "rt", F.col("peak_flux").alias("hard_flux")), TOL)
 
 
 @query("coincidence_mutual", final("SELECT *, rt - lt AS dt FROM mutual", "day, lt, rt, dt", "soft_flux hard_flux", BOTH))
@@ -195,11 +195,11 @@ def _greedy(spark, sf):
 
 
 @query("coincidence_only_right", final(
-    "SELECT day, rt, peak_flux FROM ho WHERE NOT EXISTS (SELECT 1 FROM so WHERE so.day = ho.day AND abs(so.lt - ho.rt) <= 3600)", "day, rt", "peak_flux", BOTH))
+    "SELECT day, rt, peak_flux FROM ho WHERE NOT EXISTS (SELECT 1 FROM so WHERE abs(so.lt - ho.rt) <= 3600)", "day, rt", "peak_flux", BOTH))
 def _only_right(spark, sf):
     soft, hard = soft_events(spark, sf), hard_events(spark, sf)
-    near = ma.candidate_pairs(soft.select("day", "lt"), hard.select("day", "rt"), TOL, "lt", "rt", ("day",))
-    return present(hard.join(near.select("day", "rt").distinct(), ["day", "rt"], "left_anti").select("day", "rt", "peak_flux"))
+    near = ma.candidate_pairs(soft.select("lt"), hard.select("rt"), TOL, "lt", "rt")
+    return present(hard.join(near.select("rt").distinct(), "rt", "left_anti").select("day", "rt", "peak_flux"))
 
 
 @query("validate_prf", final(

@@ -178,6 +178,10 @@ def power(spark, sf):
     return pe.wavelet_power(soft_arrays(spark, sf), ["day"], ["view", "click"], 1.0, SCALE_LIST)
 
 
+def samples(spark, sf, hard=None):
+    return pe.per_sample(soft_arrays(spark, sf), ["day"], "view", hard, 1.0, SCALE_LIST, (4, 12))
+
+
 CWT = WIDE + f""",
 sc AS (SELECT unnest(range({len(SCALE_LIST)})) AS sn, unnest([{', '.join(map(repr, SCALE_LIST))}]) AS s),
 cz AS (SELECT day, bin, coalesce(view, 0) AS a, coalesce(click, 0) AS b FROM wide),
@@ -193,7 +197,7 @@ cw AS (SELECT c.day, kn.sn, 4 * pi() * kn.s / 6.0 AS period, c.bin AS bin, pow(s
    FROM (SELECT day, bin, max(pa) AS p FROM cw GROUP BY day, bin)) WHERE p > lim) GROUP BY day, run HAVING count(*) >= 2""",
     "day, start_bin, peak_bin, end_bin, rows", "peak_power", CWT, digits=4))
 def _wavelet_detect(spark, sf):
-    return present(detect_wavelet(power(spark, sf), "view", 1.5, 2, ["day"]), 4)
+    return present(detect_wavelet(samples(spark, sf), 1.5, 2, ["day"]), 4)
 
 
 @query("wavelet_bands", final(
@@ -215,14 +219,14 @@ def _bands(spark, sf):
   FROM (SELECT *, avg(pa) OVER s + 1e-30 AS ma, avg(pb) OVER s + 1e-30 AS mb, avg(sqrt(pa * pb)) OVER s + 1e-30 AS mc FROM cw WINDOW s AS (PARTITION BY day, sn)) GROUP BY day, bin""",
     "day, bin, " + big("lim_flag"), "band_power ridge_period peak_power lim_max lim_mean cross_power coherence cross_lim_max", CWT, digits=4))
 def _samples(spark, sf):
-    return present(pe.per_sample(power(spark, sf), ["day"], "view", "click", (4, 12)).drop("mean_power"), 4)
+    return present(samples(spark, sf, "click").drop("mean_power"), 4)
 
 
 @query("ridge_chirp", final(
     f"""SELECT day, bin, CASE WHEN bin = 0 THEN lead(l) OVER w - l WHEN bin = {BINS - 1} THEN l - lag(l) OVER w ELSE (lead(l) OVER w - lag(l) OVER w) / 2 END AS chirp_rate
   FROM (SELECT day, bin, ln(greatest(arg_max(period, pa), 10)) AS l FROM cw GROUP BY day, bin) WINDOW w AS (PARTITION BY day ORDER BY bin)""", "day, bin", "chirp_rate", CWT))
 def _chirp(spark, sf):
-    s = pe.per_sample(power(spark, sf), ["day"], "view", None, (4, 12))
+    s = samples(spark, sf)
     return present(pe.ridge_chirp(s, ["day"]).select("day", "bin", "chirp_rate"))
 
 
@@ -254,7 +258,7 @@ def _complex(spark, sf):
 def _phases(spark, sf):
     from ..sources.lightcurve import grid_time
 
-    s = pe.per_sample(power(spark, sf), ["day"], "view", None, (4, 12)).withColumn("t", grid_time(CADENCE))
+    s = samples(spark, sf).withColumn("t", grid_time(CADENCE))
     fl = swpc(spark, sf, only="view").select("day", "start_t", "peak_t", "end_t")
     return present(pe.phase_power(s, fl, ["day"], 14400, 3600, least=3), 4)
 
@@ -268,6 +272,43 @@ def _red(spark, sf):
     return present(r.withColumn("p10", pe.red_noise_power("r1", F.lit(0.1))))
 
 
+_R1 = """, rn AS (SELECT day, least(greatest(sum(c * l) / sum(c * c), 0), 0.99) AS r1 FROM (
+  SELECT *, lag(c) OVER (PARTITION BY day ORDER BY bin) AS l FROM (SELECT day, bin, view - avg(view) OVER (PARTITION BY day) AS c FROM wide WHERE view IS NOT NULL)) GROUP BY day),
+rs AS (SELECT rn.day, sn, period, r1, 1.0 / (1 + r1 * r1 - 2 * r1 * cos(2 * pi() / period)) AS level FROM rn, (SELECT DISTINCT sn, period FROM cw))"""
+
+
+@query("scale_significance", final(
+    "SELECT day, scale_no, period, r1, s AS significance, CASE WHEN s > 1.0 THEN 1 ELSE 0 END AS significant FROM (SELECT cw.day, cw.sn AS scale_no, cw.period, r1, avg(pa) / (level + 1e-30) AS s FROM cw JOIN rs ON rs.day = cw.day AND rs.sn = cw.sn GROUP BY ALL, level)".replace("GROUP BY ALL, level", "GROUP BY cw.day, cw.sn, cw.period, r1, level"),
+    "day, " + big("scale_no", "significant"), "period r1 significance", CWT + _R1, digits=5))
+def _scale_significance(spark, sf):
+    """The limit is the instrument's 3 scaled to the shorter scale grid."""
+    noise = pe.red_noise(wide(spark, sf), ["day"], "view")
+    return present(pe.scale_significance(power(spark, sf), noise, ["day"], "view", limit=1.0), 5)
+
+
+@query("sample_significance", final(
+    "SELECT day, bin, r1, score AS qpp_sig_score, CASE WHEN score > 3 THEN 1 ELSE 0 END AS qpp_significant FROM (SELECT cw.day, bin, r1, avg(pa) / (avg(level) + 1e-30) AS score FROM cw JOIN rs ON rs.day = cw.day AND rs.sn = cw.sn GROUP BY cw.day, bin, r1)",
+    "day, bin, " + big("qpp_significant"), "r1 qpp_sig_score", CWT + _R1, digits=5))
+def _sample_significance(spark, sf):
+    noise = pe.red_noise(wide(spark, sf), ["day"], "view")
+    found = pe.sample_significance(samples(spark, sf), noise, ["day"], WPERIODS)
+    return present(found.select("day", "bin", "r1", "qpp_sig_score", "qpp_significant"), 5)
+
+
+@query("oscillation_cycles", final(
+    f"""SELECT day, start_t, end_t, samples, CASE WHEN samples >= 6 THEN least(turns // 2, 20) ELSE 0 END AS cycles, CASE WHEN samples >= 6 AND least(turns // 2, 20) >= 3 THEN 0 ELSE 1 END AS is_localized FROM (
+  SELECT day, start_t, end_t, count(*) AS samples, count(*) FILTER (inside <> before) AS turns FROM (SELECT fw.day, start_t, end_t, inside, lag(inside) OVER (PARTITION BY fw.day, start_t ORDER BY t) AS before
+   FROM (SELECT day, CAST(epoch(day) AS BIGINT) + start_bin * {CADENCE} AS start_t, CAST(epoch(day) AS BIGINT) + end_bin * {CADENCE} AS end_t FROM swpc WHERE channel = 'view') fw
+   JOIN (SELECT day, CAST(epoch(day) AS BIGINT) + bin * {CADENCE} AS t, arg_max(period, pa) BETWEEN 4 AND 12 AS inside FROM cw GROUP BY day, bin) rp ON rp.day = fw.day AND t BETWEEN start_t AND end_t) GROUP BY day, start_t, end_t)""",
+    "day, start_t, end_t, samples, " + big("cycles", "is_localized"), "", CWT + ", " + swpc_sql()[len(LC) + 2:].replace("z AS (SELECT channel", "zq AS (SELECT channel").replace("FROM z)", "FROM zq)")))
+def _cycles(spark, sf):
+    from ..sources.lightcurve import grid_time
+
+    s = samples(spark, sf).withColumn("t", grid_time(CADENCE))
+    fl = swpc(spark, sf, only="view").select("day", "start_t", "end_t")
+    return present(pe.oscillation_cycles(s, fl, ["day"], band=(4, 12), least=6, width=14400))
+
+
 FREQS = pe.frequency_grid(1 / 48, 1 / 3, 40)
 
 
@@ -309,7 +350,9 @@ def _qpp_flare(spark, sf):
     rows = range_join(wide(spark, sf).select("day", "t", "view"), fl, "t", "a", "b", 43200, on=("day",))
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("day", "flare").orderBy("t")) - 1)
     found = pe.detect_pulsations(rows, ["day", "flare"], "view", 1.0, 3.0, 12.0, n_freqs=40, least=30)
-    return present(pe.best_per_group(found, ["day"]))
+    series = wide(spark, sf)
+    whole = pe.detect_pulsations(series.withColumn("pos", F.col("bin")), ["day"], "view", 1.0, 3.0, 12.0, n_freqs=40)
+    return present(pe.with_fallback(pe.best_per_group(found.drop("flare"), ["day"]), whole, ["day"]))
 
 
 def _welch_sql(n: int, cap: int) -> str:

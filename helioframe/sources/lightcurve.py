@@ -103,3 +103,13 @@ def spectra(df: DataFrame, counts="embedding", ident="vec_id", scale: float = 10
 
 def linear_energy(ch="ch", first: float = 1.0, step: float = 1.0) -> Column:
     return F.lit(first) + F.col(ch) * F.lit(step)
+
+
+def photon_spectra(photons: DataFrame, cadence: int, width: float, channels: int, ts="ts", channel="event_type", value="value") -> DataFrame:
+    """Photon list -> counts per (channel, day, bin, ch); ch is the pulse height in steps of ``width``, others are out of range.
+
+    One partial aggregate on the map side; afterwards a (channel, day) holds at most bins * channels rows."""
+    day, slot = _clock(ts, cadence)
+    ch = F.floor(F.col(value) / F.lit(float(width))).cast("bigint")
+    inside = photons.where(ch.between(0, channels - 1))
+    return inside.groupBy(F.col(channel).alias("channel"), day, slot, ch.alias("ch")).agg(F.count(F.lit(1)).cast("double").alias("counts"))

@@ -1,11 +1,12 @@
 """Ranked lexical search over posting lists in geometric blocks.
 
 ``scan`` reads every text once and keeps, for each document, the terms that the items ask for with their frequencies;
-document count, lengths and document frequencies are summed over all documents.  ``index`` packs the documents of a
-task into segments of bounded size.  Inside a segment every posting list is clustered by document similarity: documents get
+document count, lengths and document frequencies are summed over all documents.  The documents of a task are packed
+into segments of bounded size.  Inside a segment every posting list is clustered by document similarity: documents get
 a sketch (a random projection of their weighted term vector), and each joins the most similar of the list's sampled centres.
 A cluster is a block; the block's summary is the maximum over its documents of each coordinate that an item with that
-term asks for.  Segments are rows of a table in the shared folder: document vectors, blocks and summaries as arrays.
+term asks for.  A task searches a segment as soon as it stands; ``index`` writes segments as rows of packed numbers instead, to
+be kept for more searches (``find_indexed``).
 
 ``search`` goes through a segment item by item.  Lists come in falling order of the most that their term can add; once the
 lists left cannot lift a document to the k-th score, none of them is opened.  Of an open list, a block is read only if the
@@ -29,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -38,9 +40,10 @@ from .text import alnum_words
 K = 20
 SEGMENT = 8192
 #: Term occurrences (document, term) of a segment; a longer document is a segment of its own.
-POSTINGS = 1 << 21
+POSTINGS = 1 << 20
 BLOCK = 128
 SKETCH = 32
+SEEDS = 4096
 MAX_TERMS = 100_000
 MAX_ITEMS = 10_000
 UNIT = 1_000_000_000
@@ -62,11 +65,12 @@ def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -
 
 
 def scan(documents: DataFrame, terms: list[bytes], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, terms, tf) of every document that has a term at all: its length, and positions in ``terms`` with frequencies."""
+    """(doc_id, n, terms, tf, seed) of every document that has a term at all: its length, and positions in ``terms`` with
+    frequencies; ``seed`` marks the first documents of the first task, whose scores are a floor to start from."""
     known = {t: i for i, t in enumerate(terms)}
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.get
+        get, seeds = known.get, SEEDS if TaskContext.get().partitionId() == 0 else 0
         for batch in batches:
             ids, sizes, found, times = [], [], [], []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -78,10 +82,12 @@ def scan(documents: DataFrame, terms: list[bytes], doc_id: str = "doc_id", text:
                     found.append(hit)
                     times.append(tf.astype(np.int32))
             made = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n", "terms", "tf"])
+            made.append(pa.array(np.arange(len(ids)) < seeds))
+            seeds -= min(seeds, len(ids))
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n", "terms", "tf", "seed"])
 
     texts = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("body"))
-    return texts.mapInArrow(match, "doc_id long, n long, terms array<int>, tf array<int>")
+    return texts.mapInArrow(match, "doc_id long, n long, terms array<int>, tf array<int>, seed boolean")
 
 
 class Weights:
@@ -112,7 +118,9 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-SEGMENT_ROW = "doc_ids array<bigint>, size array<int>, term array<int>, impact array<int>, list_term array<int>, list_blocks array<int>, list_top array<int>, block_docs array<int>, members array<int>, block_coords array<int>, coord array<int>, highest array<int>"
+#: Columns of packed 32-bit numbers: size, term and impact of the documents' vectors; the lists; the blocks and their summaries.
+PACKED = ["size", "term", "impact", "list_term", "list_blocks", "list_top", "block_docs", "members", "block_coords", "coord", "highest"]
+SEGMENT_ROW = "doc_ids array<bigint>, " + ", ".join(f"{c} binary" for c in PACKED)
 
 
 def clusters(sketch: np.ndarray, block: int) -> list[np.ndarray]:
@@ -168,42 +176,42 @@ def build(doc_ids: list, n: np.ndarray, size: np.ndarray, term: np.ndarray, tf:
     return {"doc_ids": doc_ids, "size": size, "term": term, "impact": impact} | joined
 
 
+def segments_of(batches: Iterator[pa.RecordBatch], weights: Weights, asked: dict[int, np.ndarray], segment: int, postings: int, block: int) -> Iterator[dict]:
+    """Packs the vectors of a task (``scan``'s columns) into segments of bounded size."""
+    held: list[tuple] = []
+    count = full = 0
+    flush = lambda: build(sum((x[0] for x in held), []), *(np.concatenate([x[k] for x in held]) for k in range(1, 5)), weights, asked, block)
+    for batch in batches:
+        size = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        ids, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        term, tf = (batch.column(k).flatten().to_numpy().astype(np.int64) for k in (2, 3))
+        ends = np.cumsum(size)
+        at = 0
+        while at < len(ids):
+            room = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + postings - full, "right")) - at
+            take = max(min(segment - count, room, len(ids) - at), 0 if held else 1)
+            if take:
+                a, b = (ends[at - 1] if at else 0), ends[at + take - 1]
+                held.append((ids[at : at + take], n[at : at + take], size[at : at + take], term[a:b], tf[a:b]))
+                count, full, at = count + take, full + b - a, at + take
+            if at < len(ids) or count >= segment:
+                yield flush()
+                held.clear()
+                count = full = 0
+    if held:
+        yield flush()
+
+
 def index(vectors: DataFrame, weights: Weights, asked: dict[int, np.ndarray], segment: int = SEGMENT, postings: int = POSTINGS, block: int = BLOCK) -> DataFrame:
-    """One row per segment of ``scan``'s documents; ``asked`` has the terms that occur in an item together with each term."""
-    fields = [f.split()[0] for f in SEGMENT_ROW.split(", ")]
+    """The segments of ``scan``'s documents as rows, to be kept for more searches with items of the same terms (``find_indexed``);
+    ``asked`` has the terms that occur in an item together with each term."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        count = full = 0
-
-        def flush() -> pa.RecordBatch:
-            ids, n, size, term, tf = ([x[k] for x in held] for k in range(5))
-            row = build(sum(ids, []), *map(np.concatenate, (n, size, term, tf)), weights, asked, block)
-            held.clear()
-            kinds = [pa.int64()] + [pa.int32()] * (len(fields) - 1)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(row[f])], pa.int32()), pa.array(row[f], kind)) for f, kind in zip(fields, kinds)]
-            return pa.RecordBatch.from_arrays(lists, names=fields)
+        for row in segments_of(batches, weights, asked, segment, postings, block):
+            made = [pa.array([row["doc_ids"]], pa.list_(pa.int64())), *(pa.array([row[c].astype("<i4").tobytes()], pa.binary()) for c in PACKED)]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_ids", *PACKED])
 
-        for batch in batches:
-            size = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            ids, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            term, tf = (batch.column(k).flatten().to_numpy().astype(np.int64) for k in (2, 3))
-            ends = np.cumsum(size)
-            at = 0
-            while at < len(ids):
-                room = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + postings - full, "right")) - at
-                take = max(min(segment - count, room, len(ids) - at), 0 if held else 1)
-                if take:
-                    a, b = (ends[at - 1] if at else 0), ends[at + take - 1]
-                    held.append((ids[at : at + take], n[at : at + take], size[at : at + take], term[a:b], tf[a:b]))
-                    count, full, at = count + take, full + b - a, at + take
-                if at < len(ids) or count >= segment:
-                    yield flush()
-                    count = full = 0
-        if held:
-            yield flush()
-
-    return vectors.where(F.size("terms") > 0).mapInArrow(pack, SEGMENT_ROW)
+    return vectors.select("doc_id", "n", "terms", "tf").where(F.size("terms") > 0).mapInArrow(pack, SEGMENT_ROW)
 
 
 class Best:
@@ -211,8 +219,7 @@ class Best:
 
     def __init__(self, k: int, floor: int) -> None:
         self.k, self.floor = k, floor
-        self.scores, self.ids = np.empty(0, np.int64), np.empty(0, np.float64)
-        self.keys: list = []
+        self.scores, self.keys = np.empty(0, np.int64), []
 
     def add(self, scores: np.ndarray, ids: list) -> None:
         scores, keys = np.concatenate((self.scores, scores)), self.keys + ids
@@ -279,29 +286,47 @@ class Segment:
         return read, int(self.list_blocks[lists].sum())
 
 
-def find(segments: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], weight: np.ndarray, k: int, floors: dict[int, int]) -> DataFrame:
-    """(row, doc_id, score): k rows an item and task at most, none below the item's floor."""
+FOUND = "row long, doc_id long, score long"
+
+
+def _best_of(segments: Iterator[dict], items: list[tuple[int, np.ndarray, np.ndarray]], weight: np.ndarray, k: int, floors: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, score): the k best of each item over all segments of a task, none below the item's floor."""
+    best = {row: Best(k, floors.get(row, 0)) for row, _, _ in items}
+    value = np.zeros(len(weight), np.int64)
+    for row in segments:
+        part = Segment(row, weight)
+        for key, terms, times in items:
+            value[terms] = weight[terms] * times
+            part.search(terms, value, best[key])
+            value[terms] = 0
+    for key, found in best.items():
+        if found.keys:
+            made = [pa.array([key] * len(found.keys), pa.int64()), pa.array(found.keys, pa.int64()), pa.array(found.scores, pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, names=["row", "doc_id", "score"])
+
+
+def find(vectors: DataFrame, weights: Weights, asked: dict[int, np.ndarray], items: list[tuple[int, np.ndarray, np.ndarray]], k: int, floors: dict[int, int], segment: int = SEGMENT, postings: int = POSTINGS, block: int = BLOCK) -> DataFrame:
+    """Indexes the vectors of each task segment by segment and searches a segment as soon as it stands."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {row: Best(k, floors.get(row, 0)) for row, _, _ in items}
-        value = np.zeros(len(weight), np.int64)
+        yield from _best_of(segments_of(batches, weights, asked, segment, postings, block), items, weights.weight, k, floors)
+
+    return vectors.select("doc_id", "n", "terms", "tf").where(F.size("terms") > 0).mapInArrow(search, FOUND)
+
+
+def find_indexed(segments: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], weights: Weights, k: int, floors: dict[int, int]) -> DataFrame:
+    """``find`` over a kept index."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {name: c[r].values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for name, c in zip(batch.schema.names[1:], batch.columns[1:])}
-                part = Segment({"doc_ids": batch.column(0)[r].as_py()} | row, weight)
-                for key, terms, times in items:
-                    value[terms] = weight[terms] * times
-                    part.search(terms, value, best[key])
-                    value[terms] = 0
-        for key, found in best.items():
-            if found.keys:
-                made = [pa.array([key] * len(found.keys), pa.int64()), pa.array(found.keys, pa.int64()), pa.array(found.scores, pa.int64())]
-                yield pa.RecordBatch.from_arrays(made, names=["row", "doc_id", "score"])
+                packed = {name: np.frombuffer(batch.column(name)[r].as_buffer(), "<i4").astype(np.int64) for name in PACKED}
+                yield {"doc_ids": batch.column("doc_ids")[r].as_py()} | packed
 
-    return segments.mapInArrow(search, "row long, doc_id long, score long")
+    return segments.mapInArrow(lambda batches: _best_of(rows(batches), items, weights.weight, k, floors), FOUND)
 
 
-def _part(spark: SparkSession, documents: DataFrame, rows: list, k: int, doc_id: str, text: str, options: dict) -> DataFrame:
+def _part(documents: DataFrame, rows: list, k: int, doc_id: str, text: str, options: dict) -> DataFrame:
     terms = sorted({bytes(t) for r in rows for t in r.terms})
     place = {t: i for i, t in enumerate(terms)}
     items = [(r.row, np.array([place[bytes(t)] for t in r.terms]), np.array(r.times, np.int64)) for r in rows]
@@ -312,20 +337,18 @@ def _part(spark: SparkSession, documents: DataFrame, rows: list, k: int, doc_id:
     together = {t: np.unique(np.concatenate(x)) for t, x in asked.items()}
     vectors = cut_lineage(scan(documents, terms, doc_id, text), "vectors")
     weights = Weights(vectors, len(terms))
-    segments = cut_lineage(index(vectors, weights, together, **options), "segments")
-    # the k-th score of one segment is a floor for the k-th score of all
-    first = find(segments.limit(1), items, weights.weight, k, {}).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-    floors = {r.row: r.least for r in first.where(f"n = {k}").collect()}
-    return cut_lineage(find(segments, items, weights.weight, k, floors), "found")
+    # the k-th score among some documents is a floor for the k-th score of all
+    first = find(vectors.where("seed"), weights, together, items, k, {}, **options).groupBy("row").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
+    floors = {r.row: r.s[k - 1] for r in first.where(F.size("s") >= k).collect()}
+    return cut_lineage(find(vectors, weights, together, items, k, floors, **options), "found")
 
 
 def search(documents: DataFrame, items: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_terms: int = MAX_TERMS, max_items: int = MAX_ITEMS, **options) -> DataFrame:
     """(item_id, rank, doc_id, score): the k highest-scoring documents of every item."""
-    spark = documents.sparkSession
     asked = cut_lineage(item_terms(items, item_id, item_text), "items")
     size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     parts = max(1, -(-size[0] // max_items), -(-size[1] // max_terms))
-    found = [_part(spark, documents, asked.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == p).collect(), k, doc_id, text, options) for p in range(parts)]
+    found = [_part(documents, asked.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == p).collect(), k, doc_id, text, options) for p in range(parts)]
     every = found[0]
     for more in found[1:]:
         every = every.union(more)

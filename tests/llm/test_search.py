@@ -203,6 +203,23 @@ def test_lexical(spark, options):
     assert Counter((r.item_id, r["rank"], r.doc_id, r.score) for r in got) == brute_search(docs, items)
 
 
+def test_kept_index(spark):
+    """Searching stored segments finds what searching them as they are built does."""
+    docs, items = library()
+    asked = lexical_search.item_terms(spark.createDataFrame(items, "item_id long, text string")).collect()
+    terms = sorted({bytes(t) for r in asked for t in r.terms})
+    place = {t: i for i, t in enumerate(terms)}
+    rows = [(r.row, np.array([place[bytes(t)] for t in r.terms]), np.array(r.times, np.int64)) for r in asked]
+    every = {t: np.arange(len(terms)) for t in range(len(terms))}
+    vectors = lexical_search.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), terms)
+    weights = lexical_search.Weights(vectors, len(terms))
+    kept = lexical_search.index(vectors, weights, every, segment=50, block=4)
+    a = lexical_search.find_indexed(kept, rows, weights, 5, {})
+    b = lexical_search.find(vectors, weights, every, rows, 5, {}, segment=50, block=4)
+    best = lambda df: {r.row: r.s for r in df.groupBy("row").agg(F.slice(F.sort_array(F.collect_list("score"), False), 1, 5).alias("s")).collect()}
+    assert best(a) == best(b) and len(best(a)) > 20
+
+
 def test_lexical_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")

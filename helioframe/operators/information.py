@@ -203,3 +203,14 @@ def rolling_lag(df: DataFrame, x: str, y: str, half: int, max_lag: int, keys=("d
     if good is None:
         return best
     return best.join(df.where(F.col(good)).select(*keys, "bin"), [*keys, "bin"], "left_semi")
+
+
+def over_days(days: DataFrame, measures, lag: str, digits=4) -> DataFrame:
+    """One row: number of days, mean and deviation of each measure over the days, and the middle lag."""
+    from .ranking import with_totals
+
+    stats = days.agg(F.count(F.lit(1)).alias("days"), *[f(m).alias(f"{n}_{m}") for m in measures for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+    stats = stats.select("days", *[F.round(F.col(f"{n}_{m}") + 1e-9, digits).alias(f"{n}_{m}") for m in measures for n in ("mean", "std")])
+    half = F.floor((F.count(lag) - 1) * 0.5).cast("int")
+    middle = days.agg(F.get(F.sort_array(F.collect_list(lag)), half).cast("bigint").alias(f"middle_{lag}"))  # one value a day
+    return with_totals(stats, middle)

@@ -97,11 +97,15 @@ def excess(df: DataFrame, value: str, bg="bg", sigma="sigma", good="good") -> Da
 def cross_calibration(df: DataFrame, counts: str, flux: str, lo=1e-8, hi=1e-6, least=100, by=()) -> DataFrame:
     """Linear counts -> flux fit over quiet rows (slope, intercept, r2); a median ratio when there are
     too few of them."""
+    from .ranking import exact_quantiles, with_totals
+
     quiet = (F.col(flux) > lo) & (F.col(flux) < hi) & F.col(counts).isNotNull()
     y, x = F.when(quiet, F.col(flux)), F.when(quiet, F.col(counts))
-    stats = df.groupBy(*by).agg(
-        F.count(y).alias("n"), F.regr_slope(y, x).alias("_s"), F.regr_intercept(y, x).alias("_i"), F.regr_r2(y, x).alias("_r2"),
-        F.percentile(F.when(quiet & (F.col(counts) > 0), F.col(flux) / F.col(counts)), F.lit(0.5)).alias("_ratio"))
+    stats = df.groupBy(*by).agg(F.count(y).alias("n"), F.regr_slope(y, x).alias("_s"), F.regr_intercept(y, x).alias("_i"), F.regr_r2(y, x).alias("_r2"))
+    ratios = df.where(quiet & (F.col(counts) > 0)).withColumn("_ratio", F.col(flux) / F.col(counts))
+    middle = exact_quantiles(ratios, by, "_ratio", [0.5]).select(*by, F.col("quantile").alias("_ratio"))
+    # without groups both sides have one row; the maximum keeps it where there is no ratio at all
+    stats = stats.join(sized(middle, "ratios"), list(by), "left") if by else with_totals(stats, middle.agg(F.max("_ratio").alias("_ratio")))
     enough = F.col("n") >= least
     return stats.select(*by, "n", F.when(enough, F.col("_s")).otherwise(F.col("_ratio")).alias("slope"),
                         F.when(enough, F.col("_i")).otherwise(0.0).alias("intercept"), F.when(enough, F.col("_r2")).alias("r2"))

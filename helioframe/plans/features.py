@@ -11,7 +11,9 @@ from ..operators import intervals as iv
 from ..operators import periodicity as pe
 from ..operators import rolling as ro
 from ..operators import windows as wi
-from ..session import cut_lineage
+from ..functions.scalars import deadtime_true_rate
+from ..operators.matching import first_covering
+from ..session import cut_lineage, sized
 
 DAY = ["day"]
 
@@ -62,16 +64,36 @@ def causal_families(grid: DataFrame, columns: dict[str, str], soft: str, hard: s
     return net.join(med, "day", "left").join(gr, "day", "left")
 
 
-def feature_matrix(grid: DataFrame, bands: list[str], events: DataFrame, day_tables: list[DataFrame], rows_per_day: int, cadence: int, lookback=3600, step=300, horizon=1800, **families) -> DataFrame:
+def feature_matrix(grid: DataFrame, bands: list[str], events: DataFrame, day_tables: list[DataFrame], rows_per_day: int, cadence: int, lookback=3600, step=300, horizon=1800,
+                   window_tables: list[DataFrame] = (), **families) -> DataFrame:
     """(day, win, t, label, 179 features).
 
     ``grid`` is materialised once: a dozen families read the binned table, none rescans the raw data.
-    Day-level tables have one row per day and join on it.
+    Day-level tables have one row per day and join on it, window tables one row per (day, win).
     """
     base = cut_lineage(grid, "grid")
     out = window_families(base, bands, rows_per_day, cadence, lookback, step, **families)
+    for table in window_tables:
+        out = out.join(table, ["day", "win"], "left")
     for table in day_tables:
         out = out.join(table, "day", "left")
     out = out.withColumn("t", wi.window_end(cadence, step, lookback))
     full = wi.canonical(out, ["day", "win", "t"])
     return iv.flag_upcoming(full, events, horizon=horizon)
+
+
+def master_columns(windows: DataFrame, grid: DataFrame, flares: DataFrame, cadence: int, lookback: int, step: int, raw: dict[str, str], soft="soft", tau=13.65e-6) -> DataFrame:
+    """Windows (day, win, ...) with what the master table adds: the clock at the window's end, the samples there, the flare that
+    covers it, and the soft level of the day.
+
+    ``raw`` maps output names to columns of ``grid``; ``flares`` has (day, start_t, end_t, class).  The sample after the window
+    comes by an equality join on (day, bin), the flare by a bucketed range join.
+    """
+    at = windows.withColumn("t", wi.window_end(cadence, step, lookback)).withColumn("bin", F.col("win") * step + lookback)
+    sample = grid.select("day", "bin", *[F.coalesce(F.col(c), F.lit(0.0)).alias(n) for n, c in raw.items()], F.coalesce(deadtime_true_rate(soft, tau), F.lit(0.0)).alias("sxr_counts_corrected"))
+    out = at.join(sample, ["day", "bin"], "left").fillna(0.0, [*raw, "sxr_counts_corrected"])
+    level = grid.groupBy("day").agg(F.max(soft).alias("day_sxr_peak"), F.avg(soft).alias("day_sxr_mean"))
+    out = out.join(sized(level, "days"), "day", "left")
+    out = first_covering(out, flares, width=4 * 3600)
+    out = out.withColumnRenamed("in_event", "in_flare").withColumn("flare_class", F.coalesce("class", F.lit("none"))).drop("class", "bin")
+    return out.withColumn("time_utc", F.date_format(F.timestamp_seconds("t"), "HH:mm:ss"))

@@ -11,7 +11,7 @@ from ..operators import nonlinear as nl
 from ..operators import periodicity as pe
 from ..operators import windows as wi
 from .fixtures import BINS, CHANNELS, WIDE, big, final, wide
-from .registry import query
+from .registry import ORACLES, query
 
 D = ["day"]
 WB = ", ".join(f"coalesce({c}, 0) AS {c}" for c in CHANNELS)
@@ -176,3 +176,41 @@ def _recurrence(spark, sf):
     "day, win", "mi", FILLED + f", wx AS (SELECT wf.*, win FROM wf JOIN (SELECT CAST(range AS BIGINT) AS win FROM range(4)) ON bin >= win * 24 AND bin < win * 24 + 60), md AS (SELECT day, win, {_disc('view', 'PARTITION BY day, win')} AS i, {_disc('click', 'PARTITION BY day, win')} AS j FROM wx)"))
 def _window_mi(spark, sf):
     return present(inf.mutual_information(wi.hop(filled(spark, sf), BINS, 60, 24), ["day", "win"], "view", "click", bins=8))
+
+
+_WX = FILLED + ", wx AS (SELECT wf.*, win, bin - win * 24 AS pos FROM wf JOIN (SELECT CAST(range AS BIGINT) AS win FROM range(4)) ON bin >= win * 24 AND bin < win * 24 + 60)"
+_PW = "PARTITION BY day, win"
+
+
+@query("window_transfer", final(
+    "SELECT day, win, sum(c / n * log2((c / st) / (tu / t))) AS te FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY day, win) AS DOUBLE) AS n, CAST(sum(c) OVER (PARTITION BY day, win, s, t1) AS DOUBLE) AS st, CAST(sum(c) OVER (PARTITION BY day, win, t1, u) AS DOUBLE) AS tu, CAST(sum(c) OVER (PARTITION BY day, win, t1) AS DOUBLE) AS t FROM (SELECT day, win, s, t1, u, count(*) AS c FROM td GROUP BY ALL)) GROUP BY day, win",
+    "day, win", "te", _WX + f", tn AS (SELECT * FROM (SELECT *, lead(view) OVER (PARTITION BY day, win ORDER BY bin) AS nx FROM wx) WHERE nx IS NOT NULL), td AS (SELECT day, win, {_disc('click', _PW)} AS s, {_disc('view', _PW)} AS t1, {_disc('nx', _PW)} AS u FROM tn)"))
+def _window_te(spark, sf):
+    rows = wi.hop(filled(spark, sf), BINS, 60, 24)
+    return present(inf.transfer_entropy(rows, ["day", "win"], "click", "view", bins=8, order="pos"))
+
+
+@query("window_complexity", final(
+    """SELECT e.day, e.win, sampen, arg_max(r, abs(r)) AS r, arg_max(lag, abs(r)) AS lag FROM (SELECT day, win, CASE WHEN b > 0 AND a > 0 AND r >= 1e-10 THEN -ln(a / CAST(b AS DOUBLE)) ELSE 0 END AS sampen FROM (
+  SELECT x.day, x.win, max(x.r) AS r, count(*) FILTER (greatest(abs(x.v - y.v), abs(x.v1 - y.v1)) < x.r AND y.pos < 58 AND x.pos < 58) AS b, count(*) FILTER (greatest(abs(x.v - y.v), abs(x.v1 - y.v1), abs(x.v2 - y.v2)) < x.r AND x.pos < 57 AND y.pos < 57) AS a
+  FROM se x JOIN se y ON x.day = y.day AND x.win = y.win AND x.pos < y.pos GROUP BY x.day, x.win)) e
+  JOIN (SELECT a.day, a.win, lag, sum(a.x * b.y) / 60 AS r FROM zs a JOIN (SELECT CAST(range AS BIGINT) - 12 AS lag FROM range(25)) ON true JOIN zs b ON b.day = a.day AND b.win = a.win AND b.pos = a.pos - lag GROUP BY a.day, a.win, lag) l USING (day, win) GROUP BY e.day, e.win, sampen""",
+    "day, win, lag", "sampen r",
+    _WX + """, se AS (SELECT day, win, pos, view AS v, lead(view) OVER w AS v1, lead(view, 2) OVER w AS v2, 0.2 * stddev_pop(view) OVER (PARTITION BY day, win) AS r FROM wx WINDOW w AS (PARTITION BY day, win ORDER BY pos)),
+zs AS (SELECT day, win, pos, (view - avg(view) OVER d) / (stddev_pop(view) OVER d + 1e-10) AS x, (click - avg(click) OVER d) / (stddev_pop(click) OVER d + 1e-10) AS y FROM wx WINDOW d AS (PARTITION BY day, win))"""))
+def _window_complexity(spark, sf):
+    """Sample entropy and strongest lag of every window, one array per window."""
+    arr = pe.arrays_of(wi.hop(filled(spark, sf), BINS, 60, 24), ["day", "win"], ["view", "click"], "pos")
+    out = arr.select("day", "win", inf.sample_entropy("view", F.lit(2), F.lit(0.2)).alias("sampen"), inf.lag_scan("view", "click", F.lit(12)).alias("s"))
+    return present(out.select("day", "win", "sampen", "s.r", "s.lag"))
+
+
+@query("information_over_days", "SELECT count(*) AS days, " + ", ".join(f"round(avg({c}) + 1e-9, 4) AS mean_{c}, round(stddev_pop({c}) + 1e-9, 4) AS std_{c}" for c in ("mi", "te", "sampen", "r")) +
+       f", CAST(quantile_disc(lag, 0.5) AS BIGINT) AS middle_lag FROM ({ORACLES['mutual_information']}) JOIN ({ORACLES['transfer_entropy']}) USING (day) JOIN ({ORACLES['sample_entropy']}) USING (day) JOIN ({ORACLES['lag_corr']}) USING (day)")
+def _over_days(spark, sf):
+    """The four measures of every day, averaged over the days."""
+    days = filled(spark, sf)
+    arr = pe.arrays_of(days, D, ["view", "click"])
+    own = arr.select("day", inf.sample_entropy("view", F.lit(2), F.lit(0.2)).alias("sampen"), inf.lag_scan("view", "click", F.lit(20)).alias("s")).select("day", "sampen", "s.r", "s.lag")
+    every = inf.mutual_information(days, D, "view", "click", bins=8).join(inf.transfer_entropy(days, D, "click", "view", bins=8), "day").join(own, "day")
+    return inf.over_days(every, ["mi", "te", "sampen", "r"], "lag")

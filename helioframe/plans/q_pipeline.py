@@ -24,6 +24,8 @@ from .q_detect import grade
 from .q_match import EV, FLAGS, TRUTH, _grad_sql, flagged, good_times, truth
 from .q_rolling import TEM, temps
 from .q_scalar import SPEC, spec
+from .q_spectra import CUTS
+from .q_timed import photons
 from .q_windows import BANDED, BANDS, LAGS, LOOK, SCALES, STEP, banded
 from .registry import query
 from .stage import assemble, missing_by_column
@@ -98,8 +100,7 @@ def _catalogs(spark, sf):
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     ev.where(F.col("event_type") == "click").select(stamp.alias("begin"), stamp.alias("peak"), stamp.alias("end"), letter.alias("class_type"), (flux / base).alias("class_value"), F.lit(1).alias("active_region_num")).write.json(f"{path}/json")
     primary, second = ct.read_csv(spark, f"{path}/csv"), ct.read_json(spark, f"{path}/json").withColumn("goes_class", F.substring("goes_class", 1, 1))
-    exact = second.join(ev.where(F.col("event_type") == "click").select(F.col("ts").alias("peak_time"), letter.alias("goes_class"), flux.alias("exact")), ["peak_time", "goes_class"]).withColumn("peak_flux", F.col("exact")).drop("exact")
-    both = ct.in_range(ct.prefer(primary, exact), "2024-01-02", "2024-01-28")
+    both = ct.in_range(ct.prefer(primary, second), "2024-01-02", "2024-01-28")
     return present(both.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.unix_seconds("peak_time").alias("peak_t"), "goes_class", (F.col("peak_flux") * 1e6).alias("micro")))
 
 
@@ -132,14 +133,10 @@ def day_tables(spark, sf, grid):
     cuts = [10.0, 12.0, 15.0, 18.0, 22.0]
     split = sp.thermal_split(s, ["day"], cuts)
     iso = sp.isothermal_fit(s, ["day"])
-    fits = split.select("day", F.col("gamma").alias("nonthermal_gamma"), F.col("ec").alias("nonthermal_ec"), F.col("n_nth").alias("nonthermal_n_nth"), "thermal_fraction",
-                        F.col("temp_mk").alias("sxr_temp_window"), F.col("em").alias("sxr_em_window"), (1 - F.col("thermal_fraction")).alias("nonthermal_fraction_window"))
+    fits = split.select("day", F.col("gamma").alias("nonthermal_gamma"), F.col("ec").alias("nonthermal_ec"), F.col("n_nth").alias("nonthermal_n_nth"), "thermal_fraction")
     iso = iso.select("day", F.col("temp_mk").alias("sxr_temperature_mk"), F.col("em").alias("sxr_emission_measure"), F.col("chi2_red").alias("sxr_chi2_red"))
     part = lambda lo, hi, name: sp.spectral_index("energy", F.when(F.col("energy").between(lo, hi), F.col("counts")), lo=None).alias(name)
-    gam = s.groupBy("day").agg(part(1, 33, "hxr_spectral_index_gamma"), part(5, 33, "hxr_gamma_czt2"), part(8, 33, "hxr_gamma_cdte1"), part(10, 33, "hxr_gamma_cdte2"),
-                               part(1, 10, "sxr_gamma_window"), part(10, 25, "hxr_gamma_window_czt1"), part(12, 30, "hxr_gamma_window_cdte1"))
-    track = sp.index_track(gam.select(F.lit("all").alias("grp"), "day", F.col("hxr_gamma_window_czt1").alias("gamma")), ["grp"], "day")
-    track = track.select("day", F.col("shs").alias("shs_index"), F.col("hardening_rate").alias("spectral_hardening_rate"))
+    gam = s.groupBy("day").agg(part(1, 33, "hxr_spectral_index_gamma"), part(5, 33, "hxr_gamma_czt2"), part(8, 33, "hxr_gamma_cdte1"), part(10, 33, "hxr_gamma_cdte2"))
     hk = wi.housekeeping(tb.table(spark, sf, "supplier").withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("s_suppkey", F.lit(30)).cast("int"))),
                          {n: "s_acctbal" for n in ("hk_czt1temp", "hk_czt2temp", "hk_cdte1temp", "hk_cdte2temp")} | {n: "s_nationkey" for n in ("hk_czthvmon", "hk_cdtehvmon")},
                          {"hk_czt1satctr": "s_suppkey", "hk_cdte1pilectr": "s_suppkey"})
@@ -151,7 +148,17 @@ def day_tables(spark, sf, grid):
     from ..operators.intervals import merge_intervals
 
     dead = merge_intervals(dead, ["day"]).groupBy("day").agg(sc.clip(100 * (1 - F.sum(F.col("stop") - F.col("start")) / 86400.0), 0.0, 100.0).alias("deadtime_max_pct"))
-    return [fits, iso, gam, track, hk, totals, goes, corr, dead, causal]
+    return [fits, iso, gam, hk, totals, goes, corr, dead, causal]
+
+
+LOOKBACK, HOP = 60, 12
+
+
+def window_tables(spark, sf):
+    """Spectral features of every window, from spectra summed over it."""
+    s = photons(spark, sf).where(F.col("channel").isin("view", "click", "purchase"))
+    summed = sp.hopping_spectra(s, ["channel", "day"], BINS, LOOKBACK, HOP)
+    return [sp.window_spectral(summed, ["day", "win"], "view", "click", "purchase", CUTS)]
 
 
 def matrix(spark, sf):
@@ -159,7 +166,7 @@ def matrix(spark, sf):
 
     grid = cut_lineage(banded(spark, sf), "grid")
     ev = truth(spark, sf).select(F.col("t").alias("te"))
-    return feature_matrix(grid, BANDS, ev, day_tables(spark, sf, grid), BINS, CADENCE, 60, 12, horizon=7200, scales=SCALES, lags=LAGS, short=6, long=18, coupling=(18, 6),
+    return feature_matrix(grid, BANDS, ev, day_tables(spark, sf, grid), BINS, CADENCE, LOOKBACK, HOP, window_tables=window_tables(spark, sf), horizon=7200, scales=SCALES, lags=LAGS, short=6, long=18, coupling=(18, 6),
                           max_lag=12, periods=(3.0, 12.0), period_bands={"10_30s": (4, 6), "30_60s": (6, 8), "60_120s": (8, 12), "120_300s": (12, 18), "300_600s": (18, 32)}, cross=(6, 12))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import class_letter, parse_class
+from ..functions.scalars import CLASS_BASE, choose, class_letter, parse_class
 from ..operators.matching import keep_first
 
 CSV_SCHEMA = T.StructType([
@@ -27,9 +27,10 @@ def read_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFr
     """A JSON catalog: one record per line, or one list per file with ``multiline``."""
     raw = spark.read.schema(JSON_SCHEMA).option("multiLine", multiline).json(path)
     label = F.concat(F.col("class_type"), F.format_string("%.1f", F.col("class_value")))
+    flux = choose([(F.col("class_type") == k, v) for k, v in CLASS_BASE.items()]) * F.col("class_value")  # the label has one decimal only
     return _standard(raw.select(
         F.to_date("peak").alias("date"), F.to_timestamp("begin").alias("begin_time"), F.to_timestamp("peak").alias("peak_time"), F.to_timestamp("end").alias("end_time"),
-        label.alias("goes_class"), parse_class(label).alias("peak_flux"), F.col("active_region_num").alias("active_region")))
+        label.alias("goes_class"), flux.alias("peak_flux"), F.col("active_region_num").alias("active_region")))
 
 
 def _standard(df: DataFrame) -> DataFrame:

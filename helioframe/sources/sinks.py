@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.learning import pending_days
+from ..session import sized
 
 
 def write_days(df: DataFrame, path: str, mode: str = "overwrite", day: str = "day") -> None:
@@ -32,15 +34,34 @@ def report_json(df: DataFrame, keys, sections: dict[str, list[str]]) -> DataFram
     return df.select(*keys, F.to_json(doc).alias("report"))
 
 
+def nested_report(spine: DataFrame, sections: dict[str, DataFrame], lists: dict[str, tuple[DataFrame, list[str]]], keys) -> DataFrame:
+    """One JSON document per key of ``spine``: a struct per section (one row a key), a total and an ordered array per list.
+
+    Sections are few-row tables by key, written first so that joins are planned by their size.  A key without a section's row
+    has the section with nulls in it, one without list entries an empty list.
+    """
+    keys = list(keys)
+    out, doc = spine.select(*keys).distinct(), []
+    for name, part in sections.items():
+        fields = [c for c in part.columns if c not in keys]
+        out = out.join(sized(part.select(*keys, F.struct(*fields).alias(f"_{name}")), "section"), keys, "left")
+        doc.append(F.struct(*[F.col(f"_{name}.{c}").alias(c) for c in fields]).alias(name))
+    for name, (entries, order) in lists.items():
+        fields = [c for c in entries.columns if c not in (*keys, *order)]
+        packed = F.sort_array(F.collect_list(F.struct(*order, *fields))).alias(f"_{name}")
+        out = out.join(sized(entries.groupBy(*keys).agg(packed), "section"), keys, "left")
+        whole = F.coalesce(F.col(f"_{name}"), F.array().cast(T.ArrayType(entries.select(*order, *fields).schema)))
+        doc.append(F.struct(F.size(whole).alias("total"), whole.alias("entries")).alias(name))
+    return out.select(*keys, F.to_json(F.struct(*doc), {"ignoreNullFields": "false"}).alias("report"))
+
+
 def run_increment(spark: SparkSession, source: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, day: str = "day") -> int:
     """Process the days that ``path`` does not hold yet and add them; returns how many were new."""
     days = source.select(day).distinct()
-    try:
-        done = spark.read.parquet(path).select(F.col(day).cast("date").alias("day"))
-    except Exception as exc:  # noqa: BLE001 - first run: nothing written yet
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-            raise
-        done = days.limit(0)
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = files.exists(held) and len(files.listStatus(held)) > 0
+    done = spark.read.parquet(path).select(F.col(day).cast("date").alias("day")) if written else days.limit(0)
     todo = pending_days(days, done)
     count = todo.count()
     if count:

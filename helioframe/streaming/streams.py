@@ -19,7 +19,7 @@ from ..session import run_dir, use_utc
 ALERT_SCHEMA = "channel string, t timestamp, previous string, alert string"
 
 
-def live_samples(spark: SparkSession, folder: str, name: str = "events.parquet", schema=None, files_per_batch: int | None = None) -> DataFrame:
+def live_samples(spark: SparkSession, folder: str, name: str = "events.parquet", schema=None, files_per_batch: int | None = 64) -> DataFrame:
     """A folder of Parquet files as a stream of (event_id, ts, channel, value)."""
     use_utc(spark)
     schema = schema or spark.read.parquet(f"{folder.rstrip('/')}/{name}").schema
@@ -75,20 +75,45 @@ def without_duplicates(samples: DataFrame, keys=("channel", "event_id"), late="1
     return samples.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
+#: Steps of one channel are ordered and judged in pieces of this many seconds.
+PIECE = 3600
+
+
 class AlertChanges(StatefulProcessor):
-    """Emits a row whenever a channel's alert level differs from the previous one."""
+    """Emits a row whenever a channel's alert level differs from the previous one.
+
+    Input frames, whose rows come in any order, only add their steps to the piece of time that they belong to (a map in the
+    state store) and set an event-time timer at its start.  Steps arrive when the watermark has closed them, so the timers
+    fire in the same batch and in the order of time: one piece at a time is loaded, ordered and judged, however long the
+    channel's backlog is.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.level = handle.getValueState("level", "alert string")
+        self.pieces = handle.getMapState("pieces", "piece long", "steps string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("t", kind="stable")  # one row per cadence step
-        before = self.level.get()[0] if self.level.exists() else "GREEN"
-        previous = batch["alert"].shift(1, fill_value=before)
-        changed = batch["alert"] != previous
-        self.level.update((batch["alert"].iloc[-1],))
-        out = pd.DataFrame({"channel": key[0], "t": batch["t"], "previous": previous, "alert": batch["alert"]})
-        yield out[changed]
+        for frame in rows:
+            second = frame["t"].astype("datetime64[s]").astype("int64")
+            for piece, part in frame.assign(second=second).groupby(second // PIECE):
+                steps = ";".join(f"{t}={alert}" for t, alert in zip(part["second"], part["alert"]))
+                name = (int(piece),)
+                if self.pieces.containsKey(name):
+                    steps = f"{self.pieces.getValue(name)[0]};{steps}"
+                else:
+                    self.handle.registerTimer(int(piece) * PIECE * 1000)
+                self.pieces.updateValue(name, (steps,))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        name = (expiredTimerInfo.getExpiryTimeInMs() // (PIECE * 1000),)
+        steps = sorted((int(t), alert) for t, _, alert in (s.partition("=") for s in self.pieces.getValue(name)[0].split(";")))
+        self.pieces.removeKey(name)
+        previous = [self.level.get()[0] if self.level.exists() else "GREEN", *(alert for _, alert in steps)]
+        self.level.update((previous[-1],))
+        changed = [(key[0], pd.Timestamp(t, unit="s"), p, alert) for (t, alert), p in zip(steps, previous) if alert != p]
+        yield pd.DataFrame(changed, columns=["channel", "t", "previous", "alert"])
 
     def close(self) -> None:
         pass
@@ -101,12 +126,12 @@ def _level(full_scale: float, flare: float):
 def alert_changes(samples: DataFrame, full_scale: float, flare: float, width="1 minute", late="10 minutes") -> DataFrame:
     """Alert level per channel and cadence step, reported on change.
 
-    Samples collapse to one maximum per step before they reach the state, which keeps one string per
+    Samples collapse to one maximum per step before they reach the state, which keeps one level per
     channel; a step is judged when the watermark closes it.
     """
     steps = samples.withWatermark("ts", late).groupBy(F.window("ts", width), "channel").agg(F.max("value").alias("top"))
     scored = steps.select("channel", F.col("window.start").alias("t"), _level(full_scale, flare).alias("alert"))
-    return scored.groupBy("channel").transformWithStateInPandas(AlertChanges(), ALERT_SCHEMA, "append", "none")
+    return scored.groupBy("channel").transformWithStateInPandas(AlertChanges(), ALERT_SCHEMA, "append", "eventTime")
 
 
 def alert_changes_batch(samples: DataFrame, full_scale: float, flare: float, width: int = 60) -> DataFrame:
@@ -125,16 +150,24 @@ def alert_changes_batch(samples: DataFrame, full_scale: float, flare: float, wid
     return d.select("channel", F.timestamp_seconds("s").alias("t"), "previous", "alert")
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Drain what is available into Parquet files in the shared folder and read them back.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, label: str, base: str | None = None) -> DataFrame:
+    """Drain what is available into Parquet files and read them back.
 
-    The state store is RocksDB, checkpoint and output live next to each other, so a restarted query
-    continues where it stopped.
+    Checkpoint and output live next to each other below ``base``; a query started again with the same ``base`` goes on where
+    it stopped.  Without one a new folder of the shared folder is taken.  State is kept in RocksDB.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    base = run_dir(spark, f"stream-{label}")
-    query = (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-             .outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
+    base = base or run_dir(spark, f"stream-{label}")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKS)
+    try:
+        query = (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+                 .outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

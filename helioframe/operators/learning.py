@@ -56,9 +56,13 @@ def class_weight(train: DataFrame, label: str) -> DataFrame:
 
 
 # -- models ---------------------------------------------------------------------------------------------------
+# Rounds, step and depth of the boosted trees, trees of the forest
+DEFAULTS = {"gbt": {"maxIter": 1000, "stepSize": 0.05, "maxDepth": 8}, "rf": {"numTrees": 100}}
+
+
 def train_classifier(train: DataFrame, features, label: str, kind="gbt", weight: str | None = None, **params):
-    """Boosted trees or a random forest over an assembled feature vector."""
-    model = {"gbt": GBTClassifier, "rf": RandomForestClassifier}[kind](featuresCol="_features", labelCol=label, seed=42, **params)
+    """Boosted trees or a random forest over an assembled feature vector; ``params`` replace the defaults of the kind."""
+    model = {"gbt": GBTClassifier, "rf": RandomForestClassifier}[kind](featuresCol="_features", labelCol=label, seed=42, **(DEFAULTS[kind] | params))
     if weight:
         model = model.setWeightCol(weight)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), model]).fit(train)

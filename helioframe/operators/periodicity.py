@@ -134,6 +134,35 @@ def band_features(power: DataFrame, keys, soft: str, hard: str | None = None, ba
     return out.drop("_top", "_s", "_gl")
 
 
+def window_band_features(arrays: DataFrame, keys, soft: str, hard: str | None, dt: float, scales, bands=None, cross=(30, 120), least=16) -> DataFrame:
+    """``band_features`` straight from the arrays of each key: the transform is reduced where it is made, one row per key."""
+    bands, keys, grid = bands or ENERGY_BANDS, list(keys), np.asarray(scales, dtype=float)
+    periods = 4 * math.pi * grid / OMEGA0
+    within = {n: (periods >= lo) & (periods <= hi) for n, (lo, hi) in bands.items()}
+    crossed = (periods >= cross[0]) & (periods <= cross[1])
+    names = [f"wavelet_energy_{n}" for n in bands] + ["wavelet_peak_significance", "wavelet_peak_period", "wavelet_spectral_entropy"] + (["wavelet_hxr_energy_30_120s", "wavelet_cross_power_sxr_hxr"] if hard else [])
+    schema = T.StructType([*[arrays.schema[k] for k in keys], *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def reduce(batches):
+        for pdf in batches:
+            out = []
+            for rec in pdf.to_dict("records"):
+                if len(rec[soft]) < least:
+                    continue
+                p = _power(np.asarray(rec[soft], dtype=float), dt, grid, "real")
+                g = p.mean(1)
+                total, some = g.sum(), g[g > 0]
+                row = [p[m].sum() for m in within.values()]
+                row += [p.max() / (np.median(p) + 1e-10), periods[g.argmax()] if g.max() > 0 else 0.0, np.log(total) - (some * np.log(some)).sum() / total if total > 0 else 0.0]
+                if hard:
+                    h = _power(np.asarray(rec[hard], dtype=float), dt, grid, "real")
+                    row += [h[crossed].sum(), (p[crossed] * h[crossed]).sum()]
+                out.append([*(rec[k] for k in keys), *map(float, row)])
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return arrays.select(*keys, soft, *([hard] if hard else [])).mapInPandas(reduce, schema)
+
+
 SAMPLE = ["band_power", "ridge_period", "peak_power", "lim_max", "lim_mean", "mean_power"]
 SAMPLE_BOTH = ["cross_power", "coherence", "cross_lim_max"]
 

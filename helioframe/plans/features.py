@@ -28,13 +28,12 @@ def window_families(grid: DataFrame, bands: list[str], rows_per_day: int, cadenc
     base = wi.window_features(grid, "soft", bands, rows_per_day, lookback, step, acf_lags=lags, scales=scales, xrsb="xb", xrsa="xa", short=short, long=long)
     base = base.withColumnsRenamed({f"sxr_acf_{a}s": f"sxr_acf_{b}s" for a, b in zip(lags, wi.ACF_LAGS)})
 
-    arr = pe.arrays_of(rows, keys, ["s", "h"], "pos")
+    arr = cut_lineage(pe.arrays_of(rows, keys, ["s", "h"], "pos"), "arrays")  # read by both kernels
+    bands_out = pe.window_band_features(arr, keys, "s", "h", 1.0, pe.scale_grid(2.0, lookback / 4.0), period_bands, cross)
     arr = arr.withColumn("_w", pe.welch_shape("s", F.lit(256))).withColumn("_es", inf.sample_entropy("s", F.lit(2), F.lit(0.2)))
     arr = arr.withColumn("_eh", inf.sample_entropy("h", F.lit(2), F.lit(0.2))).withColumn("_l", inf.lag_scan("h", "s", F.lit(max_lag)))
     shapes = arr.select(*keys, F.col("_w.entropy").alias("sxr_spec_entropy"), F.col("_w.peak_freq").alias("sxr_peak_freq"), F.col("_es").alias("sample_entropy_sxr"),
                         F.col("_eh").alias("sample_entropy_hxr"), F.col("_l.r").alias("lagged_cross_corr"), F.col("_l.lag").cast("double").alias("lagged_cross_corr_lag"))
-    power = pe.wavelet_power(arr.select(*keys, "s", "h"), keys, ["s", "h"], 1.0, pe.scale_grid(2.0, lookback / 4.0))
-    bands_out = pe.band_features(power, keys, "s", "h", period_bands, cross)
     te = inf.transfer_entropy(rows, keys, "h", "s", bins=8, order="pos", out="transfer_entropy_hxr_to_sxr")
     mi = inf.mutual_information(rows, keys, "s", "h", bins=8, out="mutual_information_sxr_hxr")
 

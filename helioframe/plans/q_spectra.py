@@ -207,7 +207,7 @@ def _wavelet_detect(spark, sf):
   JOIN (SELECT day, arg_max(period, g) AS peak_period, -sum(g / t * ln(g / t)) AS entropy FROM (SELECT *, sum(g) OVER (PARTITION BY day) AS t FROM (SELECT day, sn, period, avg(pa) AS g FROM cw GROUP BY day, sn, period)) GROUP BY day) USING (day)""",
     "day", "e_short e_mid e_long peak_period significance entropy hard_energy cross_power", CWT, digits=4))
 def _bands(spark, sf):
-    f = pe.band_features(power(spark, sf), ["day"], "view", "click", WBANDS, (4, 12))
+    f = pe.window_band_features(soft_arrays(spark, sf), ["day"], "view", "click", 1.0, SCALE_LIST, WBANDS, (4, 12))
     ren = {"wavelet_energy_short": "e_short", "wavelet_energy_mid": "e_mid", "wavelet_energy_long": "e_long", "wavelet_peak_period": "peak_period",
            "wavelet_peak_significance": "significance", "wavelet_spectral_entropy": "entropy", "wavelet_hxr_energy_30_120s": "hard_energy", "wavelet_cross_power_sxr_hxr": "cross_power"}
     return present(f.select("day", *[F.col(a).alias(b) for a, b in ren.items()]), 4)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.output import present
 from ..functions.scalars import tidy
 from ..operators.intervals import flag_upcoming
-from ..operators.windows import window_features
+from ..operators import windows as wi
+from ..operators.catalog import group_activity
+from ..operators.windows import representative, window_features
 from ..session import cut_lineage
 from . import q_windows as qw
 from .features import master_columns
@@ -70,3 +72,36 @@ def _master(spark, sf):
 def _all(spark, sf):
     """One window more: the one that ends with the day's last row."""
     return present(qw.features(spark, sf, include_last=True).select("day", "win", *NAMES["window_stats"]))
+
+
+# -- representative windows and feature groups -------------------------------------------------------------------
+_REP = f"""WITH mt AS ({ORACLES['master_table']}),
+rp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY win) AS rn, count(*) OVER (PARTITION BY day) AS n, max(in_flare) OVER (PARTITION BY day) AS any_flare,
+  row_number() OVER (PARTITION BY day ORDER BY in_flare DESC, sxr_max DESC, win) AS best FROM mt) WHERE CASE WHEN any_flare = 1 THEN best = 1 ELSE rn = n // 2 + 1 END)"""
+
+
+def representatives(spark, sf):
+    """The row of each day that stands for it: the flare window with the highest peak, else the middle one."""
+    return representative(_master(spark, sf), flag="in_flare")
+
+
+@query("representative_row", _REP + " SELECT day, win, t, in_flare, flare_class, label, sxr_max, sxr_mean, sxr_temp_window FROM rp")
+def _representative(spark, sf):
+    return representatives(spark, sf).select("day", "win", "t", "in_flare", "flare_class", "label", "sxr_max", "sxr_mean", "sxr_temp_window")
+
+
+MEASURED = [c for cols in NAMES.values() for c in cols] + SPECTRAL
+GROUPS = [(n, g) for g, names in wi.FAMILIES.items() for n in names if n in MEASURED]
+
+
+@query("group_activity", _REP + f""", gr AS (SELECT unnest([{', '.join(repr(n) for n, _ in GROUPS)}]) AS feature, unnest([{', '.join(repr(g) for _, g in GROUPS)}]) AS grp),
+ul AS (SELECT day, feature, x FROM (UNPIVOT (SELECT day, {', '.join(n for n, _ in GROUPS)} FROM rp) ON {', '.join(n for n, _ in GROUPS)} INTO NAME feature VALUE x))
+SELECT day, grp, available, nonzero, details, CASE WHEN nonzero / available > 0.8 THEN 'active' WHEN nonzero / available > 0.3 THEN 'partial' ELSE 'inactive' END AS activity FROM (
+  SELECT day, grp, count(*) AS available, count(*) FILTER (abs(x) > 1e-10) AS nonzero, array_to_string(list_slice(list_sort(list(feature)), 1, 5), ',') AS details FROM ul JOIN gr USING (feature) GROUP BY day, grp)""")
+def _activity(spark, sf):
+    """Which feature families say something in the representative window of each day."""
+    rows = cut_lineage(representatives(spark, sf), "representatives")
+    families = spark.createDataFrame(GROUPS, "feature string, grp string")
+    long = rows.unpivot(["day"], [n for n, _ in GROUPS], "feature", "x")
+    out = group_activity(long, families, ["day"])
+    return out.withColumn("details", F.concat_ws(",", "details")).select("day", "grp", "available", "nonzero", "details", "activity")

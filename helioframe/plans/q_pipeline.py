@@ -20,8 +20,8 @@ from ..sources.lightcurve import band_order, linear_energy
 from .features import causal_families, feature_matrix
 from .fixtures import BINS, CADENCE, CHANNELS, LC, WIDE, big, final, lc, wide
 from .nowcast import nowcast
-from .q_detect import grade
-from .q_match import EV, FLAGS, TRUTH, _grad_sql, flagged, good_times, truth
+from .q_detect import grade, grade_sql
+from .q_match import BOTH, EV, FLAGS, GTI, TRUTH, _grad_sql, flagged, good_times, truth
 from .q_rolling import TEM, temps
 from .q_scalar import SPEC, spec
 from .q_spectra import CUTS
@@ -115,7 +115,35 @@ def _increment(spark, sf):
 
 
 # -- pipelines -------------------------------------------------------------------------------------------------------
-@query("nowcast_pipeline")
+_LEVEL = {"click": 15.0, "purchase": 12.0}
+_Z = "z AS (SELECT channel, day, bin, t, coalesce(v, 0.0) AS v FROM lc)"
+_MASKED = f"""gi AS (SELECT lc.*, EXISTS (SELECT 1 FROM gti WHERE lc.t BETWEEN gti.start AND gti.stop) AS inside FROM lc),
+ff AS (SELECT channel, day, bin, t, coalesce(last_value(CASE WHEN inside THEN v END IGNORE NULLS) OVER (PARTITION BY channel, day ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  quantile_cont(CASE WHEN inside THEN v END, 0.5) OVER (PARTITION BY channel, day), 0) AS m FROM gi WHERE channel = 'view'),
+z AS (SELECT channel, day, bin, t, list_reduce(list_prepend(m, [0.0 FOR _ IN range(40)]), lambda n, x: m * exp(n * 1e-5)) AS v FROM ff)"""
+_RATES = f"h_z AS (SELECT channel, day, bin, t, CASE WHEN inside THEN greatest(coalesce(v, 0) - CASE channel WHEN 'click' THEN {_LEVEL['click']} ELSE {_LEVEL['purchase']} END, 0) ELSE 0 END AS v FROM gi WHERE channel IN ('click', 'purchase'))"
+
+
+def _nowcast_sql() -> str:
+    base = BOTH[: BOTH.index("so AS (SELECT day")]
+    base = base.replace("h_" + _Z, _RATES).replace(_Z, _MASKED).replace("ev AS (SELECT channel, day, start_bin, peak_bin", "evs AS (SELECT channel, day, start_bin, peak_bin").replace("FROM ev WHERE end_bin", "FROM evs WHERE end_bin")
+    at = base.index("gi AS (SELECT")
+    e = "CAST(epoch(day) AS BIGINT)"
+    tail = f"""so AS (SELECT day, {e} + peak_bin * {CADENCE} AS lt, peak_flux, {grade_sql('peak_flux')} AS class FROM swpc),
+ho AS (SELECT day, channel || '-' || ({e} + peak_bin * {CADENCE}) AS rid, {e} + peak_bin * {CADENCE} AS rt, peak_flux FROM burst),
+lo AS (SELECT day, lt, row_number() OVER (ORDER BY lt) AS k FROM so),
+gm AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS lt, CAST(NULL AS VARCHAR) AS rid, CAST([] AS VARCHAR[]) AS used
+  UNION ALL SELECT l.k, l.lt, min({{'d': abs(r.rt - l.lt), 't': r.rt, 'r': r.rid}}).r, CASE WHEN count(r.rid) = 0 THEN any_value(gm.used) ELSE list_append(any_value(gm.used), min({{'d': abs(r.rt - l.lt), 't': r.rt, 'r': r.rid}}).r) END
+  FROM gm JOIN lo l ON l.k = gm.k + 1 LEFT JOIN ho r ON abs(r.rt - l.lt) <= 1800 AND NOT list_contains(gm.used, r.rid) GROUP BY l.k, l.lt),
+greedy AS (SELECT lt, rid FROM gm WHERE rid IS NOT NULL)"""
+    body = """SELECT so.day, so.lt AS peak_t, so.peak_flux, class, CASE WHEN m.rid IS NULL THEN 0 ELSE 1 END AS has_hxr, coalesce(ho.peak_flux, 0) AS hxr_peak_flux, ho.rt AS hxr_peak_t, 'swpc_peak' AS method
+  FROM so LEFT JOIN greedy m ON m.lt = so.lt LEFT JOIN ho ON ho.rid = m.rid WHERE m.rid IS NOT NULL OR class IN ('C', 'M', 'X')
+  UNION ALL SELECT day, rt, peak_flux, 'HXR', 1, peak_flux, rt, 'hxr_only' FROM ho WHERE peak_flux > 0 AND rid NOT IN (SELECT rid FROM greedy)"""
+    sql = final(body, "day, peak_t, class, method, hxr_peak_t, " + big("has_hxr"), "peak_flux hxr_peak_flux", base[:at] + GTI + ",\n" + base[at:] + tail)
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("nowcast_pipeline", _nowcast_sql())
 def _nowcast(spark, sf):
     out = nowcast(lc(spark, sf), good_times(spark, sf).drop("day"), "view", {"click": 15.0, "purchase": 12.0}, CADENCE, 1800, factor=1.0, tau=1e-5,
                   burst=dict(sigma=3.0, min_duration=1, window=12), classify=grade, threshold=50.0, window=24, min_run=1, min_duration=3, short_duration=2, merge_gap=2)

@@ -329,16 +329,55 @@ def _top(spark, sf):
     return present(pe.top_periods(pe.lomb_scargle(wide(spark, sf), ["day"], "view", "bin", FREQS), ["day"]))
 
 
-@query("pulsations_day")
+def pulsation_sql(src: str, keys: str, longest: float, shortest: float, n_freqs: int, least: int, size: int) -> str:
+    """CTEs up to ``qp`` (keys, detected, period, amplitude, significance, n_periods) over ``src`` (keys, bin, v); ``size`` bounds the rows of a key."""
+    grid = pe.frequency_grid(1 / longest, 1 / shortest, n_freqs)
+    scales = pe.scale_grid(shortest / 4, longest)
+    width = max(2, int(3 * longest))
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    k = lambda a: ", ".join(f"{a}.{c}" for c in keys.split(", "))
+    return f"""qn AS (SELECT *, count(*) OVER (PARTITION BY {keys}) AS n FROM {src}),
+qx AS (SELECT {keys}, bin, v, v - avg(v) OVER (PARTITION BY {keys} ORDER BY bin ROWS BETWEEN {width // 2} PRECEDING AND {width - width // 2 - 1} FOLLOWING) AS x FROM qn WHERE n >= {least}),
+qy AS (SELECT {keys}, bin, v, x, x - avg(x) OVER w AS y, CASE WHEN stddev_pop(x) OVER w < 1e-10 THEN 0 ELSE (x - avg(x) OVER w) / stddev_pop(x) OVER w END AS z FROM qx WINDOW w AS (PARTITION BY {keys})),
+qf AS (SELECT unnest(range({n_freqs})) AS f_no, unnest([{', '.join(map(repr, grid))}]) AS freq),
+qt AS (SELECT {keys}, f_no, freq, sum(y * cos(2 * pi() * freq * bin)) AS yc, sum(y * sin(2 * pi() * freq * bin)) AS ys, sum(pow(cos(2 * pi() * freq * bin), 2)) AS cc, sum(pow(sin(2 * pi() * freq * bin), 2)) AS ss,
+  sum(cos(2 * pi() * freq * bin) * sin(2 * pi() * freq * bin)) AS cs, sum(y * y) AS yy FROM qy, qf GROUP BY {keys}, f_no, freq),
+qa AS (SELECT *, cos(0.5 * atan2(2 * cs, cc - ss)) AS a, sin(0.5 * atan2(2 * cs, cc - ss)) AS b FROM qt),
+ql AS (SELECT {keys}, f_no, freq, CASE WHEN yy > 1e-12 THEN (CASE WHEN a * a * cc + 2 * a * b * cs + b * b * ss > 1e-12 THEN pow(a * yc + b * ys, 2) / (a * a * cc + 2 * a * b * cs + b * b * ss) ELSE 0 END
+  + CASE WHEN a * a * ss - 2 * a * b * cs + b * b * cc > 1e-12 THEN pow(a * ys - b * yc, 2) / (a * a * ss - 2 * a * b * cs + b * b * cc) ELSE 0 END) / yy ELSE 0 END AS p FROM qa),
+qk AS (SELECT *, coalesce(p > lag(p) OVER w AND p > lead(p) OVER w AND p >= 0.285, false) AS peak, row_number() OVER (PARTITION BY {keys} ORDER BY p DESC, f_no) AS place FROM ql WINDOW w AS (PARTITION BY {keys} ORDER BY f_no)),
+qm AS (SELECT *, bool_or(peak) OVER (PARTITION BY {keys}) AS found FROM qk),
+qs AS (SELECT {keys}, max(p) AS ls_max, list_sort(coalesce(list(1.0 / freq) FILTER (peak OR (NOT found AND place = 1 AND p > 0.285)), [])) AS ls FROM qm GROUP BY {keys}),
+qc AS (SELECT unnest(range({len(scales)})) AS sn, unnest([{', '.join(map(repr, scales))}]) AS s),
+qw AS (SELECT sn, s, lag, pow(pi(), -0.25) / sqrt(s) * cos(6.0 * lag / s) * exp(-0.5 * pow(lag / s, 2)) AS w FROM qc, (SELECT CAST(range AS BIGINT) - {size // 2} AS lag FROM range({size}))),
+qo AS (SELECT {k('c')}, sn, s, c.bin, pow(sum(x.z * w), 2) AS pw FROM qy c JOIN qw ON true JOIN qy x ON {on('x', 'c')} AND x.bin = c.bin + qw.lag GROUP BY {k('c')}, sn, s, c.bin),
+qg AS (SELECT {keys}, sn, 4 * pi() * s / 6.0 AS period, avg(pw) AS g FROM qo GROUP BY {keys}, sn, s),
+qh AS (SELECT *, coalesce(g > lag(g) OVER w AND g > lead(g) OVER w AND g >= 0.3 * max(g) OVER (PARTITION BY {keys}), false) AS peak FROM qg WINDOW w AS (PARTITION BY {keys} ORDER BY sn)),
+qv AS (SELECT {keys}, list_sort(coalesce(list(period) FILTER (peak), [])) AS wv, arg_max(period, g) FILTER (period BETWEEN {shortest} AND {longest}) AS best FROM qh GROUP BY {keys}),
+qb AS (SELECT {k('qs')}, ls_max, best, list_sort(list_transform(ls, lambda l: coalesce((l + list_filter(wv, lambda q: abs(l - q) / greatest(l, q) < 0.2)[1]) / 2, l))) AS every FROM qs JOIN qv ON {on('qs', 'qv')}),
+qu AS (SELECT *, list_filter(list_reduce(list_prepend([]::DOUBLE[], list_transform(every, lambda q: [q])), lambda acc, q: CASE WHEN len(acc) = 0 OR abs(q[1] - acc[-1]) / q[1] > 0.1 THEN list_concat(acc, q) ELSE acc END), lambda q: q <= 0.9 * {longest}) AS periods FROM qb),
+qd AS (SELECT *, coalesce(periods[1], best, 0) AS period FROM qu),
+qr AS (SELECT {k('qy')}, CAST(floor((bin - period * floor(bin / period)) / period * 20) AS BIGINT) % 20 AS ph, avg(x) AS f, sum(v) AS sv, count(*) AS c FROM qy JOIN qd ON {on('qy', 'qd')} WHERE period > 0 GROUP BY {k('qy')}, ph),
+qe AS (SELECT {keys}, ((CASE WHEN count(*) < 20 THEN greatest(max(f), 0) ELSE max(f) END) - (CASE WHEN count(*) < 20 THEN least(min(f), 0) ELSE min(f) END)) / greatest(sum(sv) / sum(c), 1e-10) AS amp FROM qr GROUP BY {keys}),
+qp AS (SELECT {k('qd')}, CASE WHEN len(periods) > 0 THEN 1 ELSE 0 END AS detected, period, greatest(coalesce(amp, 0), 0) AS amplitude, ls_max AS significance, len(periods) AS n_periods FROM qd LEFT JOIN qe ON {on('qd', 'qe')}
+  UNION ALL SELECT DISTINCT {keys}, 0, 0, 0, 0, 0 FROM qn WHERE n < {least})"""
+
+
+_QV = ", qv0 AS (SELECT day, bin, coalesce(view, 0) AS v FROM wide), "
+
+
+@query("pulsations_day", final("SELECT * FROM qp", "day, " + big("detected", "n_periods"), "period amplitude significance", WIDE + _QV + pulsation_sql("qv0", "day", 24.0, 3.0, 80, 50, BINS), digits=5))
 def _qpp_day(spark, sf):
     w = wide(spark, sf).withColumn("pos", F.col("bin"))
-    return present(pe.detect_pulsations(w, ["day"], "view", 1.0, 3.0, 24.0, n_freqs=80))
+    return present(pe.detect_pulsations(w, ["day"], "view", 1.0, 3.0, 24.0, n_freqs=80), 5)
 
 
-@query("pulsations_window")
+@query("pulsations_window", final(
+    "SELECT * FROM qp", "day, win, " + big("detected", "n_periods"), "period amplitude significance",
+    WIDE + ", qv0 AS (SELECT day, win, bin - win * 24 AS bin, coalesce(view, 0) AS v FROM wide JOIN (SELECT CAST(range AS BIGINT) AS win FROM range(4)) ON bin >= win * 24 AND bin < win * 24 + 60), " + pulsation_sql("qv0", "day, win", 12.0, 3.0, 40, 50, 60), digits=5))
 def _qpp_window(spark, sf):
     rows = wi.hop(wide(spark, sf), BINS, 60, 24)
-    return present(pe.detect_pulsations(rows, ["day", "win"], "view", 1.0, 3.0, 12.0, n_freqs=40))
+    return present(pe.detect_pulsations(rows, ["day", "win"], "view", 1.0, 3.0, 12.0, n_freqs=40), 5)
 
 
 @query("pulsations_flare")

@@ -100,7 +100,8 @@ def formatted(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "t
 
 
 def read_back(out: DataFrame, t: Template = TEMPLATE) -> DataFrame:
-    """(conv_id, turns, loss_text): (role, text) of every turn and the text under the loss mask, from ``formatted`` and ``spans`` alone."""
+    """(conv_id, formatted, turns, loss_text, valid, breaks_at, loss_flags): (role, text) of every turn and the text under the loss
+    mask, from ``formatted`` and ``spans`` alone; the machine's verdict, and the loss flag of every segment as 0 or 1 in order."""
     parts = F.slice(F.split("formatted", F.lit("\\Q" + t.close + "\\E"), -1), 1, F.size(F.split("formatted", F.lit("\\Q" + t.close + "\\E"), -1)) - 1)
     def parsed(part: Column) -> Column:
         at = F.position(F.lit(t.after_role), part)
@@ -110,4 +111,5 @@ def read_back(out: DataFrame, t: Template = TEMPLATE) -> DataFrame:
 
     raw = F.col("formatted").cast("binary")
     under = F.transform("spans", lambda s: unescape(F.substring(raw, (s["start"] + 1).cast("int"), s["length"].cast("int")).cast("string"), t))
-    return out.select("conv_id", "formatted", F.transform(parts, parsed).alias("turns"), F.array_join(under, "").alias("loss_text"))
+    flags = F.array_join(F.transform("segments", lambda s: s["loss"].cast("int").cast("string")), "")
+    return out.select("conv_id", "formatted", F.transform(parts, parsed).alias("turns"), F.array_join(under, "").alias("loss_text"), "valid", "breaks_at", flags.alias("loss_flags"))

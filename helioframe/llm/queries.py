@@ -114,12 +114,16 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 ESCAPED = r"replace(replace(replace({}, '\', '\e'), '###', '\h'), '</turn>', '\t')"
 OP9 = f"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+           UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+o AS (SELECT *, row_number() OVER w - 1 AS k, coalesce(lag(role) OVER w, 'start') AS state, lead(role) OVER w IS NULL AS ends FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+b AS (SELECT *, (state, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) AS allowed FROM o)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(4 + length(replace({ESCAPED.format('role')}, ':', '\\c')) + 2 + length({ESCAPED.format('text')}) + 8) AS BIGINT) AS formatted_chars
-FROM r GROUP BY conv_id
+       CAST(sum(4 + length(replace({ESCAPED.format('role')}, ':', '\\c')) + 2 + length({ESCAPED.format('text')}) + 8) AS BIGINT) AS formatted_chars,
+       bool_and(allowed) AND bool_or(ends AND role = 'assistant') AS valid, CAST(min(k) FILTER (NOT allowed) AS INTEGER) AS breaks_at,
+       string_agg(CASE WHEN role = 'assistant' THEN '010' ELSE '000' END, '' ORDER BY k) AS loss_flags
+FROM b GROUP BY conv_id
 """
 
 
@@ -133,7 +137,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), digest(every).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
-        digest(F.col("loss_text")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+        digest(F.col("loss_text")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "breaks_at", "loss_flags")
 
 
 OP10 = f"""

@@ -5,7 +5,10 @@ Texts travel as UTF-8 bytes: ``bytes.lower`` touches A-Z only and ``bytes.split`
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -55,3 +58,29 @@ def packed(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     """(row, body): the columns ``keep`` (all by default) as one struct, so no added column can clash, and the text as bytes."""
     names = df.columns if keep is None else keep
     return df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").cast("binary").alias("body"))
+
+
+def released(kernel):
+    """The kernel of a task, which gives Arrow's freed memory back to the system when the task is over: workers live on."""
+
+    @functools.wraps(kernel)
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def carried(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``packed``, but a text that travels inside ``row`` anyway has no ``body`` of its own: ``body_of`` finds it."""
+    out = packed(df, text, keep)
+    return out.drop("body") if keep is None or text in keep else out
+
+
+def body_of(batch: pa.RecordBatch, text: str = "text") -> pa.Array:
+    """The texts of a batch of ``carried`` rows as bytes."""
+    if "body" in batch.schema.names:
+        return batch.column("body")
+    return batch.column("row").field(text).cast(pa.string()).cast(pa.binary())

@@ -19,22 +19,25 @@ fixed by hashes of their texts; empty tables give no rows; further input columns
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, run_dir
+from .text import released
 
 END_ID = 2
 BLOCK_IDS = 4_000_000
 MAGIC = {2: 0x31444944, 4: 0x32444944}
 EVERY = 512
-MEMO = 1_500_000
+MEMO = 1_000_000
 
 
 class Sequence:
@@ -125,19 +128,30 @@ class Block:
         return self.bounds.decode()
 
 
-#: Texts with these are not cut: there a piece may run on over a full stop, a comma, a space or a line end.
-RUNS = ("  ", " \n", "\n ", "\n\n", " ,", " .", "\0")
-JOINED = re.compile(r"[.,](?:(?<=[^\w\s].)|(?<=_.))")
-CONTROL = re.compile("[\x1c-\x1f]")
+#: A run of white space: all but its last character are a piece of their own, at the end of a text the whole run is.
+GAP = re.compile(r"(\s\s+)")
+#: The same in RE2, and what is never cut: a control character, or a full stop or comma behind a sign, which may be one piece with it.
+SPACE = r"\p{Z}\t-\r\x{85}"
+GAPS = f"[{SPACE}][{SPACE}]"
+WHOLE = r"[\x00\x1c-\x1f]|[^\p{L}\p{N}" + SPACE + "][.,]"
+#: Where a text without runs is cut; a space stays with the full stop or comma behind it.
+MARKS = [(" ", "\0 "), (".", "\0."), (",", "\0,"), ("\n", "\0\n\0"), ("\0 \0.", "\0 ."), ("\0 \0,", "\0 ,")]
 #: In place of ids: the part touches white space, so its text is encoded as a whole.
 ODD = object()
+#: Words that are learnt in one text: longer ones cost more a word.
+TOGETHER = 500
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, remembering the ids of their parts.
 
-    A text is cut before every space, full stop and comma and around every line end.  Except in the texts named by ``RUNS``
-    and ``JOINED``, the vocabulary's pattern cuts there too, so a part has the same ids in every text.
+    A text is cut before every space, full stop and comma and around every line end; a space stays with the full stop or comma behind
+    it, and runs of white space are cut as ``GAP`` says.  Except in texts with special tokens and in those that ``WHOLE`` names,
+    the vocabulary's pattern cuts there too, so a part has the same ids in every text.  Cutting, finding the distinct parts of
+    a batch and putting their ids together are array operations; Python sees distinct parts only.
+
+    Parts are kept in two generations: when the younger one is full it becomes the older one, from which parts that occur
+    again move back.  So frequent parts stay, and rare ones are forgotten in time.
     """
 
     def __init__(self, path: str) -> None:
@@ -151,52 +165,118 @@ class Encoder:
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts: dict[str, bytes | object] = {}
+        self.older: dict[str, bytes | object] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, parts: set[str]) -> None:
+        again = parts & self.older.keys()
+        self.parts.update((p, self.older[p]) for p in again)
+        parts = parts - again
         words = [p for p in parts if p[:1] == " " and p[1:].isalpha()]
-        if words:  # all in one go: a token with a space in front starts each
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, f"<u{self.wide}")
-            at = np.flatnonzero(self.spaced[ids]) * self.wide
+        if words:  # many in one text: a token with a space in front starts each
+            raw = b"".join(self._ids(["".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]))
+            at = np.flatnonzero(self.spaced[np.frombuffer(raw, f"<u{self.wide}")]) * self.wide
             if len(at) != len(words):
                 raise ValueError("a word has more than one token with a space in front")
-            raw, at = ids.tobytes(), at.tolist()
+            at = at.tolist()
             self.parts.update((w, raw[a:b]) for w, a, b in zip(words, at, [*at[1:], len(raw)]))
         rest = list(parts - self.parts.keys())
-        fits = lambda p: p in ("", " ", "\n") or not (p.removeprefix(" ")[:1].isspace() or p[-1].isspace())
+        fits = lambda p: not p or p.isspace() or not (p.removeprefix(" ")[:1].isspace() or p[-1].isspace())
         self.parts.update(zip(rest, [ids if fits(p) else ODD for p, ids in zip(rest, self._ids(rest))]))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        plain = [k for k, t in enumerate(texts) if any(x in t for x in (*RUNS, *self.special)) or JOINED.search(t) or CONTROL.search(t)]
-        whole, get = set(plain), self.parts.get
-        cut = {k: t.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0") for k, t in enumerate(texts) if k not in whole}
-        found = {k: list(map(get, parts)) for k, parts in cut.items()}
-        new = {p for k, ids in found.items() if None in ids for p, x in zip(cut[k], ids) if x is None}
-        if new:
-            self.learn(new)
+    def lookup(self, parts: list[str]) -> list:
+        """What is known of distinct parts, after learning the others."""
+        found = list(map(self.parts.get, parts))
+        if None in found:
+            self.learn({p for p, ids in zip(parts, found) if ids is None})
+            found = list(map(self.parts.get, parts))
+        return found
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        def marked(t: str) -> list[str]:
+            t = t.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0")
+            if "\0 \0" in t:
+                t = t.replace("\0 \0.", "\0 .").replace("\0 \0,", "\0 ,")
+            return t.split("\0")
+
+        if not GAP.search(text):
+            return marked(text)
+        pieces = GAP.split(text)
+        out = marked(pieces[0]) if pieces[0] else []
+        for run, words in zip(pieces[1::2], pieces[2::2]):
+            if words:
+                out.append(run[:-1])
+                out += marked(run[-1] + words)
+            else:  # the end of the text
+                out.append(run)
+        return out
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of every text.  The millions of short-lived strings form no cycles, so the cycle collector waits meanwhile."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), ""))
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        if len(self.parts) > MEMO // 2:
+            self.parts, self.older = {}, self.parts
+        whole = pc.match_substring_regex(texts, WHOLE)
+        for special in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, special))
+        gaps = pc.and_not(pc.match_substring_regex(texts, GAPS), whole)
+        plain = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
         out: list[bytes | None] = [None] * len(texts)
-        for k, ids in found.items():
-            try:
-                out[k] = b"".join(map(get, cut[k]) if None in ids else ids)
-            except TypeError:  # an odd part
-                plain.append(k)
-        for k, ids in zip(plain, self._ids([texts[k] for k in plain])):
+        for kind in ("even", "gaps"):
+            at = np.flatnonzero((gaps if kind == "gaps" else pc.invert(pc.or_(gaps, whole))).to_numpy(zero_copy_only=False))
+            if not len(at):
+                continue
+            some = texts if len(at) == len(texts) else texts.take(at)
+            if kind == "even":
+                for what, with_ in MARKS:
+                    some = pc.replace_substring(some, what, with_)
+                parts = pc.split_pattern(some, "\0")
+            else:
+                parts = pa.array([self.cut(t) for t in some.to_pylist()], pa.list_(pa.string()))
+            plain += self._gather(parts, at, out)
+        for k, ids in zip(plain, self._ids([texts[k].as_py() for k in plain])):
             out[k] = ids
         return out
 
+    def _gather(self, parts: pa.ListArray, at: np.ndarray, out: list) -> list[int]:
+        """Puts the ids of the cut texts into ``out`` at the places ``at``; returns the places of texts with an odd part."""
+        coded = parts.flatten().dictionary_encode()
+        found = self.lookup(coded.dictionary.to_pylist())
+        odd = np.fromiter((ids is ODD for ids in found), bool, len(found))
+        found = [b"" if ids is ODD else ids for ids in found] if odd.any() else found
+        code = coded.indices.to_numpy()
+        first = np.concatenate(([0], np.cumsum(parts.value_lengths().to_numpy())[:-1]))  # every text has a part
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.wide
+        start, n = np.cumsum(size) - size, size[code]
+        ends = np.cumsum(n)
+        places = np.arange(ends[-1]) + np.repeat(start[code] - ends + n, n)
+        raw = np.frombuffer(b"".join(found), f"<u{self.wide}")[places].tobytes()
+        cuts = [0, *(np.append(ends[first[1:] - 1], ends[-1]) * self.wide).tolist()]
+        for k, a, b in zip(at.tolist(), cuts, cuts[1:]):
+            out[k] = raw[a:b]
+        return at[np.add.reduceat(odd[code].astype(np.int64), first) > 0].tolist() if odd.any() else []
+
 
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, step: int = 256) -> None:
+def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, step: int = 1024) -> None:
     """Write the documents in ascending ``doc_id`` order as (part, block, n_docs, n_ids, body) rows under ``path``."""
 
+    @released
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         end = np.array([end_id], f"<u{tool.wide}").tobytes()
@@ -216,7 +296,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
                 part = some.column(0)[0].as_py()
-                for d, raw in zip(some.column(1).to_pylist(), tool.encode([t or "" for t in some.column(2).to_pylist()])):
+                for d, raw in zip(some.column(1).to_pylist(), tool.encode(some.column(2))):
                     doc_ids.append(d)
                     parts.append(raw + end)
                     ids += len(parts[-1]) // tool.wide
@@ -243,6 +323,7 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document as the files hold it; ``ids`` are unsigned 32-bit little-endian bytes."""
 
+    @released
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, body in zip(batch.column(0).to_pylist(), batch.column(1)):

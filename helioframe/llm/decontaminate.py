@@ -80,15 +80,18 @@ def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     found = cut_lineage(windows(benchmark, item_id, item_text, n), "windows")
     parts = max(1, -(-found.count() // max_windows))
     out = packed(documents, text, keep)
+    if keep is None or text in keep:  # the text inside the row serves
+        out, body = out.drop("body"), F.col(f"row.`{text}`").cast("binary")
+    else:
+        body = F.col("body")
     for part in range(parts):
         mine = found.where(F.pmod(F.xxhash64("h", "item"), F.lit(parts)) == part)
         probe = documents.sparkSession.sparkContext.broadcast(Probe(mine.collect()))
-        last = part == parts - 1
-        schema = T.StructType([out.schema["row"], *([] if last else [out.schema["body"]]), *T._parse_datatype_string(FOUND).fields])
-        out = out.mapInArrow(_scanner(probe, schema.names), schema)
-        if not last:
+        before = [F.col("found")] if part else []
+        out = out.withColumn("found", _scanner(probe)(body, *before))
+        if part < parts - 1:
             out = cut_lineage(out, "scanned")
-    return out
+    return out.select("row", "found.*")
 
 
 def runs_of(mask: np.ndarray) -> list[int]:
@@ -96,34 +99,36 @@ def runs_of(mask: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
 
 
-def _scanner(probe, names: list[str]):
-    def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made: dict[str, list] = {"n_words": [], "n_hit": [], "hits": [], "cuts": [], "items": []}
-            so_far = [batch.column(k).to_pylist() for k in ("hits", "items")] if "hits" in batch.schema.names else None
-            for k, value in enumerate(batch.column("body")):
-                body = value.as_py()
-                words = alnum_words(body)
-                mask, ids = np.zeros(len(words), bool), set()
-                if so_far:
-                    ids.update(so_far[1][k])
-                    for a, b in zip(so_far[0][k][::2], so_far[0][k][1::2]):
-                        mask[a:b] = True
-                for i, size, items in probe.value.find(words, word_hashes(words)):
-                    mask[i : i + size] = True
-                    ids |= items
-                hits = runs_of(mask)
-                at = [m.span() for m in re.finditer(rb"[^ ]+", body.translate(ALNUM))] if hits else []
-                made["n_words"].append(len(words))
-                made["n_hit"].append(int(mask.sum()))
-                made["hits"].append(hits)
-                made["cuts"].append([at[w][0] if k % 2 == 0 else at[w - 1][1] for k, w in enumerate(hits)])
-                made["items"].append(sorted(x for x in ids if x is not None))
-            kinds = {"hits": pa.list_(pa.int64()), "cuts": pa.list_(pa.int64()), "items": pa.list_(pa.string())}
-            columns = [batch.column(n) if n in ("row", "body") else pa.array(made[n], kinds.get(n, pa.int64())) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return scan_batches
+def _scanner(probe):
+    """Finds of one part added to those of the parts before; only texts go to Python, rows stay in the JVM."""
+
+    @F.arrow_udf(T._parse_datatype_string(FOUND))
+    def scan_batch(*columns: pa.Array) -> pa.Array:
+        made: dict[str, list] = {"n_words": [], "n_hit": [], "hits": [], "cuts": [], "items": []}
+        so_far = [columns[1].field(k).to_pylist() for k in ("hits", "items")] if len(columns) > 1 else None
+        for k, value in enumerate(columns[0]):
+            body = value.as_py()
+            words = alnum_words(body)
+            mask, ids = np.zeros(len(words), bool), set()
+            if so_far:
+                ids.update(so_far[1][k])
+                for a, b in zip(so_far[0][k][::2], so_far[0][k][1::2]):
+                    mask[a:b] = True
+            for i, size, items in probe.value.find(words, word_hashes(words)):
+                mask[i : i + size] = True
+                ids |= items
+            hits = runs_of(mask)
+            at = [m.span() for m in re.finditer(rb"[^ ]+", body.translate(ALNUM))] if hits else []
+            made["n_words"].append(len(words))
+            made["n_hit"].append(int(mask.sum()))
+            made["hits"].append(hits)
+            made["cuts"].append([at[w][0] if k % 2 == 0 else at[w - 1][1] for k, w in enumerate(hits)])
+            made["items"].append(sorted(x for x in ids if x is not None))
+        kinds = {"hits": pa.list_(pa.int64()), "cuts": pa.list_(pa.int64()), "items": pa.list_(pa.string())}
+        pa.default_memory_pool().release_unused()
+        return pa.StructArray.from_arrays([pa.array(v, kinds.get(n, pa.int64())) for n, v in made.items()], names=list(made))
+
+    return scan_batch.asNondeterministic()  # a later filter is not pushed below it, which would scan twice
 
 
 def contaminated(share: int = 20):

@@ -36,7 +36,7 @@ from xxhash import xxh3_128_intdigest
 
 from ..session import cut_lineage
 from .components import components
-from .text import mixed, packed, space_words, window_hashes, word_hashes
+from .text import mixed, packed, released, space_words, window_hashes, word_hashes
 
 SHINGLE = 5
 SHARE = (75, 100)
@@ -62,15 +62,21 @@ def sub_keys(shingle_set: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return out
 
 
+def left_keys(subs: np.ndarray, left: int) -> np.ndarray:
+    """The table keys of one left sub-key with every right one, for each row of ``subs``."""
+    half = subs.shape[1] // 2
+    return mixed(subs[:, left, None] * MULTIPLIERS[0] + mixed(subs[:, half:]))
+
+
 def table_keys(subs: np.ndarray) -> np.ndarray:
     """All pairs of a left and a right sub-key, for each row of ``subs``."""
-    half = subs.shape[1] // 2
-    return mixed(subs[:, :half, None] * MULTIPLIERS[0] + mixed(subs[:, None, half:])).reshape(len(subs), half * half)
+    return np.concatenate([left_keys(subs, k) for k in range(subs.shape[1] // 2)], axis=1)
 
 
 def sets(documents: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_hash, n_shingles, f1, f2, subs) of (doc_id, body, text_hash); the fingerprint is null and ``subs`` empty without shingles."""
 
+    @released
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, f1, f2, subs = [], [], [], []
@@ -96,28 +102,44 @@ def _close(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     return share[1] * np.minimum(a, b) >= share[0] * np.maximum(a, b)
 
 
-def _stars(keys, label, ids, size, weight, share, apart):
+def _stars(keys, label, ids, size, weight, share):
     """Stars of the entries of each key around its entry of most weight, between labels only.
 
-    -> positions of the first entry of each (key, label), and the pairs (id, centre, best): of those worth confirming one is
-    best; the others tell who shares a key, whatever the sizes."""
+    -> the entries by key, the first of each, and the meetings (``_meetings``) of the others with it."""
     order = np.lexsort((ids, weight, keys))[::-1]
     k = keys[order]
     first = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.empty(0, bool)
     centre = order[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))] if len(k) else order
-    return order, first, _met(ids[order], ids[centre], (label[order] != label[centre]) & (ids[order] != ids[centre]), size[order], size[centre], np.asarray(weight)[centre], share, apart)
+    far = (label[order] != label[centre]) & (ids[order] != ids[centre])
+    return order, first, _meetings(ids[order], ids[centre], far, size[order], size[centre], np.asarray(weight)[centre], share)
 
 
-def _met(ids, centres, far, size, centre_size, weight, share, apart: bool) -> pa.RecordBatch:
-    """Pairs (id, centre, best) of the ``far`` entries.  Sizes decide what is tested, not who takes part in the later rounds:
-    with ``apart``, ids and centres that met only beyond the size bound come once each, in pairs that are never best."""
+def _meetings(ids, centres, far, size, centre_size, weight, share) -> tuple[np.ndarray, ...]:
+    """(id, centre, weight) of the ``far`` entries whose sizes may reach the share, and (id, centre) of those beyond it, once each."""
     close = far & _close(size, centre_size, share)
-    out = _ranked(ids[close], centres[close], weight[close])
+    a, b, w = ids[close], centres[close], weight[close]
+    at = _distinct(a, b, -w)
+    c, d = ids[far & ~close], centres[far & ~close]
+    some = np.unique(np.concatenate((np.unique(c, return_index=True)[1], np.unique(d, return_index=True)[1])))
+    return a[at], b[at], w[at], c[some], d[some]
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Positions of the distinct (a, b), each with the least ``then``."""
+    order = np.lexsort((then, b, a))
+    new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))[: len(a)]
+    return order[new]
+
+
+def _met(found: list[tuple[np.ndarray, ...]], apart: bool) -> pa.RecordBatch:
+    """Pairs (id, centre, best) of meetings: of those worth confirming one of each id is best.  Sizes decide what is tested, not who
+    takes part in the later rounds: with ``apart``, who met only beyond the size bound comes too, in pairs that are never best."""
+    a, b, w, c, d = (np.concatenate(x) for x in zip(*found))
+    out = _ranked(a, b, w)
     if not apart:
         return out
-    a, b = ids[far & ~close], centres[far & ~close]
-    at = np.unique(np.concatenate((np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1])))
-    return pa.concat_batches([out, pa.RecordBatch.from_arrays([pa.array(a[at], pa.int64()), pa.array(b[at], pa.int64()), pa.array(np.zeros(len(at), bool))], names=["a", "b", "best"])])
+    at = np.unique(np.concatenate((np.unique(c, return_index=True)[1], np.unique(d, return_index=True)[1])))
+    return pa.concat_batches([out, pa.RecordBatch.from_arrays([pa.array(c[at], pa.int64()), pa.array(d[at], pa.int64()), pa.array(np.zeros(len(at), bool))], names=["a", "b", "best"])])
 
 
 def _ranked(ids: np.ndarray, centres: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
@@ -130,34 +152,43 @@ def _ranked(ids: np.ndarray, centres: np.ndarray, weight: np.ndarray) -> pa.Reco
 
 
 def _deal(by_label: bool, want_pairs: bool, share, salt: int = 0):
-    """Map side of a round: stars inside the batch; pairs, or the entries that other batches have to meet."""
+    """Map side of a round: stars inside the batch; pairs, or the entries that other batches have to meet.
+
+    One left sub-key after the other: their keys belong to different tables, so a tenth of the batch's keys is held at a time."""
 
+    @released
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = table_keys(_matrix(batch.column("subs")))
-            width, flat = keys.shape[1], keys.ravel()
-            column = lambda name: np.repeat(batch.column(name).to_numpy(zero_copy_only=False), width)
-            ids, label, size = column("id"), column("label"), column("n")
-            if by_label:  # one member for each component and key, another one for each key
-                order = np.lexsort((mixed(flat ^ ids.view(np.uint64) ^ np.uint64(salt)), label, flat))
-                k, lab = flat[order], label[order]
-                at = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (lab[1:] != lab[:-1]))))
-                weight = np.diff(np.append(at, len(k)))
-                flat, ids, label, size = k[at], ids[order][at], lab[at], size[order][at]
-                order, first, pairs = _stars(flat, label, ids, size, weight, share, not by_label)
-                first = np.ones(len(order), bool)
-            else:
-                _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
-                weight = np.repeat(count[back].reshape(-1, width).sum(1), width)
-                order, first, pairs = _stars(flat, label, ids, size, weight, share, not by_label)
-            if want_pairs:
-                yield pairs
-            else:
-                out = order[first]
-                made = [flat[out].view(np.int64), label[out], ids[out], size[out], weight[out].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["key", "label", "id", "n", "weight"])
+            subs = _matrix(batch.column("subs"))
+            half = subs.shape[1] // 2
+            own = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("id", "label", "n")]
+            total = np.zeros(len(subs), np.int64)  # how often the keys of a document occur in the batch
+            for left in range(0 if by_label else half):
+                back, count = np.unique(left_keys(subs, left).ravel(), return_inverse=True, return_counts=True)[1:]
+                total += count[back].reshape(-1, half).sum(1)
+            found = []
+            for left in range(half):
+                flat = left_keys(subs, left).ravel()
+                ids, label, size = (np.repeat(x, half) for x in own)
+                if by_label:  # one member for each component and key, another one for each key
+                    order = np.lexsort((mixed(flat ^ ids.view(np.uint64) ^ np.uint64(salt)), label, flat))
+                    k, lab = flat[order], label[order]
+                    at = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (lab[1:] != lab[:-1]))))
+                    weight = np.diff(np.append(at, len(k)))
+                    flat, ids, label, size = k[at], ids[order][at], lab[at], size[order][at]
+                else:
+                    weight = np.repeat(total, half)
+                order, first, meetings = _stars(flat, label, ids, size, weight, share)
+                if want_pairs:
+                    found.append(meetings)
+                else:
+                    out = order if by_label else order[first]
+                    made = [flat[out].view(np.int64), label[out], ids[out], size[out], weight[out].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["key", "label", "id", "n", "weight"])
+            if found:
+                yield _met(found, not by_label)
 
     return deal
 
@@ -165,6 +196,7 @@ def _deal(by_label: bool, want_pairs: bool, share, salt: int = 0):
 def _meet(share, mixed_keys: bool = False, apart: bool = False):
     """Reduce side: rows sorted by key; stars of each key, or the keys that several labels share.  Streams; keys may span batches."""
 
+    @released
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # key, label, id, size and weight of the running key's centre
         for batch in batches:
@@ -179,7 +211,7 @@ def _meet(share, mixed_keys: bool = False, apart: bool = False):
             if mixed_keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[far]), pa.int64())], names=["key"])
             else:
-                yield _met(ids, ids[centre], far & (ids != ids[centre]), size, size[centre], weight[centre], share, apart)
+                yield _met([_meetings(ids, ids[centre], far & (ids != ids[centre]), size, size[centre], weight[centre], share)], apart)
             last = tuple(x[centre[-1]] for x in (key, label, ids, size, weight))
 
     return meet
@@ -198,10 +230,12 @@ def _round(active: DataFrame, share, by_label: bool, salt: int = 0) -> DataFrame
 
 
 def _exploded(active: DataFrame) -> DataFrame:
+    @released
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keys = table_keys(_matrix(batch.column("subs")))
+            subs = _matrix(batch.column("subs")) if batch.num_rows else np.empty((0, 0))
+            for left in range(subs.shape[1] // 2):
+                keys = left_keys(subs, left)
                 column = lambda name: pa.array(np.repeat(batch.column(name).to_numpy(zero_copy_only=False), keys.shape[1]), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), column("label"), column("id"), column("n")], names=["key", "label", "id", "n"])
 
@@ -214,12 +248,14 @@ def _prefixes(share, slots: int, counts=None, n: int = SHINGLE):
     Two sets of share t have a shingle in common among the first ``n - ceil(t * n) + 1`` of each, in any order that is the same
     for all sets; rare shingles first keeps what many texts share out of the prefixes.  ``rest`` counts the shingles from there on."""
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = [shingles(b.as_py(), n) & np.uint64(slots - 1) for b in batch.column("body")]
             slot, times = np.unique(np.concatenate([*at, np.empty(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(times.astype(np.int64))], names=["slot", "times"])
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, rest = [], []
@@ -264,6 +300,7 @@ def _last_round(active: DataFrame, texts: DataFrame, share, n: int = SHINGLE, sl
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """(a, b, common, total) of the pairs whose full sets reach the share; ``texts`` has (id, body)."""
 
+    @released
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None)
         for batch in batches:

@@ -71,16 +71,3 @@ def released(kernel):
             pa.default_memory_pool().release_unused()
 
     return run
-
-
-def carried(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``packed``, but a text that travels inside ``row`` anyway has no ``body`` of its own: ``body_of`` finds it."""
-    out = packed(df, text, keep)
-    return out.drop("body") if keep is None or text in keep else out
-
-
-def body_of(batch: pa.RecordBatch, text: str = "text") -> pa.Array:
-    """The texts of a batch of ``carried`` rows as bytes."""
-    if "body" in batch.schema.names:
-        return batch.column("body")
-    return batch.column("row").field(text).cast(pa.string()).cast(pa.binary())

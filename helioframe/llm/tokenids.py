@@ -37,7 +37,7 @@ END_ID = 2
 BLOCK_IDS = 4_000_000
 MAGIC = {2: 0x31444944, 4: 0x32444944}
 EVERY = 512
-MEMO = 1_000_000
+MEMO = 750_000
 
 
 class Sequence:
@@ -151,7 +151,7 @@ class Encoder:
     a batch and putting their ids together are array operations; Python sees distinct parts only.
 
     Parts are kept in two generations: when the younger one is full it becomes the older one, from which parts that occur
-    again move back.  So frequent parts stay, and rare ones are forgotten in time.
+    again move back.  So frequent parts stay, and rare ones are forgotten in time; both hold ``MEMO`` parts at most.
     """
 
     def __init__(self, path: str) -> None:
@@ -304,6 +304,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
                         yield flush()
         if doc_ids:
             yield flush()
+        tool.older = {}  # a worker that waits for its next task keeps the younger generation only
 
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))

@@ -37,7 +37,7 @@ END_ID = 2
 BLOCK_IDS = 4_000_000
 MAGIC = {2: 0x31444944, 4: 0x32444944}
 EVERY = 512
-MEMO = 750_000
+MEMO = 1_000_000
 
 
 class Sequence:
@@ -260,7 +260,9 @@ class Encoder:
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.wide
         start, n = np.cumsum(size) - size, size[code]
         ends = np.cumsum(n)
-        places = np.arange(ends[-1]) + np.repeat(start[code] - ends + n, n)
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        places = np.repeat((start[code] - ends + n).astype(kind), n)
+        places += np.arange(ends[-1], dtype=kind)
         raw = np.frombuffer(b"".join(found), f"<u{self.wide}")[places].tobytes()
         cuts = [0, *(np.append(ends[first[1:] - 1], ends[-1]) * self.wide).tolist()]
         for k, a, b in zip(at.tolist(), cuts, cuts[1:]):
@@ -304,7 +306,6 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
                         yield flush()
         if doc_ids:
             yield flush()
-        tool.older = {}  # a worker that waits for its next task keeps the younger generation only
 
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import ratio
 from ..session import sized
 from .ranking import exact_quantiles, global_index, ordered_counts, spearman, with_totals
 
@@ -131,10 +132,10 @@ def curve_points(df: DataFrame, score_col: str, label: str, by=()) -> DataFrame:
 
 
 def area_scores(df: DataFrame, score_col: str, label: str, by=()) -> DataFrame:
-    """AUC-ROC by rank sums (ties count half) and average precision."""
+    """AUC-ROC by rank sums (ties count half) and average precision; NULL where a group lacks the class they need."""
     d = curve_points(df, score_col, label, by)
-    auc = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / F.max(F.col("_P") * F.col("_N"))
-    ap = F.sum(F.col("pos") * F.col("precision")) / F.max("_P")
+    auc = ratio(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)), F.max(F.col("_P").cast("double") * F.col("_N")))
+    ap = ratio(F.sum(F.col("pos") * F.col("precision")), F.max("_P"))
     return d.groupBy(*by).agg(F.max("_P").alias("positives"), F.max("_N").alias("negatives"), auc.alias("auc_roc"), ap.alias("auc_pr"))
 
 

@@ -30,6 +30,16 @@ def test_trees_separate(spark, separable, kind, params):
     assert set(rank[:2]) == {"a", "b"}
 
 
+@pytest.mark.parametrize("label, want", [(1, (None, 1.0)), (0, (None, None))])
+def test_areas_of_one_class(spark, label, want):
+    """Without the other class a group has no ROC area; without positives no precision either."""
+    rows = [("one", i / 10, label) for i in range(5)] + [("both", i / 10, i % 2) for i in range(6)]
+    got = {r.part: r for r in le.area_scores(spark.createDataFrame(rows, "part string, score double, label bigint"), "score", "label", ("part",)).collect()}
+    assert (got["one"].positives, got["one"].negatives) == (5 * label, 5 - 5 * label)
+    assert (got["one"].auc_roc, got["one"].auc_pr) == want
+    assert got["both"].auc_roc == pytest.approx(6 / 9)
+
+
 def ridge_score(x, y, split, stop):
     """R2 behind ``split`` of the ridge whose leave-one-out error, by refitting without each row, is least."""
     def fit(x, y, alpha):

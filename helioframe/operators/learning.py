@@ -70,8 +70,9 @@ def train_classifier(train: DataFrame, features, label: str, kind="gbt", weight:
 
 
 def score(model, df: DataFrame) -> DataFrame:
+    """``score`` = probability of label 1; a forest trained on label 0 alone has no such class: 0."""
     out = model.transform(df)
-    return out.withColumn("score", vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
+    return out.withColumn("score", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))).drop("_features", "rawPrediction", "probability", "prediction")
 
 
 def importances(model, features, spark) -> DataFrame:

@@ -40,6 +40,19 @@ def test_areas_of_one_class(spark, label, want):
     assert got["both"].auc_roc == pytest.approx(6 / 9)
 
 
+@pytest.mark.parametrize("label", [0, 1])
+def test_forest_of_one_class(spark, label):
+    """A fold may train on one class alone, and its test part may hold one alone: scores and areas are still there."""
+    fold = spark.createDataFrame([(float(i % 7), float(i % 5), label) for i in range(40)], "a double, b double, label bigint")
+    model = le.train_classifier(fold, ["a", "b"], "label", "rf", numTrees=3, maxDepth=2)
+    other = spark.createDataFrame([(1.0, 2.0, 0), (3.0, 1.0, 1)], "a double, b double, label bigint")
+    scored = le.score(model, other).select("score", "label")
+    assert [r.score for r in scored.collect()] == [float(label)] * 2
+    mixed, alone = (le.area_scores(d, "score", "label").first() for d in (scored, scored.where(F.col("label") == label)))
+    assert (mixed.auc_roc, mixed.auc_pr) == (0.5, 0.5)
+    assert (alone.positives, alone.negatives, alone.auc_roc) == (label, 1 - label, None)
+
+
 def ridge_score(x, y, split, stop):
     """R2 behind ``split`` of the ridge whose leave-one-out error, by refitting without each row, is least."""
     def fit(x, y, alpha):

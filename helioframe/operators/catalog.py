@@ -100,8 +100,16 @@ def loop_length(rows: DataFrame, keys, temp="temp", em="em", least=10, decay_lea
 
 # -- catalog statistics --------------------------------------------------------------------------------------
 def catalog_cube(events: DataFrame, dims) -> DataFrame:
-    """Counts and peak statistics for every combination of the dimensions and their totals."""
-    return events.cube(*dims).agg(F.count(F.lit(1)).alias("n"), F.max("peak_flux").alias("max_peak"), F.grouping_id().alias("level"))
+    """Counts and peak statistics for every combination of the dimensions and their totals.
+
+    The grand total is there without events, too: a row that counts nothing joins every cell, and of the cells that hold
+    nothing else only the total stays (a Spark cube of no rows has none).
+    """
+    dims = list(dims)
+    rows = events.select(*dims, "peak_flux", F.lit(1).alias("_w"))
+    blank = events.sparkSession.range(0, 1, 1, 1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields[:-1]], F.lit(0).alias("_w"))
+    cells = rows.unionByName(blank).cube(*dims).agg(F.sum("_w").alias("n"), F.max("peak_flux").alias("max_peak"), F.grouping_id().alias("level"))
+    return cells.where((F.col("n") > 0) | (F.col("level") == (1 << len(dims)) - 1))
 
 
 def daily_rates(events: DataFrame, by=()) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, rows_of
+from helioframe.operators import catalog as cg
 from helioframe.operators import islands as isl
 from helioframe.plans.fixtures import CADENCE, lc
 
@@ -38,7 +39,7 @@ def quiet(tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name, rows", [("block_events", 8)])
+@pytest.mark.parametrize("name, rows", [("block_events", 8), ("catalog_cube", 1)])
 def test_quiet_days_equal_sql(spark, quiet, name, rows):
     got = entry.queries()[name](spark, quiet).toPandas()
     con = duckdb.connect()
@@ -48,6 +49,19 @@ def test_quiet_days_equal_sql(spark, quiet, name, rows):
     assert rows_of(got) == rows_of(want)
 
 
+@pytest.mark.parametrize("events", [[], [("M", None, 3.0), ("M", "view", None), (None, None, 5.0), (None, None, 4.0), ("X", "view", 9.0)]])
+def test_cube_equals_sql(spark, events):
+    """With and without events, missing dimensions apart from totals."""
+    table = "a string, b string, peak_flux double"
+    got = cg.catalog_cube(spark.createDataFrame(events, table), ["a", "b"]).toPandas()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE ev (a VARCHAR, b VARCHAR, peak_flux DOUBLE)")
+    for row in events:
+        con.execute("INSERT INTO ev VALUES (?, ?, ?)", row)
+    want = con.execute("SELECT a, b, count(*) AS n, max(peak_flux) AS max_peak, grouping_id(a, b) AS level FROM ev GROUP BY CUBE (a, b)").df()
+    assert rows_of(got) == rows_of(want)
+
+
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 150

@@ -29,6 +29,18 @@ def slope(y, x, over=None) -> Column:
     return e if over is None else e.over(over)
 
 
+def deviation(values: Column) -> Column:
+    """Population deviation of an array of doubles, by updates in its order: the last bit does not depend on how rows were dealt."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("sq"))
+
+    def step(s, x):
+        n, off = s["n"] + 1.0, x - s["mean"]
+        mean = s["mean"] + off / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["sq"] + off * (x - mean)).alias("sq"))
+
+    return F.aggregate(values, zero, step, lambda s: F.sqrt(s["sq"] / F.greatest(s["n"], F.lit(1.0))))
+
+
 def shape(expr: Column) -> Column:
     """Skewness / kurtosis of constant groups is 0 at feature output."""
     return F.coalesce(finite(expr), F.lit(0.0))

@@ -49,6 +49,11 @@ def test_quiet_days_equal_sql(spark, quiet, name, rows):
     assert rows_of(got) == rows_of(want)
 
 
+def test_days_of_two_blocks_equal_sql(spark, con):
+    """Sparse days: 37 of them have two blocks, whose z is 1 up to the last bit."""
+    test_query_equals_sql(spark, con, "block_events")
+
+
 @pytest.mark.parametrize("events", [[], [("M", None, 3.0), ("M", "view", None), (None, None, 5.0), (None, None, 4.0), ("X", "view", 9.0)]])
 def test_cube_equals_sql(spark, events):
     """With and without events, missing dimensions apart from totals."""
